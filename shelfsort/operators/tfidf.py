@@ -129,7 +129,7 @@ def vector_match(queries: DataFrame, text_col: str, index: TfidfIndex, threshold
     scored = _exact_scores(pairs, qvec, index.postings).where(F.col("score") >= threshold)
     scored = scored.join(index.meta.select("doc_id", "doc_ord"), "doc_id")
     best = scored.groupBy("qid").agg(
-        F.max_by(F.struct("doc_id", "score"), F.struct(F.col("score"), -F.col("doc_ord"))).alias("b"))
+        F.min_by(F.struct("doc_id", "score"), F.struct(-F.col("score"), F.col("doc_ord"))).alias("b"))
     return best.select("qid", "b.doc_id", "b.score")
 
 
@@ -184,7 +184,7 @@ def in_corpus_best(queries: DataFrame, corpus: DataFrame, min_docs: int = 1) ->
               .withColumn("score", F.col("dot") / (F.col("qn") * F.sqrt(F.col("base") + F.col("adj")))))
     ords = corpus.select("doc_id", "doc_ord")
     best = (scored.join(ords, "doc_id").groupBy("qid").agg(
-        F.max_by(F.struct("doc_id", "score"), F.struct(F.col("score"), -F.col("doc_ord"))).alias("b"))
+        F.min_by(F.struct("doc_id", "score"), F.struct(-F.col("score"), F.col("doc_ord"))).alias("b"))
         .select("qid", "b.doc_id", "b.score"))
     q = queries.select("qid", "grp").join(n, "grp")
     return (q.join(best, "qid", "left")

@@ -27,6 +27,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.maxPlanStringLength", "200000")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -71,3 +72,25 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def dense_positions(df: DataFrame, order_cols: list, name: str) -> DataFrame:
+    """Add ``name`` = 0-based position of each row in ``order_cols`` order.
+
+    A distributed zip-with-index: one range-partitioned sort, a reliable
+    checkpoint so partition ids stay fixed, then per-partition offsets (one
+    row per partition, so broadcasting them is bounded).  No window over the
+    whole table, no single task, nothing through the driver.
+    """
+    from pyspark.sql import Window
+
+    s = (df.orderBy(*order_cols)
+         .withColumn("_pid", F.spark_partition_id())
+         .withColumn("_mid", F.monotonically_increasing_id()))
+    s = cut_lineage(s)
+    offs = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_m0"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = offs.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+    return (s.join(F.broadcast(offs), "_pid")
+            .withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("long"))
+            .drop("_pid", "_mid", "_c", "_m0", "_off"))
