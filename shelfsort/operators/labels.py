@@ -94,8 +94,9 @@ def sub_candidates(labels: DataFrame) -> DataFrame:
     return rows.groupBy("cat_key", "candidate").agg(F.min("seq").alias("cand_ord"))
 
 
-def coerce_legacy(raw: DataFrame) -> DataFrame:
-    """P1 + P2 for a label table read as all strings (CSV import)."""
+def coerce_legacy(raw: DataFrame, keep: list | None = None) -> DataFrame:
+    """P1 + P2 for a label table read as all strings (CSV import); ``keep``
+    lists extra columns passed through unchanged."""
     df = raw
     if "sub_category" in df.columns and "product_name" not in df.columns:
         df = df.withColumnRenamed("sub_category", "product_name")
@@ -108,6 +109,7 @@ def coerce_legacy(raw: DataFrame) -> DataFrame:
         F.expr("try_cast(sub_confidence as double)").alias("sub_confidence"),
         F.when(F.col("corrected") == "True", F.lit(True))
         .when(F.col("corrected") == "False", F.lit(False)).alias("corrected"),
+        *(keep or []),
     )
 
 
