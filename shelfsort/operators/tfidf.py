@@ -14,8 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import split_ws, word_char_grams
-from ..session import bounded_broadcast
+from ..functions.text import split_ws
+from ..session import bounded_broadcast, cut_lineage
 
 # Margin for the prefix-filter bound so floating-point rounding can never
 # drop a pair whose exact score sits on the threshold.
@@ -25,11 +25,18 @@ _EPS = 1e-9
 def doc_grams(docs: DataFrame, id_cols: list, text_col: str) -> DataFrame:
     """Count char_wb grams per document: ``(*id_cols, gram, cnt)``.
 
-    Words are exploded first and grams per word after, so a very long text
-    never builds one giant array; counting is a partial (map-side) aggregate.
+    Flat generators instead of nested arrays: words, then gram lengths, then
+    start offsets, then one ``substring`` — a very long text never builds one
+    giant array, and counting is a partial (map-side) aggregate.
     """
-    words = docs.select(*id_cols, F.explode(split_ws(F.lower(F.col(text_col)))).alias("_w"))
-    grams = words.select(*id_cols, F.explode(word_char_grams(F.col("_w"))).alias("gram"))
+    p = F.concat(F.lit(" "), F.col("_w"), F.lit(" "))
+    words = (docs.select(*id_cols, F.explode(split_ws(F.lower(F.col(text_col)))).alias("_w"))
+             .select(*id_cols, p.alias("_p")))
+    wn = words.select(*id_cols, "_p", F.explode(
+        F.sequence(F.lit(2), F.least(F.lit(4), F.length("_p")))).alias("_n"))
+    wi = wn.select(*id_cols, "_p", "_n", F.explode(
+        F.sequence(F.lit(1), F.length("_p") - F.col("_n") + 1)).alias("_i"))
+    grams = wi.select(*id_cols, F.expr("substring(_p, _i, _n)").alias("gram"))
     return grams.groupBy(*id_cols, "gram").agg(F.count(F.lit(1)).alias("cnt"))
 
 
@@ -75,20 +82,25 @@ def _with_rem2(vec: DataFrame, id_cols: list) -> DataFrame:
 
 def fit_index(docs: DataFrame, text_col: str, max_features: int | None,
               broadcast_max_rows: int = 1_000_000) -> TfidfIndex:
-    """Fit TF-IDF on ``docs`` (``doc_id``, ``doc_ord``, text, payload...)."""
+    """Fit TF-IDF on ``docs`` (``doc_id``, ``doc_ord``, text, payload...).
+
+    The index is an artifact: gram counts, vocabulary and postings are each
+    materialised once (reliable checkpoint), so every later query reads them
+    instead of re-exploding the corpus."""
     n_docs = docs.count()
-    counts = doc_grams(docs, ["doc_id"], text_col)
+    counts = cut_lineage(doc_grams(docs, ["doc_id"], text_col))
     vocab = vocabulary(counts, max_features)
-    vocab = vocab.select("gram", "df", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    vocab = cut_lineage(vocab.select(
+        "gram", "df", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf")))
     if max_features and max_features <= broadcast_max_rows:
         vocab_j = F.broadcast(vocab)          # bounded by the cap
     else:
         vocab_j = bounded_broadcast(vocab, broadcast_max_rows)
     weights = counts.join(vocab_j, "gram").select(
         "doc_id", "gram", "df", ((1.0 + F.log("cnt")) * F.col("idf")).alias("w"))
-    postings = _with_rem2(_normalise(weights, ["doc_id"]), ["doc_id"]).select(
-        "doc_id", "gram", "df", "w", "rem2")
-    meta = docs.drop(text_col)
+    postings = cut_lineage(_with_rem2(_normalise(weights, ["doc_id"]), ["doc_id"]).select(
+        "doc_id", "gram", "df", "w", "rem2"))
+    meta = cut_lineage(docs.drop(text_col))
     return TfidfIndex(vocab=vocab, postings=postings, meta=meta, n_docs=n_docs)
 
 
@@ -121,7 +133,7 @@ def vector_match(queries: DataFrame, text_col: str, index: TfidfIndex, threshold
     keeps the grams whose inclusive suffix norm is ≥ t.  Only prefix grams
     are joined — mostly rare ones, so hot grams rarely enter the join.
     """
-    qvec = query_vectors(queries, text_col, index, broadcast_max_rows)
+    qvec = cut_lineage(query_vectors(queries, text_col, index, broadcast_max_rows))
     t2 = (threshold - _EPS) ** 2
     qp = qvec.where(F.col("rem2") >= t2).select("qid", "gram")
     dp = index.postings.where(F.col("rem2") >= t2).select("doc_id", "gram")
@@ -137,7 +149,7 @@ def vector_topk(queries: DataFrame, text_col: str, index: TfidfIndex, k: int,
                 broadcast_max_rows: int = 1_000_000) -> DataFrame:
     """The ``k`` best index rows per query by (score desc, doc_ord asc),
     no threshold; only rows sharing a gram (score > 0) are returned."""
-    qvec = query_vectors(queries, text_col, index, broadcast_max_rows)
+    qvec = cut_lineage(query_vectors(queries, text_col, index, broadcast_max_rows))
     scores = (qvec.select("qid", "gram", F.col("w").alias("wq"))
               .join(index.postings.select("doc_id", "gram", F.col("w").alias("wd")), "gram")
               .groupBy("qid", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("score")))

@@ -205,18 +205,27 @@ def tfidf_weights(counts: str, ndocs: str, out: str, vocab: str | None = None) -
 
 
 def _vector_common() -> str:
+    """Brand-catalogue index (seeds + distinct ``p_name p_brand``) and the
+    names' cleaned lookups as queries; all cosines by a brute-force join."""
+    bc_name = "p_name || ' ' || p_brand"
     return (
-        "WITH " + LB + ", " + W2 + ", "
-        "d AS (SELECT seq AS gid, product_name AS text, category, pri2 * 1000000000000 + seq AS ord FROM w2), "
+        "WITH " + NAMES + ", " + SEEDS + ", "
+        "bc_rows AS (SELECT " + bc_name + " AS name, upper(substring(split_part(" + bc_name + ", ' ', 2), 1, 1)) || "
+        "lower(substring(split_part(" + bc_name + ", ' ', 2), 2)) AS category, min(p_partkey) + 100 AS ord "
+        "FROM part GROUP BY 1), "
+        "d AS (SELECT ord AS gid, name AS text, category, name AS sub, ord FROM seeds "
+        "UNION ALL SELECT ord, name, category, name, ord FROM bc_rows), "
         + grams_cte("dc", "d", "gid", "text") + ", "
         "voc AS (SELECT gram, count(*) AS df FROM dc GROUP BY gram ORDER BY sum(cnt) DESC, gram LIMIT 20000), "
         "nd AS (SELECT count(*)::DOUBLE AS n FROM d), "
         + tfidf_weights("dc", "(SELECT n FROM nd)", "dw", "voc") + ", "
-        + grams_cte("qc", "benchmark", "item_id", "text") + ", "
+        "u AS (SELECT DISTINCT " + strip("product_name") + " AS name FROM names), "
+        "qq AS (SELECT name AS qid, " + clean("name") + " AS text FROM u), "
+        + grams_cte("qc", "qq", "qid", "text") + ", "
         + tfidf_weights("qc", "(SELECT n FROM nd)", "qw", "voc") + ", "
-        "sc AS (SELECT qw.gid AS item_id, dw.gid AS doc_seq, sum(qw.w * dw.w) AS score "
+        "sc AS (SELECT qw.gid AS qid, dw.gid AS did, sum(qw.w * dw.w) AS score "
         "FROM qw JOIN dw ON qw.gram = dw.gram GROUP BY 1, 2), "
-        "sco AS (SELECT sc.*, d.ord, d.category FROM sc JOIN d ON d.gid = sc.doc_seq)"
+        "sco AS (SELECT sc.*, d.ord, d.category, d.sub FROM sc JOIN d ON d.gid = sc.did)"
     )
 
 
@@ -349,12 +358,13 @@ def build() -> dict[str, str]:
         + tfidf_weights("g", "(SELECT count(*)::DOUBLE FROM benchmark)", "tw") +
         " SELECT gid AS item_id, gram, round(w, 6) AS weight FROM tw")
     q["vector_match"] = (
-        _vector_common() + ", b AS (SELECT item_id, arg_min({'s': doc_seq, 'c': category, 'v': score}, "
-        "{'ns': -score, 'o': ord}) AS x FROM sco WHERE score >= 0.8 GROUP BY item_id) "
-        "SELECT item_id, x.s AS doc_seq, x.c AS category, round(x.v, 6) AS score FROM b")
+        _vector_common() + ", b AS (SELECT qid, arg_min({'c': category, 'm': sub, 'v': score}, "
+        "{'ns': -score, 'o': ord}) AS x FROM sco WHERE score >= 0.8 GROUP BY qid) "
+        "SELECT n.row_id, b.x.c AS category, b.x.m AS matched, round(b.x.v, 6) AS score FROM names n "
+        "JOIN b ON b.qid = " + strip("n.product_name"))
     q["vector_topk"] = (
-        _vector_common() + " SELECT item_id, rank, doc_seq, round(score, 6) AS score FROM "
-        "(SELECT item_id, doc_seq, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, ord) AS rank "
+        _vector_common() + " SELECT qid AS name, rank, sub AS matched, round(score, 6) AS score FROM "
+        "(SELECT qid, sub, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, ord) AS rank "
         "FROM sco) WHERE rank <= 5")
     q["token_sort"] = (
         "WITH RECURSIVE " + NAMES + ", "

@@ -28,9 +28,10 @@ class TagState:
 
 
 def index_docs(train: DataFrame) -> DataFrame:
-    """Index rows = training rows (W2) in training order."""
+    """Index rows = training rows (W2) in training order.  ``doc_id`` is the
+    row's ``seq`` — a compact key, since postings repeat it per gram."""
     return train.select(
-        F.col("product_name").alias("doc_id"),
+        F.col("seq").alias("doc_id"),
         F.col("train_ord").alias("doc_ord"),
         F.col("product_name").alias("text"),
         "category", "predicted_sub_category")
@@ -54,10 +55,9 @@ def build_state(labels: DataFrame, cfg: TagConfig = TagConfig(),
            .groupBy("grp", "product_name")
            .agg(F.min_by(F.struct(F.col("seq").alias("doc_ord"),
                                   F.col("predicted_sub_category").alias("sub")), "seq").alias("r"))
-           .select("grp", F.concat_ws("\u0001", "grp", "product_name").alias("doc_id"),
+           .select("grp", F.col("r.doc_ord").alias("doc_id"),
                    "r.doc_ord", F.col("product_name").alias("text"), "r.sub"))
     if index is None and with_index and cfg.use_vector:
         index = fit_index(index_docs(train), "text", cfg.index_max_features, cfg.broadcast_max_rows)
-        index.postings.persist(lv)
     return TagState(labels=labels, keys=keys, known=known, first_known=first,
                     candidates=cands, reliable=rel, index=index, model=model)

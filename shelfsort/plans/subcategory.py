@@ -91,7 +91,7 @@ def subcategorize(pairs: DataFrame, state: TagState, cfg: TagConfig = TagConfig(
     q = open2.select(F.concat_ws("\u0001", "name", "category").alias("qid"),
                      F.col("cat_key").alias("grp"), F.col("lookup").alias("text"))
     corpus = state.candidates.select(
-        F.col("cat_key").alias("grp"), F.concat_ws("\u0001", "cat_key", "candidate").alias("doc_id"),
+        F.col("cat_key").alias("grp"), F.col("cand_ord").alias("doc_id"),
         F.col("cand_ord").alias("doc_ord"), F.col("candidate").alias("text"))
     vb = in_corpus_best(q, corpus).join(corpus.select("doc_id", F.col("text").alias("vec_sub")), "doc_id")
     vb = vb.select("qid", "vec_sub", F.col("score").alias("vec_score"))

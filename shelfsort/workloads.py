@@ -279,29 +279,43 @@ def q_tfidf_weights(spark, d):
                                F.round("w", 6).alias("weight"))
 
 
-def _doc_index(spark, d):
-    train = L.training_rows(doc_labels(spark, d))
-    return fit_index(index_docs(train).withColumn("seq", F.col("doc_ord.seq")), "text",
-                     CFG.index_max_features, CFG.broadcast_max_rows)
+def brand_catalogue(spark, d) -> DataFrame:
+    """Seeds plus one seed row per distinct ``p_name p_brand`` (category =
+    the noun of ``p_name``, sub-category = ``p_name``)."""
+    part = _t(spark, d, "part").select("p_partkey", "p_name", "p_brand")
+    cat = (part.groupBy(F.concat_ws(" ", "p_name", "p_brand").alias("sub_category"))
+           .agg(F.min("p_partkey").alias("k"), F.first("p_name").alias("p_name"))
+           .select("sub_category",
+                   F.initcap(F.split_part(F.col("sub_category"), F.lit(" "), F.lit(2))).alias("category"),
+                   (F.col("k") + 100).alias("ord")))
+    return L.seed_insert(L.empty_labels(spark), _seed_rows(spark).unionByName(cat))
+
+
+def _name_index(spark, d):
+    train = L.training_rows(brand_catalogue(spark, d))
+    return fit_index(index_docs(train), "text", CFG.index_max_features, CFG.broadcast_max_rows)
+
+
+def _name_queries(spark, d):
+    n = names(spark, d).select(strip_ws("product_name").alias("name")).distinct()
+    return n.select(F.col("name").alias("qid"), clean_name("name").alias("text"))
 
 
 def q_vector_match(spark, d):
-    """Passages matched against the document index (cosine ≥ 0.80)."""
-    idx = _doc_index(spark, d)
-    q = _t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    hits = vector_match(q, "text", idx, CFG.vector_threshold)
-    return hits.join(idx.meta.select("doc_id", "seq", "category"), "doc_id").select(
-        F.col("qid").alias("item_id"), F.col("seq").alias("doc_seq"), "category",
-        F.round("score", 6).alias("score"))
+    """names' lookup texts against the brand-catalogue index (cosine ≥ 0.80)."""
+    idx = _name_index(spark, d)
+    hits = vector_match(_name_queries(spark, d), "text", idx, CFG.vector_threshold)
+    n = names(spark, d).select("row_id", strip_ws("product_name").alias("qid"))
+    return n.join(hits, "qid").join(idx.meta.select("doc_id", "category", "predicted_sub_category"), "doc_id").select(
+        "row_id", "category", F.col("predicted_sub_category").alias("matched"), F.round("score", 6).alias("score"))
 
 
 def q_vector_topk(spark, d):
-    """5 nearest index rows per passage."""
-    idx = _doc_index(spark, d)
-    q = _t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    top = vector_topk(q, "text", idx, CFG.vector_top_k)
-    return top.join(idx.meta.select("doc_id", "seq"), "doc_id").select(
-        F.col("qid").alias("item_id"), "rank", F.col("seq").alias("doc_seq"),
+    """5 nearest catalogue rows per distinct name."""
+    idx = _name_index(spark, d)
+    top = vector_topk(_name_queries(spark, d), "text", idx, CFG.vector_top_k)
+    return top.join(idx.meta.select("doc_id", "predicted_sub_category"), "doc_id").select(
+        F.col("qid").alias("name"), "rank", F.col("predicted_sub_category").alias("matched"),
         F.round("score", 6).alias("score"))
 
 
@@ -387,7 +401,7 @@ def q_sub_vector(spark, d):
     q = u.select(F.concat_ws("\u0001", "name", "category").alias("qid"),
                  F.lower("category").alias("grp"), clean_name("name").alias("text"))
     c = _cands(spark, d)
-    corpus = c.select(F.col("cat_key").alias("grp"), F.concat_ws("\u0001", "cat_key", "candidate").alias("doc_id"),
+    corpus = c.select(F.col("cat_key").alias("grp"), F.col("cand_ord").alias("doc_id"),
                       F.col("cand_ord").alias("doc_ord"), F.col("candidate").alias("text"))
     best = in_corpus_best(q, corpus).join(corpus.select("doc_id", F.col("text").alias("sub_category")), "doc_id")
     res = p.withColumn("qid", F.concat_ws("\u0001", "name", "category")).join(best, "qid")
