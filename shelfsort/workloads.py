@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .config import DEFAULT_SEEDS, LABEL_COLUMNS, TagConfig
 from .functions.fuzz import indel_ratio, token_set_ratio
@@ -576,3 +577,65 @@ QUERIES = {
     "sub_requests": q_sub_requests,
     "stats_report": q_stats_report,
 }
+
+
+# ------------------------------------------------- workflows and stream
+
+def _scratch(spark, tag: str) -> str:
+    import uuid
+    from .session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/work-{tag}-{uuid.uuid4().hex[:8]}"
+
+
+def q_bootstrap_retrain(spark, d):
+    """F1 + F2: seed the catalogue into an empty store, train, refresh."""
+    from .plans.workflow import bootstrap
+    from .sources.store import LabelStore
+    store = LabelStore(spark, _scratch(spark, "boot"))
+    part = _t(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("k"))
+    seeds = _seed_rows(spark).unionByName(part.select(
+        F.col("p_name").alias("sub_category"),
+        F.initcap(F.split_part(F.col("p_name"), F.lit(" "), F.lit(2))).alias("category"),
+        (F.col("k") + 100).alias("ord")))
+    _, metrics = bootstrap(spark, store, seeds, TagConfig(model_max_iter=100), with_cv=False)
+    return metrics.select("status", "samples", "seeded", F.size("classes").alias("n_classes"))
+
+
+def q_correct_retrain(spark, d):
+    """U3 + F5: corrections from ``labels`` applied to the catalogue store."""
+    from .plans.workflow import correct_and_retrain
+    from .sources.store import LabelStore
+    store = LabelStore(spark, _scratch(spark, "corr"))
+    store.save_as_is(catalogue_labels(spark, d))
+    n = names(spark, d).join(_t(spark, d, "labels").withColumnRenamed("doc_id", "row_id"), "row_id")
+    corr = n.select(strip_ws("product_name").alias("product_name"),
+                    F.when(F.col("quality") == 1, "Beer").otherwise("Hard Beverage").alias("category"),
+                    F.col("row_id").alias("ord"))
+    _, metrics = correct_and_retrain(spark, store, corr, TagConfig(model_max_iter=100), with_cv=False)
+    return metrics.select("status", "samples", "correction_applied")
+
+
+def q_stream_tag(spark, d):
+    """Names arrive as CSV files; the stream tags each micro-batch,
+    writes output and merges predictions into the snapshot store."""
+    from .sources.store import LabelStore
+    from .streaming.incremental import start
+    root = _scratch(spark, "stream")
+    n = names(spark, d)
+    (n.select("row_id", "product_name").repartition(2, "row_id")
+     .write.option("header", True).csv(f"{root}/in"))
+    store = LabelStore(spark, f"{root}/labels")
+    store.save_as_is(catalogue_labels(spark, d))
+    schema = T.StructType([T.StructField("row_id", T.StringType()), T.StructField("product_name", T.StringType())])
+    q = start(spark, f"{root}/in", schema, store, f"{root}/out", f"{root}/ckpt", TagConfig(use_ml=False),
+              retrain=False)
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/out").select(
+        "row_id", "predicted_category", "predicted_sub_category", "category_source", "needs_review")
+
+
+QUERIES.update({
+    "bootstrap_retrain": q_bootstrap_retrain,
+    "correct_retrain": q_correct_retrain,
+    "stream_tag": q_stream_tag,
+})
