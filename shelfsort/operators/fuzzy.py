@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fuzz import indel_ratio
+from ..session import spread
 
 
 def _bigram_items(strings: DataFrame) -> DataFrame:
@@ -76,7 +77,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
     short = (left.where(F.length("s") <= short_max).select(F.col("sid").alias("lid"), "s")
              .join(right.where(F.length("s") <= short_max).select(F.col("sid").alias("rid"), "s"), "s")
              .select("lid", "rid"))
-    pairs = cand.unionByName(short)
+    pairs = spread(cand.unionByName(short))
     scored = (pairs.join(left.select(F.col("sid").alias("lid"), F.col("s").alias("ls")), "lid")
               .join(right.select(F.col("sid").alias("rid"), F.col("s").alias("rs")), "rid")
               .withColumn("score", indel_ratio("ls", "rs")))

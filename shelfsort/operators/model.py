@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import bounded_broadcast, dense_positions
+from ..session import bounded_broadcast, cut_lineage, dense_positions, spread
 from .tfidf import doc_grams, vocabulary
 
 
@@ -34,9 +34,7 @@ class CategoryModel:
     lr: LogisticRegressionModel
 
 
-def _fit_vocab(train: DataFrame, max_features: int) -> tuple[DataFrame, int]:
-    n_docs = train.count()
-    counts = doc_grams(train, ["rid"], "text")
+def _fit_vocab(counts: DataFrame, n_docs: int, max_features: int) -> tuple[DataFrame, int]:
     vocab = vocabulary(counts, max_features)
     vocab = vocab.select(
         "gram", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
@@ -45,11 +43,8 @@ def _fit_vocab(train: DataFrame, max_features: int) -> tuple[DataFrame, int]:
     return vocab, n_features
 
 
-def features(df: DataFrame, vocab: DataFrame, n_features: int,
-             broadcast_max_rows: int = 1_000_000) -> DataFrame:
-    """``(rid, features)`` for ``(rid, text)``; texts without known grams get
-    an all-zero vector."""
-    counts = doc_grams(df, ["rid"], "text")
+def _pack(ids: DataFrame, counts: DataFrame, vocab: DataFrame, n_features: int,
+          broadcast_max_rows: int) -> DataFrame:
     w = (counts.join(bounded_broadcast(vocab, broadcast_max_rows), "gram")
          .select("rid", "idx", ((1.0 + F.log("cnt")) * F.col("idf")).alias("w")))
     packed = w.groupBy("rid").agg(
@@ -59,10 +54,17 @@ def features(df: DataFrame, vocab: DataFrame, n_features: int,
         "rid",
         F.transform("kv", lambda x: x["idx"].cast("int")).alias("ix"),
         F.transform("kv", lambda x: x["w"] / F.col("norm")).alias("vx"))
-    return (df.select("rid").join(packed, "rid", "left")
+    return (ids.select("rid").join(packed, "rid", "left")
             .select("rid", _sparse(F.lit(n_features), "ix", "vx").alias("features")))
 
 
+def features(df: DataFrame, vocab: DataFrame, n_features: int,
+             broadcast_max_rows: int = 1_000_000) -> DataFrame:
+    """``(rid, features)`` for ``(rid, text)``; texts without known grams get
+    an all-zero vector."""
+    return _pack(df, doc_grams(df, ["rid"], "text"), vocab, n_features, broadcast_max_rows)
+
+
 def class_counts(train: DataFrame) -> DataFrame:
     """Rows per label."""
     return train.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
@@ -71,19 +73,27 @@ def class_counts(train: DataFrame) -> DataFrame:
 def fit(train: DataFrame, c: float = 5.0, max_iter: int = 1000,
         max_features: int = 10_000) -> CategoryModel | None:
     """M1–M3: ``train`` has ``(rid, text, label)``; returns None for < 2 classes."""
+    train = spread(train).persist()
     classes = sorted(r["label"] for r in class_counts(train).select("label").collect())
     if len(classes) < 2:
         return None
     n = train.count()
-    vocab, n_features = _fit_vocab(train, max_features)
+    counts = cut_lineage(doc_grams(train, ["rid"], "text"))      # grams once, reused below
+    vocab, n_features = _fit_vocab(counts, n, max_features)
     vocab = vocab.persist()
     idx = train.sparkSession.createDataFrame(list(enumerate(classes)), "y int, label string")
-    data = (features(train, vocab, n_features).join(train.select("rid", "label"), "rid")
+    data = (_pack(train, counts, vocab, n_features, 1_000_000).join(train.select("rid", "label"), "rid")
             .join(F.broadcast(idx), "label"))
+    # one task per core: each optimiser iteration is a job over these partitions
+    data = data.coalesce(train.sparkSession.sparkContext.defaultParallelism)
     lr = LogisticRegression(featuresCol="features", labelCol="y", family="multinomial",
                             maxIter=max_iter, regParam=1.0 / (c * n), elasticNetParam=0.0,
                             standardization=False, tol=1e-6)
-    return CategoryModel(vocab=vocab, n_features=n_features, classes=classes, lr=lr.fit(data))
+    data = data.persist()
+    model = CategoryModel(vocab=vocab, n_features=n_features, classes=classes, lr=lr.fit(data))
+    data.unpersist()
+    train.unpersist()
+    return model
 
 
 def predict(model: CategoryModel, df: DataFrame) -> DataFrame:

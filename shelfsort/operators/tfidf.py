@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import split_ws
-from ..session import bounded_broadcast, cut_lineage
+from ..session import bounded_broadcast, cut_lineage, spread
 
 # Margin for the prefix-filter bound so floating-point rounding can never
 # drop a pair whose exact score sits on the threshold.
@@ -30,7 +30,7 @@ def doc_grams(docs: DataFrame, id_cols: list, text_col: str) -> DataFrame:
     giant array, and counting is a partial (map-side) aggregate.
     """
     p = F.concat(F.lit(" "), F.col("_w"), F.lit(" "))
-    words = (docs.select(*id_cols, F.explode(split_ws(F.lower(F.col(text_col)))).alias("_w"))
+    words = (spread(docs).select(*id_cols, F.explode(split_ws(F.lower(F.col(text_col)))).alias("_w"))
              .select(*id_cols, p.alias("_p")))
     wn = words.select(*id_cols, "_p", F.explode(
         F.sequence(F.lit(2), F.least(F.lit(4), F.length("_p")))).alias("_n"))

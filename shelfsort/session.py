@@ -94,3 +94,17 @@ def dense_positions(df: DataFrame, order_cols: list, name: str) -> DataFrame:
     return (s.join(F.broadcast(offs), "_pid")
             .withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("long"))
             .drop("_pid", "_mid", "_c", "_m0", "_off"))
+
+
+def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Round-robin ``df`` to ``factor × defaultParallelism`` partitions when it
+    has fewer than the cluster's parallelism.
+
+    Expanding operators (gram explosion ×25 rows, pair scoring) must not run
+    in the few tasks a small or single-row-group input gives; on a cluster
+    reading thousands of splits this is a no-op.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target * factor)
+    return df

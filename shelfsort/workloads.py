@@ -31,7 +31,7 @@ from .plans.category import categorize, exact_lookup, fuzzy_match, prepare
 from .plans.state import build_state, index_docs
 from .plans.subcategory import keyword_score, _alias_map
 from .plans.tagging import batch_output, review_flag, tag, tag_batch_results
-from .session import bounded_broadcast
+from .session import bounded_broadcast, spread
 
 # Test input names (FIXTURES §4), in fixture order.
 FIXTURE_NAMES = (
@@ -50,7 +50,7 @@ CFG = TagConfig()
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
 # ---------------------------------------------------------------- adapters
@@ -383,16 +383,18 @@ def q_sub_keyword(spark, d):
 
 
 def q_sub_fuzzy(spark, d):
-    """Best token-set candidate (argmax kept) per (name, category)."""
-    p = _sub_pairs(spark, d).withColumn("cat_key", F.lower("category")).withColumn(
+    """Best token-set candidate (argmax kept) per distinct (name,
+    category), joined back to the rows."""
+    p = _sub_pairs(spark, d)
+    u = p.select("name", "category").distinct().withColumn("cat_key", F.lower("category")).withColumn(
         "lookup", clean_name("name"))
-    pc = p.join(F.broadcast(_cands(spark, d)), "cat_key")
+    pc = u.join(F.broadcast(_cands(spark, d)), "cat_key")
     s = pc.withColumn("fs", token_set_ratio(F.lower(strip_generic("lookup")),
                                             F.lower(strip_generic("candidate"))) / 100.0)
-    best = s.groupBy("row_id").agg(F.min_by(F.struct("candidate", "fs"),
-                                            F.struct(-F.col("fs"), F.col("cand_ord"))).alias("b"))
-    return best.select("row_id", F.col("b.candidate").alias("sub_category"),
-                       F.round("b.fs", 6).alias("score"))
+    best = s.groupBy("name", "category").agg(F.min_by(F.struct("candidate", "fs"),
+                                                      F.struct(-F.col("fs"), F.col("cand_ord"))).alias("b"))
+    return p.join(best, ["name", "category"]).select(
+        "row_id", F.col("b.candidate").alias("sub_category"), F.round("b.fs", 6).alias("score"))
 
 
 def q_sub_vector(spark, d):
