@@ -188,6 +188,52 @@ def token_set_sql(src: str, key: str, a: str, b: str, out: str) -> str:
     )
 
 
+def refit_sql(x: str, qq: str, co: str) -> str:
+    """Per query: TF-IDF refitted on its group's rows plus the query itself;
+    ``{x}best(qid, x)`` with x = {c: sub, s: score}, all rows considered."""
+    return (
+        f"{x}qd AS (SELECT qid, 'q' AS did, text FROM {qq} UNION ALL SELECT q.qid, c.did, c.text FROM {qq} q JOIN {co} c ON c.grp = q.grp), "
+        f"{x}qd_w AS (SELECT qid, did, unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM {x}qd), "
+        f"{x}qd_p AS (SELECT qid, did, ' ' || w || ' ' AS p FROM {x}qd_w WHERE w <> ''), "
+        f"{x}qd_n AS (SELECT qid, did, p, unnest(generate_series(2, least(4, length(p)))) AS n FROM {x}qd_p), "
+        f"{x}qd_i AS (SELECT qid, did, p, n, unnest(generate_series(1, length(p) - n + 1)) AS i FROM {x}qd_n), "
+        f"{x}qd_c AS (SELECT qid, did, substring(p, i, n) AS gram, count(*) AS cnt FROM {x}qd_i GROUP BY 1, 2, 3), "
+        f"{x}qn AS (SELECT qid, count(*)::DOUBLE AS n FROM {x}qd GROUP BY qid), "
+        f"{x}qdf AS (SELECT qid, gram, count(*) AS df FROM {x}qd_c GROUP BY 1, 2), "
+        f"{x}qw0 AS (SELECT c.qid, c.did, c.gram, (1 + ln(c.cnt)) * (ln((1 + qn.n) / (1 + f.df)) + 1) AS w FROM {x}qd_c c "
+        f"JOIN {x}qdf f ON f.qid = c.qid AND f.gram = c.gram JOIN {x}qn qn ON qn.qid = c.qid), "
+        f"{x}qw AS (SELECT qid, did, gram, w / sqrt(sum(w * w) OVER (PARTITION BY qid, did)) AS w FROM {x}qw0), "
+        f"{x}dots AS (SELECT a.qid, b.did, sum(a.w * b.w) AS s FROM {x}qw a JOIN {x}qw b ON a.qid = b.qid AND a.gram = b.gram "
+        f"AND a.did = 'q' AND b.did <> 'q' GROUP BY 1, 2), "
+        f"{x}allc AS (SELECT q.qid, c.did, c.ord, c.sub, coalesce(d.s, 0.0) AS s FROM {qq} q JOIN {co} c ON c.grp = q.grp "
+        f"LEFT JOIN {x}dots d ON d.qid = q.qid AND d.did = c.did), "
+        f"{x}best AS (SELECT qid, arg_min({{'c': sub, 's': s}}, {{'ns': -s, 'o': ord}}) AS x FROM {x}allc GROUP BY qid)"
+    )
+
+
+def keyword_sql(x: str, pc: str) -> str:
+    """J8 per (key, candidate) of ``pc(key, nl, candidate, cl, cand_ord)`` →
+    ``{x}kw(key, x)`` with the best candidate (score > 0)."""
+    from .config import STYLE_ALIASES, SUB_SKIP_WORDS
+    alias_rows = [f"({_q(c)}, {_q(a)})" for c, als in STYLE_ALIASES.items() for a in als]
+    skip = "[" + ", ".join(_q(w) for w in SUB_SKIP_WORDS) + "]"
+    return (
+        f"{x}al(candidate, alias) AS (VALUES " + ", ".join(alias_rows) + "), "
+        f"{x}a2 AS (SELECT pc.key, pc.candidate, max(length(al.alias)) AS m FROM {pc} pc JOIN {x}al al "
+        f"ON al.candidate = pc.candidate WHERE list_contains(regexp_extract_all(pc.nl, '[\\p{{L}}\\p{{N}}_]+'), al.alias) "
+        f"GROUP BY 1, 2), "
+        f"{x}bw AS (SELECT pc.*, list_filter(regexp_extract_all(cl, '[a-z]+'), lambda w: length(w) >= 4 AND NOT list_contains("
+        + skip + f", w)) AS cw, regexp_extract_all(nl, '[a-z]+') AS nw FROM {pc} pc), "
+        f"{x}bm AS (SELECT *, list_filter(cw, lambda c: len(list_filter(nw, lambda n: length(n) >= 4 AND "
+        f"(starts_with(n, substring(c, 1, 5)) OR starts_with(c, substring(n, 1, 5))))) > 0) AS mt FROM {x}bw), "
+        f"{x}sc AS (SELECT bm.key, bm.candidate, bm.cand_ord, CASE WHEN strpos(bm.nl, bm.cl) > 0 THEN 100 + length(bm.cl) "
+        f"WHEN a2.m IS NOT NULL THEN 90 + a2.m ELSE len(bm.mt) * 10 + coalesce(list_sum(list_transform(bm.mt, "
+        f"lambda x: length(x))), 0) END AS s FROM {x}bm bm LEFT JOIN {x}a2 a2 ON a2.key = bm.key AND a2.candidate = bm.candidate), "
+        f"{x}kw AS (SELECT key, arg_min({{'c': candidate, 's': s}}, {{'ns': -s, 'o': cand_ord}}) AS x FROM {x}sc "
+        f"WHERE s > 0 GROUP BY key)"
+    )
+
+
 def _known_prompt_list() -> str:
     return ("(SELECT string_agg('  ' || CAST(rn AS VARCHAR) || '. ' || category, chr(10) ORDER BY rn) "
             "FROM (SELECT category, row_number() OVER (ORDER BY category) AS rn "
@@ -393,28 +439,12 @@ def build() -> dict[str, str]:
         "best AS (SELECT name, arg_min({'c': category, 'r': r}, {'nr': -r, 'o': ord}) AS x FROM sc WHERE r >= 85 GROUP BY name) "
         "SELECT n.row_id, best.x.c AS category, round(best.x.r / 100.0, 6) AS score FROM names n "
         "JOIN best ON best.name = " + strip("n.product_name"))
-    alias_rows = []
-    from .config import STYLE_ALIASES, SUB_SKIP_WORDS
-    for cand, als in STYLE_ALIASES.items():
-        for a in als:
-            alias_rows.append(f"({_q(cand)}, {_q(a)})")
-    skip = "[" + ", ".join(_q(w) for w in SUB_SKIP_WORDS) + "]"
     q["sub_keyword"] = (
         "WITH " + _sub_pairs() + ", "
-        "al(candidate, alias) AS (VALUES " + ", ".join(alias_rows) + "), "
-        "pc AS (SELECT sp.row_id, sp.name, lower(sp.name) AS nl, c.candidate, lower(c.candidate) AS cl, c.cand_ord "
+        "pc AS (SELECT sp.row_id AS key, lower(sp.name) AS nl, c.candidate, lower(c.candidate) AS cl, c.cand_ord "
         "FROM sp JOIN cands c ON c.cat_key = lower(sp.category)), "
-        "a2 AS (SELECT pc.row_id, pc.candidate, max(length(al.alias)) AS m FROM pc JOIN al ON al.candidate = pc.candidate "
-        "WHERE list_contains(regexp_extract_all(pc.nl, '[\\p{L}\\p{N}_]+'), al.alias) GROUP BY 1, 2), "
-        "bw AS (SELECT pc.*, list_filter(regexp_extract_all(cl, '[a-z]+'), lambda w: length(w) >= 4 AND NOT list_contains("
-        + skip + ", w)) AS cw, regexp_extract_all(nl, '[a-z]+') AS nw FROM pc), "
-        "bm AS (SELECT *, list_filter(cw, lambda c: len(list_filter(nw, lambda n: length(n) >= 4 AND (starts_with(n, substring(c, 1, 5)) "
-        "OR starts_with(c, substring(n, 1, 5))))) > 0) AS mt FROM bw), "
-        "sc AS (SELECT bm.row_id, bm.candidate, bm.cand_ord, CASE WHEN strpos(bm.nl, bm.cl) > 0 THEN 100 + length(bm.cl) "
-        "WHEN a2.m IS NOT NULL THEN 90 + a2.m ELSE len(bm.mt) * 10 + coalesce(list_sum(list_transform(bm.mt, lambda x: length(x))), 0) END AS s "
-        "FROM bm LEFT JOIN a2 ON a2.row_id = bm.row_id AND a2.candidate = bm.candidate) "
-        "SELECT row_id, x.c AS sub_category, x.s::INTEGER AS score FROM (SELECT row_id, arg_min({'c': candidate, 's': s}, "
-        "{'ns': -s, 'o': cand_ord}) AS x FROM sc WHERE s > 0 GROUP BY row_id)")
+        + keyword_sql("k_", "pc") +
+        " SELECT key AS row_id, x.c AS sub_category, x.s::INTEGER AS score FROM k_kw")
     q["sub_fuzzy"] = (
         "WITH RECURSIVE " + _sub_pairs() + ", "
         "pc AS (SELECT sp.row_id || '|' || c.candidate AS k, sp.row_id, c.candidate, c.cand_ord, "
@@ -424,24 +454,7 @@ def build() -> dict[str, str]:
         "sc AS (SELECT pc.row_id, pc.candidate, pc.cand_ord, ts.tset / 100.0 AS s FROM pc JOIN ts ON ts.key = pc.k) "
         "SELECT row_id, x.c AS sub_category, round(x.s, 6) AS score FROM (SELECT row_id, arg_min({'c': candidate, 's': s}, "
         "{'ns': -s, 'o': cand_ord}) AS x FROM sc GROUP BY row_id)")
-    refit = (
-        # one corpus per query: the group's rows plus the query itself, refitted
-        "qd AS (SELECT qid, 'q' AS did, text FROM qq UNION ALL SELECT qq.qid, co.did, co.text FROM qq JOIN co ON co.grp = qq.grp), "
-        "qd_w AS (SELECT qid, did, unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM qd), "
-        "qd_p AS (SELECT qid, did, ' ' || w || ' ' AS p FROM qd_w WHERE w <> ''), "
-        "qd_n AS (SELECT qid, did, p, unnest(generate_series(2, least(4, length(p)))) AS n FROM qd_p), "
-        "qd_i AS (SELECT qid, did, p, n, unnest(generate_series(1, length(p) - n + 1)) AS i FROM qd_n), "
-        "qd_c AS (SELECT qid, did, substring(p, i, n) AS gram, count(*) AS cnt FROM qd_i GROUP BY 1, 2, 3), "
-        "qn AS (SELECT qid, count(*)::DOUBLE AS n FROM qd GROUP BY qid), "
-        "qdf AS (SELECT qid, gram, count(*) AS df FROM qd_c GROUP BY 1, 2), "
-        "qw0 AS (SELECT c.qid, c.did, c.gram, (1 + ln(c.cnt)) * (ln((1 + qn.n) / (1 + f.df)) + 1) AS w FROM qd_c c "
-        "JOIN qdf f ON f.qid = c.qid AND f.gram = c.gram JOIN qn ON qn.qid = c.qid), "
-        "qw AS (SELECT qid, did, gram, w / sqrt(sum(w * w) OVER (PARTITION BY qid, did)) AS w FROM qw0), "
-        "dots AS (SELECT a.qid, b.did, sum(a.w * b.w) AS s FROM qw a JOIN qw b ON a.qid = b.qid AND a.gram = b.gram "
-        "AND a.did = 'q' AND b.did <> 'q' GROUP BY 1, 2), "
-        "allc AS (SELECT qq.qid, co.did, co.ord, co.sub, coalesce(dots.s, 0.0) AS s FROM qq JOIN co ON co.grp = qq.grp "
-        "LEFT JOIN dots ON dots.qid = qq.qid AND dots.did = co.did), "
-        "best AS (SELECT qid, arg_min({'c': sub, 's': s}, {'ns': -s, 'o': ord}) AS x FROM allc GROUP BY qid) ")
+    refit = refit_sql("", "qq", "co") + " "
     q["sub_vector"] = (
         "WITH " + _sub_pairs() + ", "
         "qq AS (SELECT DISTINCT name || chr(1) || category AS qid, lower(category) AS grp, " + clean("name") + " AS text FROM sp), "
@@ -512,4 +525,97 @@ def build() -> dict[str, str]:
     return q
 
 
+def tag_names_sql() -> str:
+    """Both layer chains over the names with the catalogue label table
+    (model and reviewer off): every layer computed for every distinct name,
+    the first hit chosen by CASE."""
+    nm = strip("product_name")
+    fr = ratio("flcs.lcs", "f0.a", "f0.b")
+    return (
+        "WITH RECURSIVE " + NAMES + ", " + CATALOGUE + ", "
+        "u AS (SELECT DISTINCT " + nm + " AS name FROM names), "
+        "u1 AS (SELECT name, " + hint("name") + " AS hint, " + clean("name") + " AS lookup FROM u), "
+        "keys AS (SELECT lower(name) AS key, category, ord FROM catalogue), "
+        "known AS (SELECT DISTINCT category FROM catalogue), "
+        "ex AS (SELECT u1.*, coalesce(k1.category, k2.category) AS exact_cat, "
+        "CASE WHEN u1.hint IN (SELECT category FROM known) THEN u1.hint END AS kw_cat FROM u1 "
+        "LEFT JOIN keys k1 ON k1.key = lower(u1.name) LEFT JOIN keys k2 ON k2.key = lower(u1.lookup)), "
+        # fuzzy (token-sort ≥ 85, first key on ties)
+        "f0 AS (SELECT ex.name, k.category, k.ord, " + sort_tokens("lower(ex.lookup)") + " AS a, "
+        + sort_tokens("k.key") + " AS b FROM ex, keys k), "
+        "fpr AS (SELECT row_number() OVER () AS pid, a, b FROM (SELECT DISTINCT a, b FROM f0)), "
+        + lcs_cte("fpr", "flcs") + ", "
+        "fsc AS (SELECT f0.name, f0.category, f0.ord, " + fr + " AS r FROM f0 JOIN fpr ON fpr.a = f0.a AND fpr.b = f0.b "
+        "JOIN flcs ON flcs.pid = fpr.pid), "
+        "fz AS (SELECT name, arg_min({'c': category, 'r': r}, {'nr': -r, 'o': ord}) AS x FROM fsc WHERE r >= 85 GROUP BY name), "
+        # vector index over the catalogue (cosine ≥ 0.80)
+        "d AS (SELECT ord AS gid, name AS text, category, ord FROM catalogue), "
+        + grams_cte("dc", "d", "gid", "text") + ", "
+        "voc AS (SELECT gram, count(*) AS df FROM dc GROUP BY gram ORDER BY sum(cnt) DESC, gram LIMIT 20000), "
+        "nd AS (SELECT count(*)::DOUBLE AS n FROM d), "
+        + tfidf_weights("dc", "(SELECT n FROM nd)", "dw", "voc") + ", "
+        "vq AS (SELECT name AS qid, lookup AS text FROM ex), "
+        + grams_cte("vqc", "vq", "qid", "text") + ", "
+        + tfidf_weights("vqc", "(SELECT n FROM nd)", "vqw", "voc") + ", "
+        "vsc AS (SELECT vqw.gid AS name, dw.gid AS did, sum(vqw.w * dw.w) AS score FROM vqw JOIN dw ON vqw.gram = dw.gram "
+        "GROUP BY 1, 2), "
+        "vb AS (SELECT vsc.name, arg_min({'c': d.category, 's': vsc.score}, {'ns': -vsc.score, 'o': d.ord}) AS x "
+        "FROM vsc JOIN d ON d.gid = vsc.did WHERE vsc.score >= 0.8 GROUP BY vsc.name), "
+        "cat AS (SELECT ex.name, ex.lookup, "
+        "CASE WHEN exact_cat IS NOT NULL THEN 'dataset' WHEN kw_cat IS NOT NULL THEN 'keyword' "
+        "WHEN fz.x IS NOT NULL THEN 'fuzzy' WHEN vb.x IS NOT NULL THEN 'vector' ELSE 'fallback' END AS source, "
+        "coalesce(exact_cat, kw_cat, fz.x.c, vb.x.c, (SELECT min(category) FROM known)) AS category, "
+        "CASE WHEN exact_cat IS NOT NULL THEN 1.0 WHEN kw_cat IS NOT NULL THEN 0.9 WHEN fz.x IS NOT NULL THEN fz.x.r / 100.0 "
+        "WHEN vb.x IS NOT NULL THEN vb.x.s ELSE 0.0 END AS confidence "
+        "FROM ex LEFT JOIN fz ON fz.name = ex.name LEFT JOIN vb ON vb.name = ex.name), "
+        # sub-category chain
+        "cands AS (SELECT lower(category) AS cat_key, name AS candidate, ord AS cand_ord FROM catalogue), "
+        "cmap AS (SELECT cat_key, lower(candidate) AS lc, arg_max(candidate, cand_ord) AS canon FROM cands GROUP BY 1, 2), "
+        "sp AS (SELECT cat.*, lower(category) AS cat_key FROM cat WHERE lower(category) IN (SELECT cat_key FROM cands)), "
+        "se AS (SELECT sp.*, coalesce(c1.canon, c2.canon) AS exact_sub FROM sp "
+        "LEFT JOIN cmap c1 ON c1.cat_key = sp.cat_key AND c1.lc = lower(sp.name) "
+        "LEFT JOIN cmap c2 ON c2.cat_key = sp.cat_key AND c2.lc = lower(sp.lookup)), "
+        "spc AS (SELECT sp.name AS key, lower(sp.name) AS nl, c.candidate, lower(c.candidate) AS cl, c.cand_ord "
+        "FROM sp JOIN cands c ON c.cat_key = sp.cat_key), "
+        + keyword_sql("k_", "spc") + ", "
+        "tpc AS (SELECT sp.name || chr(1) || c.candidate AS k, sp.name, c.candidate, c.cand_ord, "
+        "lower(" + strip_generic("sp.lookup") + ") AS a, lower(" + strip_generic("c.candidate") + ") AS b "
+        "FROM sp JOIN cands c ON c.cat_key = sp.cat_key), "
+        + token_set_sql("tpc", "k", "a", "b", "ts") + ", "
+        "sfz AS (SELECT tpc.name, arg_min({'c': tpc.candidate, 's': ts.tset / 100.0}, {'ns': -ts.tset, 'o': tpc.cand_ord}) AS x "
+        "FROM tpc JOIN ts ON ts.key = tpc.k GROUP BY tpc.name), "
+        "vqq AS (SELECT name AS qid, cat_key AS grp, lookup AS text FROM sp), "
+        "vco AS (SELECT cat_key AS grp, CAST(cand_ord AS VARCHAR) AS did, cand_ord AS ord, candidate AS sub, "
+        "candidate AS text FROM cands), "
+        + refit_sql("v_", "vqq", "vco") + ", "
+        "rel AS (SELECT lower(category) AS grp, name AS text, name AS sub, ord FROM catalogue), "
+        "relg AS (SELECT grp FROM rel GROUP BY grp HAVING count(*) >= 2), "
+        "dqq AS (SELECT name AS qid, cat_key AS grp, name AS text FROM sp WHERE cat_key IN (SELECT grp FROM relg)), "
+        "dco AS (SELECT grp, CAST(ord AS VARCHAR) AS did, ord, sub, text FROM rel), "
+        + refit_sql("d_", "dqq", "dco") + ", "
+        "sub AS (SELECT se.name, "
+        "CASE WHEN se.exact_sub IS NOT NULL THEN 'exact' WHEN kw.x IS NOT NULL THEN 'keyword' "
+        "WHEN sfz.x.s >= 0.55 THEN 'fuzzy' WHEN vbest.x.s >= 0.55 THEN 'vector' WHEN dbest.x.s >= 0.55 THEN 'dataset_sim' "
+        "ELSE 'fallback' END AS sub_source, "
+        "CASE WHEN se.exact_sub IS NOT NULL THEN se.exact_sub WHEN kw.x IS NOT NULL THEN kw.x.c "
+        "WHEN sfz.x.s >= 0.55 THEN sfz.x.c WHEN vbest.x.s >= 0.55 THEN vbest.x.c WHEN dbest.x.s >= 0.55 THEN dbest.x.c "
+        "WHEN dbest.x IS NOT NULL THEN dbest.x.c ELSE sfz.x.c END AS sub, "
+        "CASE WHEN se.exact_sub IS NOT NULL THEN 1.0 WHEN kw.x IS NOT NULL THEN 0.92 "
+        "WHEN sfz.x.s >= 0.55 THEN sfz.x.s WHEN vbest.x.s >= 0.55 THEN vbest.x.s WHEN dbest.x.s >= 0.55 THEN dbest.x.s "
+        "WHEN dbest.x IS NOT NULL THEN dbest.x.s ELSE sfz.x.s END AS sub_conf "
+        "FROM se LEFT JOIN k_kw kw ON kw.key = se.name LEFT JOIN sfz ON sfz.name = se.name "
+        "LEFT JOIN v_best vbest ON vbest.qid = se.name LEFT JOIN d_best dbest ON dbest.qid = se.name), "
+        "subs AS (SELECT name, sub, sub_conf, sub_source FROM sub UNION ALL "
+        "SELECT name, 'Unknown', 0.0, 'fallback' FROM cat WHERE lower(category) NOT IN (SELECT cat_key FROM cands)) "
+        "SELECT n.row_id, c.category, round(c.confidence, 6) AS confidence, c.source, "
+        "s.sub AS predicted_sub_category, round(s.sub_conf, 6) AS sub_confidence, s.sub_source, "
+        "c.source = 'fallback' AS low_confidence, "
+        "CASE c.source WHEN 'dataset' THEN 'dataset_exact' WHEN 'keyword' THEN 'dataset_exact' "
+        "WHEN 'fuzzy' THEN 'dataset_exact,fuzzy' WHEN 'vector' THEN 'dataset_exact,fuzzy,vector' "
+        "ELSE 'dataset_exact,fuzzy,vector,ml,llm,fallback' END AS steps "
+        "FROM names n JOIN cat c ON c.name = " + strip("n.product_name") + " JOIN subs s ON s.name = c.name"
+    )
+
+
 ORACLE_SQL = build()
+ORACLE_SQL["tag_names"] = tag_names_sql()
