@@ -155,7 +155,7 @@ def vector_topk(queries: DataFrame, text_col: str, index: TfidfIndex, k: int,
               .groupBy("qid", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("score")))
     scores = scores.join(index.meta.select("doc_id", "doc_ord"), "doc_id")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_ord")
-    return (scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return (scores.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
             .select("qid", "doc_id", "score", "rank"))
 
 

@@ -525,15 +525,11 @@ def build() -> dict[str, str]:
     return q
 
 
-def tag_names_sql() -> str:
-    """Both layer chains over the names with the catalogue label table
-    (model and reviewer off): every layer computed for every distinct name,
-    the first hit chosen by CASE."""
-    nm = strip("product_name")
+def _category_chain() -> str:
+    """CTEs from distinct names ``u(name)`` to ``cat(name, lookup, source,
+    category, confidence)`` with the catalogue label table."""
     fr = ratio("flcs.lcs", "f0.a", "f0.b")
     return (
-        "WITH RECURSIVE " + NAMES + ", " + CATALOGUE + ", "
-        "u AS (SELECT DISTINCT " + nm + " AS name FROM names), "
         "u1 AS (SELECT name, " + hint("name") + " AS hint, " + clean("name") + " AS lookup FROM u), "
         "keys AS (SELECT lower(name) AS key, category, ord FROM catalogue), "
         "known AS (SELECT DISTINCT category FROM catalogue), "
@@ -568,10 +564,18 @@ def tag_names_sql() -> str:
         "CASE WHEN exact_cat IS NOT NULL THEN 1.0 WHEN kw_cat IS NOT NULL THEN 0.9 WHEN fz.x IS NOT NULL THEN fz.x.r / 100.0 "
         "WHEN vb.x IS NOT NULL THEN vb.x.s ELSE 0.0 END AS confidence "
         "FROM ex LEFT JOIN fz ON fz.name = ex.name LEFT JOIN vb ON vb.name = ex.name), "
+        ""
+    )
+
+
+def _sub_chain() -> str:
+    """CTEs from ``cat(name, lookup, category)`` (one category per name) to
+    ``subs(name, sub, sub_conf, sub_source)``."""
+    return (
         # sub-category chain
         "cands AS (SELECT lower(category) AS cat_key, name AS candidate, ord AS cand_ord FROM catalogue), "
         "cmap AS (SELECT cat_key, lower(candidate) AS lc, arg_max(candidate, cand_ord) AS canon FROM cands GROUP BY 1, 2), "
-        "sp AS (SELECT cat.*, lower(category) AS cat_key FROM cat WHERE lower(category) IN (SELECT cat_key FROM cands)), "
+        "sp AS (SELECT cat.*, lower(category) AS cat_key FROM (SELECT DISTINCT name, lookup, category FROM cat) cat WHERE lower(category) IN (SELECT cat_key FROM cands)), "
         "se AS (SELECT sp.*, coalesce(c1.canon, c2.canon) AS exact_sub FROM sp "
         "LEFT JOIN cmap c1 ON c1.cat_key = sp.cat_key AND c1.lc = lower(sp.name) "
         "LEFT JOIN cmap c2 ON c2.cat_key = sp.cat_key AND c2.lc = lower(sp.lookup)), "
@@ -606,7 +610,18 @@ def tag_names_sql() -> str:
         "FROM se LEFT JOIN k_kw kw ON kw.key = se.name LEFT JOIN sfz ON sfz.name = se.name "
         "LEFT JOIN v_best vbest ON vbest.qid = se.name LEFT JOIN d_best dbest ON dbest.qid = se.name), "
         "subs AS (SELECT name, sub, sub_conf, sub_source FROM sub UNION ALL "
-        "SELECT name, 'Unknown', 0.0, 'fallback' FROM cat WHERE lower(category) NOT IN (SELECT cat_key FROM cands)) "
+        "SELECT DISTINCT name, 'Unknown', 0.0, 'fallback' FROM cat WHERE lower(category) NOT IN (SELECT cat_key FROM cands)) "
+    )
+
+
+def tag_names_sql() -> str:
+    """Both layer chains over the names with the catalogue label table
+    (model and reviewer off): every layer computed for every distinct name,
+    the first hit chosen by CASE."""
+    return (
+        "WITH RECURSIVE " + NAMES + ", " + CATALOGUE + ", "
+        "u AS (SELECT DISTINCT " + strip("product_name") + " AS name FROM names), "
+        + _category_chain() + _sub_chain() +
         "SELECT n.row_id, c.category, round(c.confidence, 6) AS confidence, c.source, "
         "s.sub AS predicted_sub_category, round(s.sub_conf, 6) AS sub_confidence, s.sub_source, "
         "c.source = 'fallback' AS low_confidence, "
@@ -617,5 +632,102 @@ def tag_names_sql() -> str:
     )
 
 
+def _j6_ctes() -> str:
+    """Distinct names ``us(name, ord, s, rk)`` and leader decisions
+    ``ndn(name, ord, leader_ord, leader_name, score)`` (row-by-row loop)."""
+    nm = strip("product_name")
+    r = ratio("lcs.lcs", "pr.a", "pr.b")
+    return (
+        "uu AS (SELECT " + nm + " AS name, min(row_id) AS ord FROM names GROUP BY 1), "
+        "us AS (SELECT name, ord, " + sort_tokens("name") + " AS s, row_number() OVER (ORDER BY ord) AS rk FROM uu), "
+        "p0 AS (SELECT b.ord AS j, a.ord AS i, a.s AS sa, b.s AS sb FROM us a JOIN us b ON a.ord < b.ord "
+        "AND 200.0 * least(length(a.s), length(b.s)) >= 92 * (length(a.s) + length(b.s))), "
+        "pr AS (SELECT row_number() OVER () AS pid, a, b FROM (SELECT DISTINCT sb AS a, sa AS b FROM p0)), "
+        + lcs_cte("pr") + ", "
+        "edges AS (SELECT p0.j, p0.i, " + r + " AS score FROM p0 "
+        "JOIN pr ON pr.a = p0.sb AND pr.b = p0.sa JOIN lcs ON lcs.pid = pr.pid WHERE " + r + " >= 92), "
+        "walk(k, lst) AS (SELECT 0, []::BIGINT[] UNION ALL "
+        "SELECT w.k + 1, CASE WHEN EXISTS (SELECT 1 FROM edges e WHERE e.j = us.ord AND list_contains(w.lst, e.i)) "
+        "THEN w.lst ELSE list_append(w.lst, us.ord) END FROM walk w JOIN us ON us.rk = w.k + 1), "
+        "fin AS (SELECT lst FROM walk ORDER BY k DESC LIMIT 1), "
+        "fol AS (SELECT e.j AS ord, arg_min({'i': e.i, 's': e.score}, {'ns': -e.score, 'i': e.i}) AS x FROM edges e, fin "
+        "WHERE list_contains(fin.lst, e.i) AND NOT list_contains(fin.lst, e.j) GROUP BY e.j), "
+        "ndn AS (SELECT us.name, us.ord, fol.x.i AS leader_ord, l.name AS leader_name, fol.x.s AS score FROM us "
+        "LEFT JOIN fol ON fol.ord = us.ord LEFT JOIN us l ON l.ord = fol.x.i)"
+    )
+
+
+def batch_tag_sql() -> str:
+    """in-batch reuse, leaders through both chains, followers copy their
+    leader's category and confidence, D5 output with the review flag."""
+    return (
+        "WITH RECURSIVE " + NAMES + ", " + CATALOGUE + ", " + _j6_ctes() + ", "
+        "rws AS (SELECT n.row_id, " + strip("n.product_name") + " AS name, p.p_brand AS brand FROM names n "
+        "JOIN part p ON p.p_partkey = n.row_id), "
+        "rr AS (SELECT rws.*, CASE WHEN ndn.leader_name IS NULL AND rws.row_id = ndn.ord THEN NULL "
+        "ELSE coalesce(ndn.leader_name, rws.name) END AS reuse_from FROM rws JOIN ndn ON ndn.name = rws.name), "
+        "u AS (SELECT DISTINCT name FROM rr WHERE reuse_from IS NULL), "
+        + _category_chain().replace("cat AS (SELECT ex.name", "catl AS (SELECT ex.name") +
+        "fl AS (SELECT DISTINCT name, reuse_from FROM rr WHERE reuse_from IS NOT NULL), "
+        "catf AS (SELECT fl.name, " + clean("fl.name") + " AS lookup, 'batch_cache' AS source, c.category, c.confidence "
+        "FROM fl JOIN catl c ON c.name = fl.reuse_from), "
+        "cat AS (SELECT name, lookup, source, category, confidence FROM catl UNION ALL "
+        "SELECT name, lookup, source, category, confidence FROM catf), "
+        + _sub_chain() +
+        ", res AS (SELECT rr.row_id, rr.brand, rr.name, coalesce(c.category, f.category) AS category, "
+        "coalesce(c.confidence, f.confidence) AS confidence, coalesce(c.source, f.source) AS source FROM rr "
+        "LEFT JOIN catl c ON rr.reuse_from IS NULL AND c.name = rr.name "
+        "LEFT JOIN catf f ON rr.reuse_from IS NOT NULL AND f.name = rr.name) "
+        "SELECT res.row_id, coalesce(res.brand, '') AS brand, res.name AS product_name, res.category AS predicted_category, "
+        "s.sub AS predicted_sub_category, round(res.confidence, 4) AS category_confidence, "
+        "round(s.sub_conf, 4) AS sub_category_confidence, res.source AS category_source, "
+        "s.sub_source AS sub_category_source, CASE WHEN res.confidence < 0.75 OR s.sub_conf < 0.5 "
+        "OR res.source IN ('llm', 'fallback', 'batch_cache') THEN 'YES' ELSE 'NO' END AS needs_review "
+        "FROM res JOIN subs s ON s.name = res.name"
+    )
+
+
+def near_dup_sql() -> str:
+    """J6 as the row-by-row loop: all earlier pairs passing a necessary
+    length test, SQL LCS, then a recursive walk over names in first-appearance
+    order that keeps the leader list."""
+    nm = strip("product_name")
+    r = ratio("lcs.lcs", "pr.a", "pr.b")
+    return (
+        "WITH RECURSIVE " + NAMES + ", "
+        "u AS (SELECT " + nm + " AS name, min(row_id) AS ord FROM names GROUP BY 1), "
+        "us AS (SELECT name, ord, " + sort_tokens("name") + " AS s, row_number() OVER (ORDER BY ord) AS rk FROM u), "
+        "p0 AS (SELECT b.ord AS j, a.ord AS i, a.s AS sa, b.s AS sb FROM us a JOIN us b ON a.ord < b.ord "
+        "AND 200.0 * least(length(a.s), length(b.s)) >= 92 * (length(a.s) + length(b.s))), "
+        "pr AS (SELECT row_number() OVER () AS pid, a, b FROM (SELECT DISTINCT sb AS a, sa AS b FROM p0)), "
+        + lcs_cte("pr") + ", "
+        "edges AS (SELECT p0.j, p0.i, " + r + " AS score FROM p0 "
+        "JOIN pr ON pr.a = p0.sb AND pr.b = p0.sa JOIN lcs ON lcs.pid = pr.pid WHERE " + r + " >= 92), "
+        "walk(k, lst) AS (SELECT 0, []::BIGINT[] UNION ALL "
+        "SELECT w.k + 1, CASE WHEN EXISTS (SELECT 1 FROM edges e WHERE e.j = us.ord AND list_contains(w.lst, e.i)) "
+        "THEN w.lst ELSE list_append(w.lst, us.ord) END FROM walk w JOIN us ON us.rk = w.k + 1), "
+        "fin AS (SELECT lst FROM walk ORDER BY k DESC LIMIT 1), "
+        "fol AS (SELECT e.j AS ord, arg_min({'i': e.i, 's': e.score}, {'ns': -e.score, 'i': e.i}) AS x FROM edges e, fin "
+        "WHERE list_contains(fin.lst, e.i) AND NOT list_contains(fin.lst, e.j) GROUP BY e.j) "
+        "SELECT us.ord, fol.x.i AS leader_ord, round(fol.x.s, 6) AS score FROM us LEFT JOIN fol ON fol.ord = us.ord"
+    )
+
+
 ORACLE_SQL = build()
 ORACLE_SQL["tag_names"] = tag_names_sql()
+ORACLE_SQL["near_dup_leaders"] = near_dup_sql()
+ORACLE_SQL["batch_tag"] = batch_tag_sql()
+ORACLE_SQL["model_train"] = (
+    "WITH " + LB + ", " + W2 + " SELECT 'trained' AS status, count(*) AS samples, "
+    "(SELECT string_agg(category, ',' ORDER BY category) FROM (SELECT DISTINCT category FROM w2)) AS classes FROM w2")
+ORACLE_SQL["bootstrap_retrain"] = (
+    "WITH " + CATALOGUE + " SELECT 'trained' AS status, count(*) AS samples, count(*) AS seeded, "
+    "count(DISTINCT category)::INTEGER AS n_classes FROM catalogue")
+ORACLE_SQL["correct_retrain"] = (
+    "WITH " + NAMES + ", " + CATALOGUE + ", "
+    "c AS (SELECT DISTINCT lower(" + strip("n.product_name") + ") AS k FROM names n JOIN labels l ON l.doc_id = n.row_id) "
+    "SELECT 'trained' AS status, (SELECT count(*) FROM catalogue) + "
+    "(SELECT count(*) FROM c WHERE k NOT IN (SELECT lower(name) FROM catalogue)) AS samples, "
+    "true AS correction_applied")
+ORACLE_SQL["review_counts"] = ("WITH b AS (" + batch_tag_sql().replace("WITH RECURSIVE", "WITH RECURSIVE", 1) + ") "
+                               "SELECT needs_review, category_source, count(*) AS n FROM b GROUP BY 1, 2")

@@ -45,7 +45,7 @@ def bootstrap(spark: SparkSession, store: LabelStore, seeds: DataFrame,
     labels = L.seed_insert(store.load(), seeds)
     store.save_as_is(labels)
     state, metrics = train_and_refresh(spark, store.load(), cfg, with_cv)
-    return state, metrics.withColumn("seeded", F.lit(seeds.count()))
+    return state, metrics.withColumn("seeded", F.lit(seeds.count()).cast("long"))
 
 
 def new_samples(labels: DataFrame) -> int:
