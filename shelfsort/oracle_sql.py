@@ -717,6 +717,22 @@ ORACLE_SQL = build()
 ORACLE_SQL["tag_names"] = tag_names_sql()
 ORACLE_SQL["near_dup_leaders"] = near_dup_sql()
 ORACLE_SQL["batch_tag"] = batch_tag_sql()
+ORACLE_SQL["cv_folds"] = (
+    "WITH " + NAMES + ", "
+    "u AS (SELECT " + strip("product_name") + " AS name, min(row_id) AS ord FROM names GROUP BY 1), "
+    "t AS (SELECT ord AS rid, " + hint("name") + " AS label, ord FROM u), "
+    "t2 AS (SELECT * FROM t WHERE label IS NOT NULL), "
+    "cls AS (SELECT label, min(ord) AS first, count(*) AS n FROM t2 GROUP BY label), "
+    "kk AS (SELECT least(5, min(n)) AS k FROM cls), "
+    "cs AS (SELECT label, n, coalesce(sum(n) OVER (ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM cls), "
+    # every position of the class-ordered list, its class and p mod k
+    "pos AS (SELECT cs.label, p, p % (SELECT k FROM kk) AS f FROM cs, "
+    "LATERAL (SELECT unnest(generate_series(cs.s::BIGINT, (cs.s + cs.n - 1)::BIGINT)) AS p)), "
+    "alloc AS (SELECT label, f, count(*) AS a FROM pos GROUP BY 1, 2), "
+    "cum AS (SELECT label, f, sum(a) OVER (PARTITION BY label ORDER BY f) AS c FROM alloc), "
+    "rk AS (SELECT rid, label, row_number() OVER (PARTITION BY label ORDER BY ord) - 1 AS r FROM t2) "
+    "SELECT rk.rid, rk.label, min(cum.f)::INTEGER AS fold FROM rk JOIN cum ON cum.label = rk.label AND cum.c > rk.r "
+    "GROUP BY rk.rid, rk.label")
 ORACLE_SQL["model_train"] = (
     "WITH " + LB + ", " + W2 + " SELECT 'trained' AS status, count(*) AS samples, "
     "(SELECT string_agg(category, ',' ORDER BY category) FROM (SELECT DISTINCT category FROM w2)) AS classes FROM w2")

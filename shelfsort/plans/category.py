@@ -106,10 +106,9 @@ def categorize(names: DataFrame, state: TagState, cfg: TagConfig = TagConfig(),
     open3 = res.where(~decided & F.col("fz_cat").isNull() & F.col("vec_cat").isNull())
     if cfg.use_ml and state.model is not None:
         ml = model_predict(state.model, open3.select(F.col("name").alias("rid"), F.col("lookup").alias("text")))
-        res = res.join(ml.withColumnRenamed("rid", "name"), "name", "left")
+        res = cut_lineage(res.join(ml.withColumnRenamed("rid", "name"), "name", "left"))
     else:
         res = res.withColumn("ml_category", F.lit(None).cast("string")).withColumn("ml_confidence", F.lit(None).cast("double"))
-    res = cut_lineage(res)
     ml_hit = F.col("ml_confidence") >= cfg.ml_threshold
     if replies is not None:
         open4 = res.where(~decided & F.col("fz_cat").isNull() & F.col("vec_cat").isNull() & ~F.coalesce(ml_hit, F.lit(False)))

@@ -641,3 +641,31 @@ QUERIES.update({
     "correct_retrain": q_correct_retrain,
     "stream_tag": q_stream_tag,
 })
+
+
+def _hint_train(spark, d) -> DataFrame:
+    """Distinct names labelled by their keyword hint, in first-appearance order."""
+    n = names(spark, d).select("row_id", strip_ws("product_name").alias("name"))
+    u = n.groupBy("name").agg(F.min("row_id").alias("ord"))
+    return (u.select(F.col("ord").alias("rid"), F.col("name").alias("text"),
+                     category_hint("name").alias("label"), "ord")
+            .where(F.col("label").isNotNull()))
+
+
+def q_cv_folds(spark, d):
+    """M6: unshuffled stratified fold of every training row (k = min(5,
+    smallest class))."""
+    from .operators.model import class_counts, stratified_folds
+    t = _hint_train(spark, d)
+    k = min(5, int(class_counts(t).agg(F.min("n")).first()[0]))
+    return stratified_folds(t, k).select("rid", "label", "fold")
+
+
+def q_model_cv(spark, d):
+    """M6 + A9: cross-validated accuracy of the classifier on hint labels."""
+    from .operators.model import cross_validate
+    acc = cross_validate(_hint_train(spark, d), CFG.model_c, 50, CFG.model_max_features)
+    return spark.createDataFrame([(acc,)], "cv_accuracy double")
+
+
+QUERIES.update({"cv_folds": q_cv_folds, "model_cv": q_model_cv})

@@ -42,3 +42,22 @@ def test_training_rules(spark):
     q = spark.createDataFrame([(0, "amber lager beer"), (1, "hard seltzer")], "rid long, text string")
     p = {x.rid: x.ml_category for x in predict(model, q).collect()}
     assert p == {0: "Beer", 1: "Hard"}
+
+
+def test_model_and_index_roundtrip(spark, tmp_path):
+    from shelfsort.operators.tfidf import fit_index
+    from shelfsort.plans.workflow import load_index, load_model, save_index, save_model
+    rows = [(i, t, y, i) for i, (t, y) in enumerate([("red lager beer", "Beer"), ("pale ale beer", "Beer"),
+                                                    ("hard seltzer lime", "Hard"), ("hard cider", "Hard")])]
+    df = spark.createDataFrame(rows, "rid long, text string, label string, ord long")
+    m = fit(df, max_iter=20)
+    save_model(m, str(tmp_path / "m"))
+    m2 = load_model(spark, str(tmp_path / "m"))
+    q = spark.createDataFrame([(0, "amber lager beer")], "rid long, text string")
+    assert predict(m, q).first().ml_category == predict(m2, q).first().ml_category == "Beer"
+    docs = spark.createDataFrame([(i, i, t, "c", "s") for i, (_, t, _, _) in enumerate(rows)],
+                                 "doc_id long, doc_ord long, text string, category string, predicted_sub_category string")
+    idx = fit_index(docs, "text", 100)
+    save_index(idx, str(tmp_path / "i"))
+    idx2 = load_index(spark, str(tmp_path / "i"))
+    assert idx2.n_docs == 4 and idx2.postings.count() == idx.postings.count()
