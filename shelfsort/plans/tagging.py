@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import BATCH_OUTPUT_COLUMNS, REVIEW_SOURCES, TagConfig
 from ..functions.text import clean_name, strip_ws
 from ..operators.neardup import leaders
+from ..session import bounded_broadcast, cut_lineage
 from .category import categorize
 from .state import TagState
 from .subcategory import subcategorize
@@ -25,12 +26,20 @@ def tag(names: DataFrame, state: TagState, cfg: TagConfig = TagConfig(),
     rows = names.select(F.col(id_col).alias("row_id"), strip_ws(name_col).alias("name"))
     cat = categorize(rows, state, cfg, replies)
     sub = subcategorize(cat.select("name", "lookup", "category").distinct(), state, cfg, sub_replies)
-    res = cat.join(sub, ["name", "category"], "left")
+    res = _per_name(cat.join(sub, ["name", "category"], "left"), cfg)
     return rows.join(res, "name").select(
         "row_id", F.col("name").alias("sub_category"), "category", "confidence", "source",
         "predicted_sub_category", "sub_confidence", "sub_source", "low_confidence", "steps_tried")
 
 
+def _per_name(res: DataFrame, cfg: TagConfig) -> DataFrame:
+    """Materialise per-name results and make the join back to the rows
+    skew-proof: a batch may repeat one name for a third of its rows, so the
+    result side is broadcast when its row count is proven bounded; above the
+    bound the join stays a shuffle and AQE splits the hot partition."""
+    return bounded_broadcast(cut_lineage(res), cfg.broadcast_max_rows)
+
+
 def review_flag(cfg: TagConfig = TagConfig()):
     """YES when a confidence is low or the source needs a look."""
     cond = ((F.col("confidence") < cfg.review_category_threshold)
@@ -61,7 +70,7 @@ def tag_batch_results(batch: DataFrame, state: TagState, cfg: TagConfig = TagCon
     rows = batch.select(F.col(id_col).alias("row_id"),
                         strip_ws(F.coalesce(F.col(col), F.lit(""))).alias("name"))
     firsts = rows.groupBy("name").agg(F.min("row_id").alias("ord"))
-    lead = leaders(firsts, cfg.batch_cache_threshold)
+    lead = _per_name(leaders(firsts, cfg.batch_cache_threshold), cfg)
     # rows: the first row of a leader name is a leader; every other row reuses
     r = rows.join(lead, "name")
     is_leader_row = F.col("leader_name").isNull() & (F.col("row_id") == F.col("ord"))
@@ -79,9 +88,11 @@ def tag_batch_results(batch: DataFrame, state: TagState, cfg: TagConfig = TagCon
     pairs = lead_res.select("name", "lookup", "category").unionByName(
         follow.select("name", "lookup", "category")).distinct()
     sub = subcategorize(pairs, state, cfg, sub_replies)
+    lead_res = _per_name(lead_res.join(sub, ["name", "category"], "left"), cfg)
+    follow = _per_name(follow.join(sub, ["name", "category"], "left"), cfg)
     lead_rows = r.where(F.col("reuse_from").isNull()).select("row_id", "name").join(lead_res, "name")
     foll_rows = r.where(F.col("reuse_from").isNotNull()).select("row_id", "name").join(follow, "name")
-    res = lead_rows.unionByName(foll_rows).join(sub, ["name", "category"], "left")
+    res = lead_rows.unionByName(foll_rows)
     return res.select(
         "row_id", F.col("name").alias("sub_category"), "category", "confidence", "source",
         "predicted_sub_category", "sub_confidence", "sub_source", "low_confidence", "steps_tried")
