@@ -717,6 +717,8 @@ ORACLE_SQL = build()
 ORACLE_SQL["tag_names"] = tag_names_sql()
 ORACLE_SQL["near_dup_leaders"] = near_dup_sql()
 ORACLE_SQL["batch_tag"] = batch_tag_sql()
+ORACLE_SQL["stream_tag"] = ("WITH b AS (" + batch_tag_sql() + ") SELECT row_id, predicted_category, "
+                            "predicted_sub_category, category_source, needs_review FROM b")
 ORACLE_SQL["cv_folds"] = (
     "WITH " + NAMES + ", "
     "u AS (SELECT " + strip("product_name") + " AS name, min(row_id) AS ord FROM names GROUP BY 1), "

@@ -38,12 +38,16 @@ def _mark(spark: SparkSession, store: LabelStore, batch_id: int, version: int) -
 
 
 def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, store: LabelStore,
-                  out_path: str, cfg: TagConfig, retrain: bool = True) -> None:
+                  out_path: str, cfg: TagConfig, retrain: bool = True,
+                  order_col: str | None = None) -> None:
+    """Tag one micro-batch.  Row order (it decides in-batch reuse) comes from
+    ``order_col`` when the input carries one, else from the read order."""
     if batch.limit(1).count() == 0:
         return
     # row ids must stay fixed across the two uses below, also after a lost
     # executor: materialise the numbered batch once
-    rows = cut_lineage(batch.withColumn("_rid", F.monotonically_increasing_id()))
+    rid = F.col(order_col).cast("long") if order_col else F.monotonically_increasing_id()
+    rows = cut_lineage(batch.withColumn("_rid", rid))
     labels = store.load()
     state = build_state(labels, cfg)
     res = tag_batch_results(rows, state, cfg, id_col="_rid").persist()
@@ -61,12 +65,12 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, store: L
 
 def start(spark: SparkSession, input_dir: str, schema: T.StructType, store: LabelStore,
           out_path: str, checkpoint: str, cfg: TagConfig = TagConfig(),
-          available_now: bool = True, retrain: bool = True):
+          available_now: bool = True, retrain: bool = True, order_col: str | None = None):
     """Start the stream; with ``available_now`` it processes what is there
     and stops (call ``awaitTermination``)."""
     src = (spark.readStream.schema(schema).option("header", True).option("multiLine", True)
            .option("escape", '"').csv(input_dir))
     w = (src.writeStream.option("checkpointLocation", checkpoint)
-         .foreachBatch(lambda df, bid: process_batch(spark, df, bid, store, out_path, cfg, retrain)))
+         .foreachBatch(lambda df, bid: process_batch(spark, df, bid, store, out_path, cfg, retrain, order_col)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()

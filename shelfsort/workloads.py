@@ -630,10 +630,11 @@ def q_stream_tag(spark, d):
     store.save_as_is(catalogue_labels(spark, d))
     schema = T.StructType([T.StructField("row_id", T.StringType()), T.StructField("product_name", T.StringType())])
     q = start(spark, f"{root}/in", schema, store, f"{root}/out", f"{root}/ckpt", TagConfig(use_ml=False),
-              retrain=False)
+              retrain=False, order_col="row_id")
     q.awaitTermination()
     return spark.read.parquet(f"{root}/out").select(
-        "row_id", "predicted_category", "predicted_sub_category", "category_source", "needs_review")
+        F.col("row_id").cast("long").alias("row_id"), "predicted_category", "predicted_sub_category",
+        "category_source", "needs_review")
 
 
 QUERIES.update({
