@@ -22,6 +22,12 @@ from ..session import bounded_broadcast, cut_lineage, spread
 _EPS = 1e-9
 
 
+def _rank_key(col: str):
+    """Cosine used for ranking: identical vectors must tie exactly (then the
+    lower index wins), whatever order the partial sums were added in."""
+    return F.round(F.col(col), 12)
+
+
 def doc_grams(docs: DataFrame, id_cols: list, text_col: str) -> DataFrame:
     """Count char_wb grams per document: ``(*id_cols, gram, cnt)``.
 
@@ -141,7 +147,7 @@ def vector_match(queries: DataFrame, text_col: str, index: TfidfIndex, threshold
     scored = _exact_scores(pairs, qvec, index.postings).where(F.col("score") >= threshold)
     scored = scored.join(index.meta.select("doc_id", "doc_ord"), "doc_id")
     best = scored.groupBy("qid").agg(
-        F.min_by(F.struct("doc_id", "score"), F.struct(-F.col("score"), F.col("doc_ord"))).alias("b"))
+        F.min_by(F.struct("doc_id", "score"), F.struct(-_rank_key("score"), F.col("doc_ord"))).alias("b"))
     return best.select("qid", "b.doc_id", "b.score")
 
 
@@ -154,11 +160,49 @@ def vector_topk(queries: DataFrame, text_col: str, index: TfidfIndex, k: int,
               .join(index.postings.select("doc_id", "gram", F.col("w").alias("wd")), "gram")
               .groupBy("qid", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("score")))
     scores = scores.join(index.meta.select("doc_id", "doc_ord"), "doc_id")
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_ord")
+    w = Window.partitionBy("qid").orderBy(F.desc(_rank_key("score")), "doc_ord")
     return (scores.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
             .select("qid", "doc_id", "score", "rank"))
 
 
+def vector_topk_pruned(queries: DataFrame, text_col: str, index: TfidfIndex, k: int,
+                       thresholds: tuple = (0.8, 0.6, 0.4),
+                       broadcast_max_rows: int = 1_000_000) -> DataFrame:
+    """J5, exact, with pruning: same result as ``vector_topk``.
+
+    For falling thresholds t, the prefix join finds *every* pair with
+    cosine ≥ t.  A query that already has ≥ k such pairs has its exact top-k
+    among them, since every unseen pair scores below t.  Only queries still
+    short of k go on, and the last ones take the full gram join.  Each round
+    is checkpointed, so the driver loop keeps lineage flat."""
+    qvec = cut_lineage(query_vectors(queries, text_col, index, broadcast_max_rows))
+    meta = index.meta.select("doc_id", "doc_ord")
+    w = Window.partitionBy("qid").orderBy(F.desc(_rank_key("score")), "doc_ord")
+    open_q = qvec.select("qid").distinct()
+    done = []
+    for t in thresholds:
+        t2 = (t - _EPS) ** 2
+        qp = qvec.join(open_q, "qid", "left_semi").where(F.col("rem2") >= t2).select("qid", "gram")
+        dp = index.postings.where(F.col("rem2") >= t2).select("doc_id", "gram")
+        pairs = qp.join(dp, "gram").select("qid", "doc_id").distinct()
+        hit = cut_lineage(_exact_scores(pairs, qvec, index.postings).where(F.col("score") >= t)
+                          .join(meta, "doc_id"))
+        full = hit.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("qid")
+        done.append(hit.join(full, "qid", "left_semi"))
+        open_q = cut_lineage(open_q.join(full, "qid", "left_anti"))
+        if open_q.limit(1).count() == 0:
+            break
+    rest = (qvec.join(open_q, "qid", "left_semi").select("qid", "gram", F.col("w").alias("wq"))
+            .join(index.postings.select("doc_id", "gram", F.col("w").alias("wd")), "gram")
+            .groupBy("qid", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("score"))
+            .join(meta, "doc_id"))
+    allp = rest
+    for h in done:
+        allp = allp.unionByName(h.select("qid", "doc_id", "score", "doc_ord"))
+    return (allp.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+            .select("qid", "doc_id", "score", "rank"))
+
+
 def in_corpus_best(queries: DataFrame, corpus: DataFrame, min_docs: int = 1) -> DataFrame:
     """Per query, the corpus row of its group with the highest cosine
     when TF-IDF is fitted on the group's corpus *plus the query itself*.
@@ -196,7 +240,7 @@ def in_corpus_best(queries: DataFrame, corpus: DataFrame, min_docs: int = 1) ->
               .withColumn("score", F.col("dot") / (F.col("qn") * F.sqrt(F.col("base") + F.col("adj")))))
     ords = corpus.select("doc_id", "doc_ord")
     best = (scored.join(ords, "doc_id").groupBy("qid").agg(
-        F.min_by(F.struct("doc_id", "score"), F.struct(-F.col("score"), F.col("doc_ord"))).alias("b"))
+        F.min_by(F.struct("doc_id", "score"), F.struct(-_rank_key("score"), F.col("doc_ord"))).alias("b"))
         .select("qid", "b.doc_id", "b.score"))
     q = queries.select("qid", "grp").join(n, "grp")
     return (q.join(best, "qid", "left")

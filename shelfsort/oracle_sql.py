@@ -207,7 +207,7 @@ def refit_sql(x: str, qq: str, co: str) -> str:
         f"AND a.did = 'q' AND b.did <> 'q' GROUP BY 1, 2), "
         f"{x}allc AS (SELECT q.qid, c.did, c.ord, c.sub, coalesce(d.s, 0.0) AS s FROM {qq} q JOIN {co} c ON c.grp = q.grp "
         f"LEFT JOIN {x}dots d ON d.qid = q.qid AND d.did = c.did), "
-        f"{x}best AS (SELECT qid, arg_min({{'c': sub, 's': s}}, {{'ns': -s, 'o': ord}}) AS x FROM {x}allc GROUP BY qid)"
+        f"{x}best AS (SELECT qid, arg_min({{'c': sub, 's': s}}, {{'ns': -round(s, 12), 'o': ord}}) AS x FROM {x}allc GROUP BY qid)"
     )
 
 
@@ -405,12 +405,12 @@ def build() -> dict[str, str]:
         " SELECT gid AS item_id, gram, round(w, 6) AS weight FROM tw")
     q["vector_match"] = (
         _vector_common() + ", b AS (SELECT qid, arg_min({'c': category, 'm': sub, 'v': score}, "
-        "{'ns': -score, 'o': ord}) AS x FROM sco WHERE score >= 0.8 GROUP BY qid) "
+        "{'ns': -round(score, 12), 'o': ord}) AS x FROM sco WHERE score >= 0.8 GROUP BY qid) "
         "SELECT n.row_id, b.x.c AS category, b.x.m AS matched, round(b.x.v, 6) AS score FROM names n "
         "JOIN b ON b.qid = " + strip("n.product_name"))
     q["vector_topk"] = (
         _vector_common() + " SELECT qid AS name, rank, sub AS matched, round(score, 6) AS score FROM "
-        "(SELECT qid, sub, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, ord) AS rank "
+        "(SELECT qid, sub, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, ord) AS rank "
         "FROM sco) WHERE rank <= 5")
     q["token_sort"] = (
         "WITH RECURSIVE " + NAMES + ", "
@@ -555,7 +555,7 @@ def _category_chain() -> str:
         + tfidf_weights("vqc", "(SELECT n FROM nd)", "vqw", "voc") + ", "
         "vsc AS (SELECT vqw.gid AS name, dw.gid AS did, sum(vqw.w * dw.w) AS score FROM vqw JOIN dw ON vqw.gram = dw.gram "
         "GROUP BY 1, 2), "
-        "vb AS (SELECT vsc.name, arg_min({'c': d.category, 's': vsc.score}, {'ns': -vsc.score, 'o': d.ord}) AS x "
+        "vb AS (SELECT vsc.name, arg_min({'c': d.category, 's': vsc.score}, {'ns': -round(vsc.score, 12), 'o': d.ord}) AS x "
         "FROM vsc JOIN d ON d.gid = vsc.did WHERE vsc.score >= 0.8 GROUP BY vsc.name), "
         "cat AS (SELECT ex.name, ex.lookup, "
         "CASE WHEN exact_cat IS NOT NULL THEN 'dataset' WHEN kw_cat IS NOT NULL THEN 'keyword' "

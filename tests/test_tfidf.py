@@ -65,3 +65,16 @@ def test_in_corpus_goldens_and_refit(spark):
         off = 0 if grp == "beer" else 10
         assert got[qid][0] == off + bi
         assert abs(got[qid][1] - bs) < 1e-12
+
+
+def test_pruned_topk_equals_full(spark):
+    from shelfsort.operators.tfidf import vector_topk_pruned
+    rnd = random.Random(9)
+    words = ["red", "ring", "bolt", "gear", "blue", "hard", "seltzer", "lager", "ale", "x", "redd", "rings"]
+    docs = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 4))) for _ in range(80)]
+    queries = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 4))) for _ in range(50)]
+    idx = _index(spark, docs, 40)
+    q = spark.createDataFrame(list(enumerate(queries)), "qid long, text string")
+    a = {(r.qid, r.rank): (r.doc_id, round(r.score, 9)) for r in vector_topk(q, "text", idx, 5).collect()}
+    b = {(r.qid, r.rank): (r.doc_id, round(r.score, 9)) for r in vector_topk_pruned(q, "text", idx, 5).collect()}
+    assert a == b and len(a) > 100
