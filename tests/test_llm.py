@@ -36,3 +36,18 @@ def test_request_prompt(spark, seed_labels):
     user = r.messages[1].content
     assert user.startswith("Available categories:\n  1. Beer\n  2. Hard Beverage\n  3. Non-alcoholic Beer\n\n")
     assert user.endswith('Product name: "Foo"\n\nReturn JSON only.')
+
+
+def test_request_with_model_hint(spark, seed_labels):
+    st = build_state(seed_labels, TagConfig(use_ml=False), with_index=False)
+    names = spark.createDataFrame([("Foo",), ("Bar",)], "name string")
+    hints = spark.createDataFrame([("Foo", "Beer")], "name string, ml_category string")
+    rows = {r.product_name: r for r in request_table(names, st, hints).collect()}
+    assert rows["Foo"].messages[1].content.endswith("Return JSON only.\n(ML model hinted: 'Beer', but with low confidence)")
+    assert rows["Bar"].messages[1].content.endswith("Return JSON only.")
+    assert rows["Foo"].messages[0].role == "system" and rows["Foo"].request_id == request_id_py("Foo")
+
+
+def request_id_py(name):
+    import hashlib
+    return hashlib.sha256(name.encode()).hexdigest()
