@@ -32,6 +32,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -108,3 +109,25 @@ def spread(df: DataFrame, factor: int = 2) -> DataFrame:
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target * factor)
     return df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Ship this package to the executors' Python workers (``addPyFile``), so
+    pandas UDFs defined here unpickle on any node, whatever the working
+    directory.  Done once per SparkContext."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_shelfsort_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.dirname(pkg)
+    path = os.path.join(tempfile.mkdtemp(prefix="shelfsort-pkg-"), "shelfsort.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for d, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, base))
+    sc.addPyFile(path)
+    sc._shelfsort_shipped = True
