@@ -82,5 +82,47 @@ SELECT doc_id, count(*) AS n_lines, sum(gone::INT)::BIGINT AS n_dropped,
 FROM f GROUP BY doc_id
 """
 
-ORACLE_SQL = {"op1_exact_dedup": OP1, "op2_mixing": OP2, "op8_benchmark_decontamination": OP8,
-              "op9_line_dedup": OP9}
+OP4 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS h FROM p),
+b AS (
+  SELECT *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
+      ((('0x' || substr(h, (1 + 10 * (i // 8))::INT, 10))::UBIGINT >> (35 - 5 * (i % 8))::UBIGINT) & 31::UBIGINT)::INT, 1)), '') AS payload_digest
+  FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = min(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> min(page_id) OVER w THEN min(page_id) OVER w END AS refers_to
+FROM b WINDOW w AS (PARTITION BY h)
+"""
+
+OP6 = r"""
+WITH RECURSIVE dw AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE
+         list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+  FROM dw WHERE len(w) > 0),
+classes AS (  -- equal sets first, so that no text meets all its copies
+  SELECT min(doc_id) AS rep, any_value(list_sort(s)) AS s, len(any_value(s)) AS n FROM sets GROUP BY md5(array_to_string(list_sort(s), chr(10)))),
+classof AS (
+  SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(array_to_string(list_sort(s), chr(10)))) AS rep, len(s) AS n FROM sets),
+tok AS (SELECT rep, n, md5_number_lower(unnest(s)) AS t FROM classes),
+multi AS (SELECT t FROM tok GROUP BY t HAVING count(*) > 1),
+pairs AS (
+  SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS inter
+  FROM (SELECT * FROM tok SEMI JOIN multi USING (t)) a JOIN (SELECT * FROM tok SEMI JOIN multi USING (t)) b
+    ON a.t = b.t AND a.rep < b.rep AND a.n * 4 >= b.n * 3 AND b.n * 4 >= a.n * 3 GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs WHERE 100 * inter >= 75 * (na + nb - inter)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(node, low) AS (
+  SELECT rep, rep FROM classes
+  UNION
+  SELECT e.b, r.low FROM reach r JOIN edges e ON e.a = r.node WHERE r.low < e.b),
+comp AS (SELECT node, min(low) AS component FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, coalesce(comp.component, d.doc_id) AS component_id
+FROM documents d LEFT JOIN classof c ON c.doc_id = d.doc_id LEFT JOIN comp ON comp.node = c.rep
+"""
+
+ORACLE_SQL = {"op1_exact_dedup": OP1, "op2_mixing": OP2, "op4_warc": OP4, "op6_ngram_jaccard_join": OP6,
+              "op8_benchmark_decontamination": OP8, "op9_line_dedup": OP9}

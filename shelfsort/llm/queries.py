@@ -32,3 +32,35 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op8_benchmark_decontamination, op9_line_dedup)}
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfsort.llm.warc import read_archives, write_archives
+    return read_archives(write_archives(table(spark, sf_dir, "pages"))).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfsort.llm.toxicity import toxicity
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfsort.llm.ngram_join import jaccard_components
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfsort.llm.lm import score
+    return score(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (op4_warc, op5_toxicity, op6_ngram_jaccard_join, op10_lm_scoring)}
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfsort.llm.html_text import extract
+    return extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES |= {"op3_html_extraction": op3_html_extraction}
