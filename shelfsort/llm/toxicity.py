@@ -7,16 +7,17 @@ the two lengths is how much better the toxic dictionary explains it.
 
 A toxic document is mostly ordinary words, so a dictionary trained on all of
 its text hardly differs from the ordinary one.  Training therefore keeps the
-words that toxic documents use more often than chance allows (counting a word
-once per document and per preceding word, so that copies of a document count
-once); parts of these words serve compounds that training never saw.
+words and beginnings of words that toxic documents use more often than chance
+allows (counted once per document and per preceding word, so that copies of a
+document count once); beginnings serve compounds that training never saw.
 
 The thresholds are calibrated on labelled rows not used for the dictionaries:
 every length difference gets its log odds, a document's sum of log odds goes
 through a logistic curve fitted to the labels.
 
-Training uses at most ``fit_rows`` labelled rows for each step, taken in order
-of a hash of the id (a documented, bounded sample); scoring reads every text
+Training uses at most ``fit_rows`` labelled rows of each class for each step,
+taken in order of a hash of the id (a documented, bounded sample; the curve's
+constant is put right for the classes' true sizes); scoring reads every text
 whole.  Only labelled rows with crc32(doc_id) mod 3 <> 1 are used.  The driver
 receives two word lists of bounded length and a histogram for each calibration
 row.
@@ -42,11 +43,13 @@ from pyspark.sql import functions as F
 from shelfsort.llm.common import crc_mod, fresh, materialise
 
 WINDOW = 16
-FIT_ROWS = 10_000
+FIT_ROWS = 4_000  # of each class and step
+STEMS = (4, 5, 6)
 MIN_Z = 5.0
 ORDINARY_BYTES, TOXIC_BYTES = 32_768, 16_384
 LOW, HIGH = -8, 40  # length differences beyond these count as these
 THRESHOLD = 0.7
+CLIP = 8.0
 _PUNCTUATION = bytes.maketrans(b".,;:!?\"()[]{}<>|*#$%&/\\\t\n\v\f\r", b" " * 28)
 
 
@@ -58,6 +61,11 @@ def windows_of(words: list[bytes], width: int = WINDOW) -> list[bytes]:
     return [b" " + b" ".join(words[i:i + width]) + b" " for i in range(0, len(words), width)]
 
 
+def units_of(word: bytes) -> list[bytes]:
+    """A word and its beginnings: stems show in fewer documents than whole compounds."""
+    return [word, *(word[:n] for n in STEMS if len(word) > n)]
+
+
 class Lengths:
     """Compressed lengths of windows under one dictionary (raw content, so a
     length counts the bytes that the dictionary does not explain)."""
@@ -98,7 +106,9 @@ class ToxicityModel:
         return np.bincount(owner * n + step, minlength=len(parts) * n).reshape(len(parts), n)
 
     def features(self, histograms: np.ndarray) -> np.ndarray:
-        return np.stack([np.ones(len(histograms)), histograms @ np.array(self.log_odds), np.log1p(histograms.sum(1))], 1)
+        # Beyond +-CLIP the sum says no more; unbounded, a few odd rows would flatten the curve.
+        odds = np.clip(histograms @ np.array(self.log_odds), -CLIP, CLIP)
+        return np.stack([np.ones(len(histograms)), odds, np.log1p(histograms.sum(1))], 1)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         x = self.features(self.histograms(texts)) @ np.array(self.curve)
@@ -134,7 +144,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50
 
 def labelled(labels: DataFrame, label_id: str, label: str) -> DataFrame:
     """doc, toxic: one row per labelled id outside the held-out third."""
-    return (labels.select(F.col(label_id).cast("bigint").alias("doc"), F.col(label).cast("int").alias("toxic"))
+    return (labels.select(F.col(label_id).cast("bigint").alias("doc"), (F.col(label) > 0).cast("int").alias("toxic"))
             .where("doc is not null and toxic is not null").where(crc_mod(F.col("doc"), 3) != 1)
             .groupBy("doc").agg(F.max("toxic").alias("toxic")))
 
@@ -142,8 +152,11 @@ def labelled(labels: DataFrame, label_id: str, label: str) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id",
           label: str = "toxic", fit_rows: int = FIT_ROWS, width: int = WINDOW) -> ToxicityModel:
     known = labelled(labels, label_id, label).withColumn("place", F.xxhash64(F.lit("toxicity"), "doc"))
-    # Bounded: at most 2 * fit_rows ids, the first in hash order.
-    known = materialise(known.orderBy("place", "doc").limit(2 * fit_rows).withColumn("step", F.pmod("place", F.lit(2))))
+    sizes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Bounded: at most 2 * fit_rows ids of a class, the first in hash order.
+    known = known.where("toxic > 0").orderBy("place", "doc").limit(2 * fit_rows).unionByName(
+        known.where("toxic <= 0").orderBy("place", "doc").limit(2 * fit_rows))
+    known = materialise(known.withColumn("step", F.pmod("place", F.lit(2))))
     sample = (docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text"))
               .join(F.broadcast(known), "doc").dropDuplicates(["text"]))
     sample = materialise(sample.select("step", "toxic", "text"))
@@ -154,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 w = words_of(t)
                 once = set()
-                for pair in set(zip([b"", *w], w)):
+                for pair in {(a, u) for a, x in set(zip([b"", *w], w)) for u in units_of(x)}:
                     toxic.append(y)
                     word.append(pair[1])
                     before.append(pair[0])
@@ -175,9 +188,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                            *(F.max(F.when(F.col("toxic") == y, F.least("contexts", "docs"))).alias(f"n{y}") for y in (0, 1)),
                            *(F.max(F.when(F.col("toxic") == y, F.col("docs"))).alias(f"d{y}") for y in (0, 1))))
     tokens = used.where("word is null").select("d0", "d1").first()  # words of ordinary and of toxic rows
-    rows = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not tokens or not tokens.d0 or not tokens.d1:
-        share = rows.get(1, 0) / max(1, sum(rows.values()))
+        share = sizes.get(1, 0) / max(1, sum(sizes.values()))
         flat = math.log(share / (1 - share)) if 0 < share < 1 else (500.0 if share else -500.0)
         return ToxicityModel(b"", b"", (0.0,) * (HIGH - LOW + 1), (flat, 0.0, 0.0), width)
     share = tokens.d1 / (tokens.d0 + tokens.d1)
@@ -205,7 +217,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     one, zero = h[y == 1].sum(0) + 0.5, h[y == 0].sum(0) + 0.5
     odds = np.log(one / one.sum()) - np.log(zero / zero.sum())
     found = ToxicityModel(start.ordinary, start.toxic, tuple(odds.tolist()), (0.0, 0.0, 0.0), width)
-    return ToxicityModel(start.ordinary, start.toxic, found.log_odds, tuple(logistic(found.features(h), y).tolist()), width)
+    curve = logistic(found.features(h), y)
+    if sizes.get(0) and sizes.get(1):  # the sample is not drawn in proportion
+        curve[0] += math.log(sizes[1] / sizes[0]) - math.log(y.sum() / (len(y) - y.sum()))
+    return ToxicityModel(start.ordinary, start.toxic, found.log_odds, tuple(curve.tolist()), width)
 
 
 def _content(words: list[bytes], size: int) -> bytes:
