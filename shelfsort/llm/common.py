@@ -72,16 +72,3 @@ def join_hot(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int
     groups = groups.withColumn("_salt", F.explode(
         F.when(F.col(size) > limit, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     return rows.join(groups, [key, "_salt"], "left").drop("_salt")
-
-
-def keep_documents(docs: DataFrame, keep: DataFrame, doc_id: str = "doc_id", once: bool = False) -> DataFrame:
-    """Rows of ``docs`` whose id is in ``keep`` (one column, ids; null matches
-    null), with the columns of ``docs``.  ``once``: of rows that repeat an id,
-    one stays; the join has already brought them together."""
-    k = fresh(docs, "_key")
-    key = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
-    right = keep.select(key(F.col(keep.columns[0])).alias(k)).distinct()
-    out = docs.withColumn(k, key(F.col(doc_id))).join(right, k, "left_semi")
-    if once:
-        out = out.dropDuplicates([k])
-    return out.drop(k)

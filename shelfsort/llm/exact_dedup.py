@@ -262,7 +262,7 @@ def groups(index: DataFrame) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: one row per row of ``docs``."""
+    """doc_id, keep_id, group_size, kept, text_sha256, n_points: one row per row of ``docs``."""
     rows = materialise(digests(docs, doc_id, text))
     total = rows.count()
     found = materialise(groups(insert(None, rows, shard_count(total))))
@@ -271,4 +271,4 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         "doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"),
         (F.col("group_size").isNull() | (F.col("row") == F.col("keep_row"))).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"))
+        F.lower(F.hex("digest")).alias("text_sha256"), "n_points")

@@ -53,8 +53,10 @@ NAME = re.compile(r"</?([a-z][^\s/>]*)", re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 SPLIT = re.compile(r"[^a-z]+")
 
+TEXT_TAGS = frozenset("p a br b i em strong span u s q h1 h2 h3 h4 h5 h6 blockquote code pre sub sup small cite mark abbr time wbr".split())
+
 INSIDE_COST = 0.05  # any tag inside an article
-UNKNOWN_COST = 1.0
+TEXT_COST, UNKNOWN_COST = 0.1, 1.0  # of kinds that the labelled pages do not have
 BARRIER = 20.0  # an element left out, or the end of an article, outside articles
 
 
@@ -160,7 +162,7 @@ def main_text(page: str | None, weights: Weights = Weights()) -> str:
         elif out or name in ("article", "main") and not opening:
             cost = BARRIER
         else:
-            cost = weights.cost.get(kind, weights.cost.get(name, UNKNOWN_COST))
+            cost = weights.cost.get(kind, weights.cost.get(name, TEXT_COST if name in TEXT_TAGS else UNKNOWN_COST))
         marks.append((-cost, len(blocks) - 1, -1))
         if name == "br":
             blocks[-1].append(" ")

@@ -10,7 +10,7 @@ from shelfsort.llm.common import table
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfsort.llm.exact_dedup import exact_dedup
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("n_points")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,3 +64,12 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op3_html_extraction": op3_html_extraction}
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfsort.llm.token_counts import count, edit, review_edits
+    state = count(table(spark, sf_dir, "documents")).withColumn("edits", review_edits(F.col("doc_id"), F.col("text")))
+    return edit(state, with_state=False)
+
+
+QUERIES |= {"op7_token_counts": op7_token_counts}
