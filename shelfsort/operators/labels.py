@@ -16,6 +16,7 @@ from ..config import (
     SAVE_PRIORITY_OTHER, TRAIN_PRIORITY, TRAIN_PRIORITY_OTHER,
 )
 from ..functions.text import norm_key, strip_ws
+from ..session import dense_positions
 
 
 def priority_col(priorities: dict, other: int, col: str = "source"):
@@ -39,9 +40,7 @@ def _first_per(df: DataFrame, keys: list, order) -> DataFrame:
 def dedup_priority(labels: DataFrame) -> DataFrame:
     """W1 + O1: one row per exact ``product_name``, highest save priority
     (ties: earlier row).  ``seq`` is renumbered in (priority, seq) order —
-    the table order after every save.  The new ``seq`` is order-preserving,
-    not dense (``monotonically_increasing_id`` right after the sort); the
-    store materialises it once when the snapshot is written."""
+    the table order after every save."""
     pri = priority_col(SAVE_PRIORITY, SAVE_PRIORITY_OTHER)
     kept = _first_per(labels.withColumn("_pri", pri), ["product_name"],
                       F.struct(F.col("_pri"), F.col("seq")))
@@ -49,10 +48,10 @@ def dedup_priority(labels: DataFrame) -> DataFrame:
 
 
 def renumber(df: DataFrame, order: list) -> DataFrame:
-    """Order-preserving ``seq`` after a global sort (no single-task window)."""
-    return (df.orderBy(*order)
-            .withColumn("seq", F.monotonically_increasing_id())
-            .select(*df.columns))
+    """``seq`` = dense position in ``order``.  ``order`` must be total (table
+    rows have distinct ``seq``).  The numbered rows are checkpointed, so every
+    later use of ``seq`` as an id sees the same numbers (no single-task window)."""
+    return dense_positions(df.drop("_new_seq"), order, "_new_seq").withColumn("seq", F.col("_new_seq")).select(*df.columns)
 
 
 def training_rows(labels: DataFrame) -> DataFrame:

@@ -30,11 +30,19 @@ def numbered_list(items: Column) -> Column:
         F.lit("  "), (i + 1).cast("string"), F.lit(". "), c)), "\n")
 
 
-def extract_reply(reply) -> tuple[Column, Column]:
-    """First non-greedy ``{...}`` (dot matches newline) parsed as JSON.
-    Returns (parsed map or null, found flag)."""
+def extract_reply(reply) -> Column:
+    """First non-greedy ``{...}`` (dot matches newline) parsed as strict
+    JSON: a variant, null when there is none or it does not parse."""
     j = F.regexp_extract(reply, r"(?s)\{.*?\}", 0)
-    return F.from_json(F.when(j != "", j), "map<string,string>"), j != ""
+    return F.try_parse_json(F.when(j != "", j))
+
+
+def reply_field(parsed: Column, field: str) -> tuple[Column, Column]:
+    """(value, kind) of a field of a parsed reply: the value as text, the kind
+    as 'ABSENT', 'VOID' (JSON null), 'STRING', 'BOOLEAN', a number type, ..."""
+    v = F.try_variant_get(parsed, f"$.{field}", "variant")
+    kind = F.coalesce(F.schema_of_variant(v), F.lit("ABSENT"))
+    return F.try_variant_get(parsed, f"$.{field}", "string"), kind
 
 
 def _known_sorted(state) -> list:
@@ -100,14 +108,17 @@ def merge_category_replies(open_names: DataFrame, replies: DataFrame, state,
     for c in cats:
         lower_map[c.lower()] = c
     lm = F.create_map(*[x for k, v in lower_map.items() for x in (F.lit(k), F.lit(v))])
-    m, found = extract_reply(F.col("reply"))
     j = (open_names.select("name", request_id("name").alias("request_id"))
          .join(replies.select("request_id", "reply"), "request_id")
-         .select("name", m.alias("m"), found.alias("found")))
-    raw_conf = F.col("m")["confidence"]
-    j = j.where(F.col("found") & F.col("m").isNotNull()).select(
-        "name", strip_ws(F.coalesce(F.col("m")["category"], F.lit(""))).alias("cat"),
-        F.when(raw_conf.isNull(), F.lit(0.5)).otherwise(F.expr("try_cast(m['confidence'] as double)")).alias("conf"))
+         .select("name", extract_reply(F.col("reply")).alias("m")).where(F.col("m").isNotNull()))
+    cat, cat_kind = reply_field(F.col("m"), "category")
+    conf, conf_kind = reply_field(F.col("m"), "confidence")
+    # a category must be text; a confidence a number, numeric text or a truth value
+    number = (F.when(conf_kind == "ABSENT", F.lit(0.5))
+              .when(conf_kind == "BOOLEAN", (conf == "true").cast("double"))
+              .when(~conf_kind.rlike("^(VOID|ARRAY|OBJECT)"), strip_ws(conf).try_cast("double")))
+    j = j.where(cat_kind.isin("ABSENT", "STRING")).select(
+        "name", strip_ws(F.coalesce(cat, F.lit(""))).alias("cat"), number.alias("conf"))
     j = j.where(F.col("conf").isNotNull())
     canon = F.element_at(lm, F.lower("cat"))
     best = _best_choice_udf(cats)
@@ -142,13 +153,12 @@ def merge_sub_replies(pairs: DataFrame, replies: DataFrame, state) -> DataFrame:
     """L3: ``(name, category, llm_sub)``; known spelling when it matches a
     candidate case-insensitively (later duplicate wins), otherwise accepted
     as written; empty → no row."""
-    m, found = extract_reply(F.col("reply"))
     j = (pairs.select("name", "category", request_id("name", "category").alias("request_id"))
          .join(replies.select("request_id", "reply"), "request_id")
-         .select("name", "category", m.alias("m"), found.alias("found")))
-    j = j.where(F.col("found") & F.col("m").isNotNull()).select(
-        "name", "category", F.lower("category").alias("cat_key"),
-        strip_ws(F.coalesce(F.col("m")["sub_category"], F.lit(""))).alias("sc"))
+         .select("name", "category", extract_reply(F.col("reply")).alias("m")).where(F.col("m").isNotNull()))
+    sc, kind = reply_field(F.col("m"), "sub_category")
+    j = j.where(kind == "STRING").select(
+        "name", "category", F.lower("category").alias("cat_key"), strip_ws(sc).alias("sc"))
     j = j.where(F.col("sc") != "")
     cmap = (state.candidates.groupBy("cat_key", F.lower("candidate").alias("lc"))
             .agg(F.max_by("candidate", "cand_ord").alias("canon")))

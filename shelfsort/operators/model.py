@@ -7,23 +7,21 @@ logistic regression with the L2 penalty of ``C`` mapped to Spark's
 """
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import bounded_broadcast, cut_lineage, dense_positions, spread
+from ..session import bounded_broadcast, cut_lineage, dense_positions, ensure_checkpoint_dir
 from .tfidf import doc_grams, vocabulary
 
-
-@F.udf(VectorUDT())
-def _sparse(size, idx, vals):
-    # small per-row helper: packs already computed (index, weight) arrays
-    return SparseVector(size, idx or [], vals or [])
+# A multinomial model holds one weight vector per class on every executor.
+MAX_CLASSES = 10_000
 
 
 @dataclass
@@ -43,26 +41,37 @@ def _fit_vocab(counts: DataFrame, n_docs: int, max_features: int) -> tuple[DataF
     return vocab, n_features
 
 
-def _pack(ids: DataFrame, counts: DataFrame, vocab: DataFrame, n_features: int,
-          broadcast_max_rows: int) -> DataFrame:
+def _vectors(rows: DataFrame, counts: DataFrame, vocab: DataFrame, n_features: int,
+             broadcast_max_rows: int) -> DataFrame:
+    """``rows`` (``rid``, ...) with ``features``: sparse L2-normalised TF-IDF
+    vectors; texts without known grams get an all-zero vector.
+
+    A sparse vector is stored as (type, size, indices, values).  The arrays are
+    built by SQL expressions, written to the shared folder and read back with
+    the vector type: no Python touches a row, and the optimiser's passes read a
+    finished table."""
     w = (counts.join(bounded_broadcast(vocab, broadcast_max_rows), "gram")
          .select("rid", "idx", ((1.0 + F.log("cnt")) * F.col("idf")).alias("w")))
     packed = w.groupBy("rid").agg(
         F.sort_array(F.collect_list(F.struct("idx", "w"))).alias("kv"),
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    packed = packed.select(
-        "rid",
-        F.transform("kv", lambda x: x["idx"].cast("int")).alias("ix"),
-        F.transform("kv", lambda x: x["w"] / F.col("norm")).alias("vx"))
-    return (ids.select("rid").join(packed, "rid", "left")
-            .select("rid", _sparse(F.lit(n_features), "ix", "vx").alias("features")))
+    none_i, none_d = F.array().cast("array<int>"), F.array().cast("array<double>")
+    joined = rows.join(packed, "rid", "left")
+    table = joined.select(*rows.columns, F.struct(
+        F.lit(0).cast("tinyint").alias("type"), F.lit(n_features).cast("int").alias("size"),
+        F.coalesce(F.transform("kv", lambda x: x["idx"].cast("int")), none_i).alias("indices"),
+        F.coalesce(F.transform("kv", lambda x: x["w"] / F.col("norm")), none_d).alias("values")).alias("features"))
+    spark = rows.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/features-{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    schema = T.StructType([*rows.schema.fields, T.StructField("features", VectorUDT())])
+    return spark.read.schema(schema).parquet(path)
 
 
 def features(df: DataFrame, vocab: DataFrame, n_features: int,
              broadcast_max_rows: int = 1_000_000) -> DataFrame:
-    """``(rid, features)`` for ``(rid, text)``; texts without known grams get
-    an all-zero vector."""
-    return _pack(df, doc_grams(df, ["rid"], "text"), vocab, n_features, broadcast_max_rows)
+    """``(rid, features)`` for ``(rid, text)``."""
+    return _vectors(df.select("rid"), doc_grams(df, ["rid"], "text"), vocab, n_features, broadcast_max_rows)
 
 
 def class_counts(train: DataFrame) -> DataFrame:
@@ -73,36 +82,45 @@ def class_counts(train: DataFrame) -> DataFrame:
 def fit(train: DataFrame, c: float = 5.0, max_iter: int = 1000,
         max_features: int = 10_000) -> CategoryModel | None:
     """M1–M3: ``train`` has ``(rid, text, label)``; returns None for < 2 classes."""
-    train = spread(train).persist()
-    classes = sorted(r["label"] for r in class_counts(train).select("label").collect())
+    train = cut_lineage(train.select("rid", "text", "label"))
+    return _fit_counts(train.select("rid", "label"), cut_lineage(doc_grams(train, ["rid"], "text")),
+                       c, max_iter, max_features)
+
+
+def _fit_counts(rows: DataFrame, counts: DataFrame, c: float, max_iter: int,
+                max_features: int) -> CategoryModel | None:
+    """``fit`` on gram counts that are already there (``rows``: rid, label)."""
+    spark = rows.sparkSession
+    per_class = class_counts(rows).orderBy("label").limit(MAX_CLASSES + 1).collect()
+    if len(per_class) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes: one model cannot hold a weight vector for each")
+    classes = [r["label"] for r in per_class]
     if len(classes) < 2:
         return None
-    n = train.count()
-    counts = cut_lineage(doc_grams(train, ["rid"], "text"))      # grams once, reused below
+    n = sum(r["n"] for r in per_class)
     vocab, n_features = _fit_vocab(counts, n, max_features)
-    vocab = vocab.persist()
-    idx = train.sparkSession.createDataFrame(list(enumerate(classes)), "y int, label string")
-    data = (_pack(train, counts, vocab, n_features, 1_000_000).join(train.select("rid", "label"), "rid")
-            .join(F.broadcast(idx), "label"))
+    idx = spark.createDataFrame(list(enumerate(classes)), "y int, label string")
+    data = _vectors(rows.join(F.broadcast(idx), "label").select("rid", "y"), counts, vocab, n_features, 1_000_000)
     # one task per core: each optimiser iteration is a job over these partitions
-    data = data.coalesce(train.sparkSession.sparkContext.defaultParallelism)
+    data = data.repartition(spark.sparkContext.defaultParallelism).persist()
     lr = LogisticRegression(featuresCol="features", labelCol="y", family="multinomial",
                             maxIter=max_iter, regParam=1.0 / (c * n), elasticNetParam=0.0,
                             standardization=False, tol=1e-6)
-    data = data.persist()
     model = CategoryModel(vocab=vocab, n_features=n_features, classes=classes, lr=lr.fit(data))
     data.unpersist()
-    train.unpersist()
     return model
 
 
 def predict(model: CategoryModel, df: DataFrame) -> DataFrame:
     """M4 + M7: ``(rid, ml_category, ml_confidence)`` — best class, first on ties."""
-    feats = features(df, model.vocab, model.n_features)
+    return _best_class(model, features(df, model.vocab, model.n_features))
+
+
+def _best_class(model: CategoryModel, feats: DataFrame) -> DataFrame:
     scored = model.lr.transform(feats).select("rid", vector_to_array("probability").alias("p"))
-    best = F.array_position("p", F.array_max("p")) - 1
+    best = F.array_position("p", F.array_max("p"))
     names = F.array(*[F.lit(x) for x in model.classes])
-    return scored.select("rid", F.element_at(names, (best + 1).cast("int")).alias("ml_category"),
+    return scored.select("rid", F.element_at(names, best.cast("int")).alias("ml_category"),
                          F.array_max("p").alias("ml_confidence"))
 
 
@@ -141,29 +159,30 @@ def cross_validate(train: DataFrame, c: float = 5.0, max_iter: int = 1000,
     k = min(5, int(counts["m"]))
     if k < 2:
         return None
-    folded = stratified_folds(train, k).persist()
+    folded = cut_lineage(stratified_folds(train, k).select("rid", "text", "label", "fold"))
+    grams = cut_lineage(doc_grams(folded, ["rid", "fold"], "text"))   # one pass for all folds
     accs = []
     for f in range(k):
-        m = fit(folded.where(F.col("fold") != f), c, max_iter, max_features)
-        test = folded.where(F.col("fold") == f)
+        m = _fit_counts(folded.where(F.col("fold") != f).select("rid", "label"),
+                        grams.where(F.col("fold") != f).drop("fold"), c, max_iter, max_features)
         if m is None:
             accs.append(0.0)
             continue
-        pred = predict(m, test.select("rid", "text")).join(test.select("rid", "label"), "rid")
+        test = folded.where(F.col("fold") == f).select("rid", "label")
+        feats = _vectors(test.select("rid"), grams.where(F.col("fold") == f).drop("fold"), m.vocab, m.n_features, 1_000_000)
+        pred = _best_class(m, feats).join(test, "rid")
         accs.append(pred.agg(F.avg((F.col("ml_category") == F.col("label")).cast("double"))).first()[0])
-    folded.unpersist()
     return float(sum(accs) / len(accs))
 
 
+METRICS_SCHEMA = "status string, samples long, classes array<string>, cv_accuracy double, reason string"
+
+
 def train_metrics(spark, train: DataFrame, c: float = 5.0, max_iter: int = 1000,
                   max_features: int = 10_000, with_cv: bool = True):
     """M8: fit and return ``(model, metrics DataFrame)``."""
     model = fit(train, c, max_iter, max_features)
-    schema = T.StructType([
-        T.StructField("status", T.StringType()), T.StructField("samples", T.LongType()),
-        T.StructField("classes", T.ArrayType(T.StringType())),
-        T.StructField("cv_accuracy", T.DoubleType())])
     if model is None:
-        return None, spark.createDataFrame([("skipped", None, None, None)], schema)
+        return None, spark.createDataFrame([("skipped", None, None, None, "insufficient_classes")], METRICS_SCHEMA)
     cv = cross_validate(train, c, max_iter, max_features) if with_cv else None
-    return model, spark.createDataFrame([("trained", train.count(), model.classes, cv)], schema)
+    return model, spark.createDataFrame([("trained", train.count(), model.classes, cv, None)], METRICS_SCHEMA)

@@ -93,6 +93,7 @@ def fit_index(docs: DataFrame, text_col: str, max_features: int | None,
     The index is an artifact: gram counts, vocabulary and postings are each
     materialised once (reliable checkpoint), so every later query reads them
     instead of re-exploding the corpus."""
+    docs = cut_lineage(docs)      # ids and texts of one evaluation for all parts
     n_docs = docs.count()
     counts = cut_lineage(doc_grams(docs, ["doc_id"], text_col))
     vocab = vocabulary(counts, max_features)
@@ -106,7 +107,7 @@ def fit_index(docs: DataFrame, text_col: str, max_features: int | None,
         "doc_id", "gram", "df", ((1.0 + F.log("cnt")) * F.col("idf")).alias("w"))
     postings = cut_lineage(_with_rem2(_normalise(weights, ["doc_id"]), ["doc_id"]).select(
         "doc_id", "gram", "df", "w", "rem2"))
-    meta = cut_lineage(docs.drop(text_col))
+    meta = docs.withColumnRenamed(text_col, "product_name")
     return TfidfIndex(vocab=vocab, postings=postings, meta=meta, n_docs=n_docs)
 
 

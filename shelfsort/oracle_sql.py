@@ -331,7 +331,7 @@ def build() -> dict[str, str]:
     preds = (
         "p AS (SELECT text AS product_name, lang || '-v2' AS category, 'ml' AS source, 0.5::DOUBLE AS confidence, "
         "source AS predicted_sub_category, 0.6::DOUBLE AS sub_confidence, doc_id AS ord FROM documents "
-        "UNION ALL SELECT text, 'bench', 'llm', 0.7::DOUBLE, 'b', 0.8::DOUBLE, item_id + 1000000 FROM benchmark), "
+        "UNION ALL SELECT text, 'bench', 'llm', 0.7::DOUBLE, 'b', 0.8::DOUBLE, item_id + (SELECT max(doc_id) + 1 FROM documents) FROM benchmark), "
         "inc AS (SELECT lower(" + strip("product_name") + ") AS key, arg_min(" + strip("product_name") + ", ord) AS first_name, "
         "arg_max({'c': " + strip("category") + ", 's': source, 'f': confidence, "
         "'u': " + strip("coalesce(predicted_sub_category, '')") + ", 'g': sub_confidence}, ord) AS v, "
@@ -353,7 +353,7 @@ def build() -> dict[str, str]:
     corr = (
         "p AS (SELECT d.text AS product_name, CASE WHEN l.toxic = 1 THEN 'toxic' ELSE 'clean' END AS category, "
         "d.doc_id AS ord FROM documents d JOIN labels l ON l.doc_id = d.doc_id "
-        "UNION ALL SELECT text, 'passage', item_id + 1000000 FROM benchmark), "
+        "UNION ALL SELECT text, 'passage', item_id + (SELECT max(doc_id) + 1 FROM documents) FROM benchmark), "
         "inc AS (SELECT lower(" + strip("product_name") + ") AS key, arg_min(" + strip("product_name") + ", ord) AS first_name, "
         "arg_max(" + strip("category") + ", ord) AS i_category, min(ord) AS i_ord FROM p GROUP BY 1), ")
     q["correction_merge"] = (
@@ -374,8 +374,8 @@ def build() -> dict[str, str]:
     q["table_stats"] = (
         "WITH " + LB + " SELECT count(*) AS total_rows, count(DISTINCT category) AS unique_categories, "
         "coalesce(sum(corrected::BIGINT), 0)::BIGINT AS human_corrections FROM lb")
-    q["source_counts"] = "WITH " + LB + " SELECT source, count(*) AS n FROM lb GROUP BY source"
-    q["category_dist"] = "WITH " + LB + " SELECT category, count(*) AS n FROM lb GROUP BY category"
+    q["source_counts"] = "WITH " + LB + " SELECT source, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source NULLS FIRST) AS place FROM lb GROUP BY source"
+    q["category_dist"] = "WITH " + LB + " SELECT category, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, category NULLS FIRST) AS place FROM lb GROUP BY category"
     q["known_categories"] = "WITH " + LB + " SELECT DISTINCT category FROM lb WHERE category IS NOT NULL"
     q["new_samples"] = (
         "WITH " + LB + ", c AS (SELECT count(*) AS new_samples FROM lb WHERE source IN ('ml','llm','vector','fuzzy')) "
@@ -387,7 +387,7 @@ def build() -> dict[str, str]:
     q["exact_lookup"] = (
         "WITH " + LB + ", " + W2 + ", "
         "q AS (SELECT doc_id AS row_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE text || ' 12 x 330ml' END AS product_name "
-        "FROM documents UNION ALL SELECT item_id + 1000000, text FROM benchmark), "
+        "FROM documents UNION ALL SELECT item_id + (SELECT max(doc_id) + 1 FROM documents), text FROM benchmark), "
         "u AS (SELECT row_id, " + strip("product_name") + " AS name FROM q), "
         "u2 AS (SELECT row_id, name, " + clean("name") + " AS lookup FROM u), "
         "keys AS (SELECT * FROM (SELECT lower(product_name) AS key, arg_max(category, pri2 * 1000000000000 + seq) AS category "
@@ -481,8 +481,8 @@ def build() -> dict[str, str]:
     known_sorted = "(SELECT list(category ORDER BY category) FROM (SELECT DISTINCT category FROM catalogue))"
     q["llm_replies"] = (
         "WITH RECURSIVE " + NAMES + ", " + CATALOGUE + ", "
-        "ev AS (SELECT n.row_id AS event_id, " + strip("n.product_name") + " AS name, e.event_type FROM names n "
-        "JOIN events e ON e.event_id = n.row_id), "
+        "ev AS (SELECT e.event_id, " + strip("n.product_name") + " AS name, e.event_type FROM names n "
+        "JOIN events e ON e.event_id % (SELECT count(*) FROM part) = n.row_id % (SELECT count(*) FROM part)), "
         "rep AS (SELECT sha256(name) AS request_id, event_id, CASE "
         "WHEN event_type = 'view' THEN 'Sure: {\"category\": \"beer\", \"confidence\": 0.' || CAST(event_id % 10 AS VARCHAR) || '} ok' "
         "WHEN event_type = 'click' THEN '{\"category\": \"Hard Beverages\"}' "
@@ -519,9 +519,34 @@ def build() -> dict[str, str]:
         "'Pick the BEST matching sub-category from the list above.' || chr(10) || "
         "'Return ONLY JSON: {\"sub_category\": \"<exact name from list>\"}' AS user_prompt "
         "FROM u JOIN cl ON cl.cat_key = lower(u.category)")
+    q["label_store"] = (
+        "WITH " + LB + " SELECT " + OUT + ", row_number() OVER (ORDER BY " + pri_save() + ", old) - 1 AS seq FROM "
+        "(SELECT *, seq AS old, row_number() OVER (PARTITION BY product_name ORDER BY " + pri_save() + ", seq) AS rn FROM lb) WHERE rn = 1")
+    q["batch_csv"] = "SELECT doc_id, coalesce(text, '') AS product_name, lang FROM documents"
+    q["index_store"] = q["tfidf_weights"]
+    q["model_store"] = ("WITH " + NAMES + " SELECT min(row_id) AS rid, true AS same FROM (SELECT row_id, " + nm + " AS name FROM names) "
+                        "WHERE " + hint("name") + " IS NOT NULL GROUP BY name")
+    q["model_quality"] = ("WITH " + LB + ", " + W2 + " SELECT count(*) AS n, true AS better_than_majority, true AS probable "
+                          "FROM w2 WHERE seq % 5 = 0")
+    q["retrain_rule"] = ("WITH " + LB + " SELECT 'skipped' AS status, count(*) AS new_samples, 1073741824::BIGINT AS threshold FROM lb "
+                         "WHERE source IN ('ml','llm','vector','fuzzy') UNION ALL SELECT 'no_data', NULL, NULL")
+    q["sub_replies"] = (
+        "WITH " + _sub_pairs() + ", "
+        "ev AS (SELECT e.event_id, s.name, s.category, e.event_type FROM sp s JOIN events e "
+        "ON e.event_id % (SELECT count(*) FROM part) = s.row_id % (SELECT count(*) FROM part)), "
+        "f AS (SELECT name, category, arg_min(event_type, event_id) AS t FROM ev GROUP BY 1, 2), "
+        "x AS (SELECT name, category, CASE t WHEN 'view' THEN 'craft BEER' WHEN 'click' THEN 'New Thing' WHEN 'purchase' THEN NULL "
+        "WHEN 'error' THEN NULL ELSE t END AS sc FROM f) "
+        "SELECT sha256(x.name || chr(1) || x.category) AS request_id, coalesce(c.candidate, x.sc) AS llm_sub FROM x "
+        "LEFT JOIN (SELECT cat_key, lower(candidate) AS lc, arg_max(candidate, cand_ord) AS candidate FROM cands GROUP BY 1, 2) c "
+        "ON c.cat_key = lower(x.category) AND c.lc = lower(x.sc) WHERE x.sc IS NOT NULL")
     q["stats_report"] = (
-        "WITH " + CATALOGUE + " SELECT category, 'seed' AS source, count(*) AS n FROM "
-        "(SELECT lower(name) AS k, arg_min(category, ord) AS category FROM catalogue GROUP BY 1) GROUP BY category")
+        "WITH " + CATALOGUE + ", t AS (SELECT lower(name) AS k, arg_min(category, ord) AS category FROM catalogue GROUP BY 1) "
+        "SELECT 'stats' AS part, 'total_rows' AS key, count(*) AS n, NULL::BIGINT AS place FROM t UNION ALL "
+        "SELECT 'stats', 'unique_categories', count(DISTINCT category), NULL FROM t UNION ALL "
+        "SELECT 'stats', 'human_corrections', 0, NULL UNION ALL "
+        "SELECT 'sources', 'seed', count(*), 1 FROM t UNION ALL "
+        "SELECT 'categories', category, count(*), row_number() OVER (ORDER BY count(*) DESC, category NULLS FIRST) FROM t GROUP BY category")
     return q
 
 
@@ -749,3 +774,6 @@ ORACLE_SQL["correct_retrain"] = (
     "true AS correction_applied")
 ORACLE_SQL["review_counts"] = ("WITH b AS (" + batch_tag_sql().replace("WITH RECURSIVE", "WITH RECURSIVE", 1) + ") "
                                "SELECT needs_review, category_source, count(*) AS n FROM b GROUP BY 1, 2")
+ORACLE_SQL["full_chain"] = (
+    "SELECT row_id, source <> 'fallback' AS early, true AS ml_is_confident, true AS fallback_is_weak, true AS llm_flag, "
+    "true AS steps_ok, true AS has_sub FROM (" + tag_names_sql() + ")")

@@ -25,6 +25,12 @@ class TagState:
     reliable: DataFrame        # P9: grp, doc_id, doc_ord, text, sub
     index: TfidfIndex | None   # J4/J5 over training rows
     model: CategoryModel | None
+    cached: tuple = ()         # frames to release
+
+    def release(self) -> None:
+        """Give cached frames back (a stream builds a state per batch)."""
+        for df in self.cached:
+            df.unpersist()
 
 
 def index_docs(train: DataFrame) -> DataFrame:
@@ -60,4 +66,5 @@ def build_state(labels: DataFrame, cfg: TagConfig = TagConfig(),
     if index is None and with_index and cfg.use_vector:
         index = fit_index(index_docs(train), "text", cfg.index_max_features, cfg.broadcast_max_rows)
     return TagState(labels=labels, keys=keys, known=known, first_known=first,
-                    candidates=cands, reliable=rel, index=index, model=model)
+                    candidates=cands, reliable=rel, index=index, model=model,
+                    cached=(labels, train, keys, known, cands))

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from ..config import MACHINE_SOURCES, TagConfig
 from ..operators import labels as L
-from ..operators.model import CategoryModel, train_metrics
+from ..operators.model import METRICS_SCHEMA, CategoryModel, train_metrics
 from ..operators.tfidf import TfidfIndex
-from ..sources.store import LabelStore
+from ..session import dense_positions
+from ..sources.store import LabelStore, _fs, write_index_meta_json
 from .state import TagState, build_state
 
 
@@ -27,24 +28,30 @@ def _training_frame(labels: DataFrame) -> DataFrame:
 
 
 def train_and_refresh(spark: SparkSession, labels: DataFrame, cfg: TagConfig = TagConfig(),
-                      with_cv: bool = True) -> tuple[TagState, DataFrame]:
+                      with_cv: bool = True, store: LabelStore | None = None,
+                      version: int | None = None) -> tuple[TagState, DataFrame]:
     """W2 → classifier (M3, M6, M8) → rebuilt keys and index.
-    Returns the new state and a one-row metrics frame."""
+    Returns the new state and a one-row metrics frame.  With ``store``, model
+    (S8) and index (S7) are saved under the label ``version`` they were made
+    from, and the metrics row is kept beside them (M8)."""
     train = _training_frame(labels)
     if train.limit(1).count() == 0:
-        schema = "status string, samples long, classes array<string>, cv_accuracy double"
-        return build_state(labels, cfg, with_index=False), spark.createDataFrame([("no_data", None, None, None)], schema)
+        return build_state(labels, cfg, with_index=False), spark.createDataFrame(
+            [("no_data", None, None, None, None)], METRICS_SCHEMA)
     model, metrics = train_metrics(spark, train, cfg.model_c, cfg.model_max_iter,
                                    cfg.model_max_features, with_cv=with_cv)
-    return build_state(labels, cfg, model=model), metrics
+    state = build_state(labels, cfg, model=model)
+    if store is not None:
+        save_state(state, metrics, store, version if version is not None else store.versions()[-1])
+    return state, metrics
 
 
 def bootstrap(spark: SparkSession, store: LabelStore, seeds: DataFrame,
               cfg: TagConfig = TagConfig(), with_cv: bool = True) -> tuple[TagState, DataFrame]:
     """insert seeds (U1), save a snapshot, train and refresh."""
     labels = L.seed_insert(store.load(), seeds)
-    store.save_as_is(labels)
-    state, metrics = train_and_refresh(spark, store.load(), cfg, with_cv)
+    v = store.save_as_is(labels)
+    state, metrics = train_and_refresh(spark, store.load(v), cfg, with_cv, store, v)
     return state, metrics.withColumn("seeded", F.lit(seeds.count()).cast("long"))
 
 
@@ -54,29 +61,39 @@ def new_samples(labels: DataFrame) -> int:
 
 
 def maybe_retrain(spark: SparkSession, labels: DataFrame, cfg: TagConfig = TagConfig(),
-                  state: TagState | None = None) -> tuple[TagState | None, DataFrame]:
-    """retrain when at least ``retrain_min_samples`` machine rows exist."""
+                  state: TagState | None = None, store: LabelStore | None = None,
+                  version: int | None = None) -> tuple[TagState | None, DataFrame]:
+    """retrain when at least ``retrain_min_samples`` machine rows exist;
+    ``no_data`` on an empty table."""
+    schema = "status string, new_samples long, threshold long"
+    if labels.limit(1).count() == 0:
+        return state, spark.createDataFrame([("no_data", None, None)], schema)
     n = new_samples(labels)
     if n >= cfg.retrain_min_samples:
-        return train_and_refresh(spark, labels, cfg)
-    schema = "status string, new_samples long, threshold long"
+        return train_and_refresh(spark, labels, cfg, store=store, version=version)
     return state, spark.createDataFrame([("skipped", n, cfg.retrain_min_samples)], schema)
 
 
-def force_retrain(spark, labels, cfg: TagConfig = TagConfig()):
+def force_retrain(spark: SparkSession, labels: DataFrame, cfg: TagConfig = TagConfig(),
+                  store: LabelStore | None = None, version: int | None = None):
     """F4."""
-    return train_and_refresh(spark, labels, cfg)
+    return train_and_refresh(spark, labels, cfg, store=store, version=version)
 
 
 def correct_and_retrain(spark: SparkSession, store: LabelStore, corrections: DataFrame,
                         cfg: TagConfig = TagConfig(), with_cv: bool = True):
     """apply a table of corrections (U3), save, retrain."""
     labels = L.merge_corrections(store.load(), corrections)
-    store.save_as_is(labels)
-    state, metrics = train_and_refresh(spark, store.load(), cfg, with_cv)
+    v = store.save_as_is(labels)
+    state, metrics = train_and_refresh(spark, store.load(v), cfg, with_cv, store, v)
     return state, metrics.withColumn("correction_applied", F.lit(True))
 
 
+def ranked(counts: DataFrame, key: str) -> DataFrame:
+    """O3 as a column: ``place`` of each row by (n desc, ``key``), from 1."""
+    return dense_positions(counts, [F.desc("n"), key], "place").withColumn("place", F.col("place") + 1)
+
+
 def stats_report(labels: DataFrame) -> dict[str, DataFrame]:
     """F8: table statistics (A1), source counts (A2), category distribution (A3)."""
     return {
@@ -90,6 +107,53 @@ def stats_report(labels: DataFrame) -> dict[str, DataFrame]:
 
 # ------------------------------------------------------------ persistence
 
+def save_state(state: TagState, metrics: DataFrame, store: LabelStore, version: int) -> None:
+    """Model, index and metrics made from label ``version``; the metrics row
+    is written last and commits the rest."""
+    root = f"{store.root}/_trained/v{version:06d}"
+    if state.model is not None:
+        save_model(state.model, f"{root}/model")
+    if state.index is not None:
+        save_index(state.index, f"{root}/index")
+    metrics.withColumn("version", F.lit(version).cast("long")).write.mode("overwrite").parquet(f"{root}/metrics")
+
+
+def _trained_versions(spark: SparkSession, store: LabelStore) -> list[int]:
+    fs, p = _fs(spark, f"{store.root}/_trained")
+    if not fs.exists(p):
+        return []
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return sorted(int(st.getPath().getName()[1:]) for st in fs.listStatus(p)
+                  if fs.exists(path(st.getPath(), "metrics/_SUCCESS")))
+
+
+def metrics_table(spark: SparkSession, store: LabelStore) -> DataFrame:
+    """M8: the metrics row of every training, by label version."""
+    paths = [f"{store.root}/_trained/v{v:06d}/metrics" for v in _trained_versions(spark, store)]
+    schema = METRICS_SCHEMA + ", version long"
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def load_state(spark: SparkSession, store: LabelStore, cfg: TagConfig = TagConfig(),
+               version: int | None = None) -> TagState:
+    """State of a label version (newest by default) with the model and index
+    of the latest training at or before it; an index that was never saved is
+    built.  As in the original tool, keys and candidates follow the current
+    table, model and index the last refresh."""
+    vs = store.versions()
+    version = version if version is not None else (vs[-1] if vs else None)
+    labels = store.load(version)
+    model = index = None
+    for v in reversed([v for v in _trained_versions(spark, store) if version is not None and v <= version]):
+        root = f"{store.root}/_trained/v{v:06d}"
+        fs, p = _fs(spark, f"{root}/model/meta")
+        model = load_model(spark, f"{root}/model") if fs.exists(p) else None
+        fs, p = _fs(spark, f"{root}/index/meta")
+        index = load_index(spark, f"{root}/index") if fs.exists(p) and cfg.use_vector else None
+        break
+    return build_state(labels, cfg, model=model, index=index)
+
+
 def save_model(model: CategoryModel, path: str) -> None:
     """Classifier, feature vocabulary and class list under one folder."""
     model.lr.write().overwrite().save(f"{path}/lr")
@@ -110,8 +174,8 @@ def save_index(index: TfidfIndex, path: str) -> None:
     index.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
     index.postings.write.mode("overwrite").parquet(f"{path}/postings")
     index.meta.write.mode("overwrite").parquet(f"{path}/meta")
-    index.meta.select("doc_id", F.col("category"), F.col("predicted_sub_category")).write.mode(
-        "overwrite").json(f"{path}/meta_json")
+    write_index_meta_json(index.meta.select("product_name", "predicted_sub_category", "category", "doc_id"),
+                          f"{path}/meta_json")
 
 
 def load_index(spark: SparkSession, path: str) -> TfidfIndex:

@@ -5,42 +5,60 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+DEFAULTS = {
+    "spark.ui.enabled": "false",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.driver.memory": "16g",
+    "spark.ui.showConsoleProgress": "false",
+    "spark.sql.maxPlanStringLength": "200000",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app: str = "shelfsort") -> SparkSession:
     """Session used by tests, bench and the entry module.
 
-    On a cluster the session already exists and is used as is; only settings
-    that are unset are filled in here.
+    A session that already runs is used as it is.  A new one takes what the
+    launcher (spark-submit, spark-defaults) has set; master, partitions and
+    ``DEFAULTS`` only fill in settings that are unset.
     """
-    spark = (
-        SparkSession.builder.master(master).appName(app)
-        .config("spark.ui.enabled", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", "16g")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.maxPlanStringLength", "200000")
-        .getOrCreate()
-    )
-    spark.sparkContext.setLogLevel("ERROR")
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        conf = SparkConf()
+        conf.setIfMissing("spark.master", master)
+        conf.setIfMissing("spark.app.name", app)
+        conf.setIfMissing("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        for k, v in DEFAULTS.items():
+            conf.setIfMissing(k, v)
+        spark = SparkSession.builder.config(conf=conf).getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     ship_package(spark)
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Driver and executors are one process on one machine."""
+    master = spark.sparkContext.master
+    return master.startswith("local") and not master.startswith("local-cluster")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster names it; only when it is unset (local tests) a folder of our
-    own is created.
+    The cluster names it; only when it is unset on a local master (tests) a
+    folder of our own is created.  A cluster without one is refused: a folder
+    on one machine is not shared.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,6 +66,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf_dir = tempfile.mkdtemp(prefix="shelfsort-ckpt-", dir=os.environ.get("SHELFSORT_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
@@ -64,15 +84,35 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only if it is proven to hold at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows; above the bound the frame is
+def _row_bytes(df: DataFrame):
+    """Size of a row's values: text and binary by length, nested values by
+    their JSON text, others 8 bytes."""
+    parts = [F.lit(16)]
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if f.dataType.typeName() in ("string", "binary"):
+            parts.append(F.coalesce(F.octet_length(c), F.lit(0)))
+        elif f.dataType.typeName() in ("array", "map", "struct"):
+            parts.append(F.coalesce(F.octet_length(F.to_json(F.struct(c.alias("v")))), F.lit(0)))
+        else:
+            parts.append(F.lit(8))
+    total = parts[0]
+    for p in parts[1:]:
+        total = total + p
+    return total.cast("bigint")
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int, max_bytes: int = 256 << 20) -> DataFrame:
+    """Broadcast ``df`` only if it is proven to hold at most ``max_rows`` rows
+    and ``max_bytes`` bytes of values.
+
+    The check reads at most ``max_rows + 1`` rows; above a bound the frame is
     returned unchanged and the planner shuffles (AQE may still pick a
     broadcast at run time from real sizes).
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    n, size = (df.limit(max_rows + 1).select(_row_bytes(df).alias("b"))
+               .agg(F.count(F.lit(1)), F.coalesce(F.sum("b"), F.lit(0))).first())
+    return F.broadcast(df) if n <= max_rows and size <= max_bytes else df
 
 
 def dense_positions(df: DataFrame, order_cols: list, name: str) -> DataFrame:
@@ -98,15 +138,16 @@ def dense_positions(df: DataFrame, order_cols: list, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Round-robin ``df`` to ``factor × defaultParallelism`` partitions when it
-    has fewer than the cluster's parallelism.
+    """Round-robin a scan of fewer files than the cluster has cores to
+    ``factor × defaultParallelism`` partitions.
 
-    Expanding operators (gram explosion ×25 rows, pair scoring) must not run
-    in the few tasks a small or single-row-group input gives; on a cluster
-    reading thousands of splits this is a no-op.
+    Expanding operators (gram explosion ×25 rows) must not run in the few
+    tasks a small or single-row-group input gives.  The file list comes from
+    the plan, so nothing runs to decide it; frames that are not read from
+    files stay as they are.
     """
     target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    if 0 < len(df.inputFiles()) < target:
         return df.repartition(target * factor)
     return df
 

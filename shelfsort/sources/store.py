@@ -10,6 +10,7 @@ on HDFS/S3-style stores.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,21 +38,24 @@ class LabelStore:
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def versions(self) -> list[int]:
+    def _folders(self) -> list[tuple[int, int | None, str, bool]]:
+        """(version, batch id of its stamp, path, committed) of every snapshot folder."""
         fs, p = _fs(self.spark, self.root)
         if not fs.exists(p):
             return []
         out = []
         for st in fs.listStatus(p):
-            name = st.getPath().getName()
-            if name.startswith("v") and name[1:].isdigit():
-                ok = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")
-                if fs.exists(ok):
-                    out.append(int(name[1:]))
-        return sorted(out)
+            m = re.fullmatch(r"v(\d+)(?:_b(\d+))?", st.getPath().getName())
+            if m:
+                done = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")
+                out.append((int(m[1]), None if m[2] is None else int(m[2]), st.getPath().toString(), fs.exists(done)))
+        return out
+
+    def versions(self) -> list[int]:
+        return sorted(v for v, _, _, ok in self._folders() if ok)
 
     def path(self, version: int) -> str:
-        return f"{self.root}/v{version:06d}"
+        return next((p for v, _, p, ok in self._folders() if v == version and ok), f"{self.root}/v{version:06d}")
 
     def load(self, version: int | None = None) -> DataFrame:
         """The newest (or given) snapshot; an empty typed frame if none."""
@@ -63,18 +67,23 @@ class LabelStore:
 
     def save(self, labels: DataFrame) -> int:
         """De-duplicate (W1) and write the next snapshot; returns it."""
-        vs = self.versions()
-        nxt = (vs[-1] + 1) if vs else 1
-        dedup_priority(labels).select(*LABEL_COLUMNS).write.mode("errorifexists").parquet(self.path(nxt))
-        return nxt
+        return self.save_as_is(dedup_priority(labels))
 
-    def save_as_is(self, labels: DataFrame) -> int:
-        """Write an already de-duplicated table as the next snapshot."""
-        vs = self.versions()
-        nxt = (vs[-1] + 1) if vs else 1
-        labels.select(*LABEL_COLUMNS).write.mode("errorifexists").parquet(self.path(nxt))
+    def save_as_is(self, labels: DataFrame, batch_id: int | None = None) -> int:
+        """Write an already de-duplicated table as the next snapshot.
+
+        The number comes after every folder there is, committed or not, so the
+        remains of a crashed write are skipped.  ``batch_id`` stamps the
+        snapshot in its name: snapshot and stamp are one commit."""
+        nxt = max([v for v, _, _, _ in self._folders()], default=0) + 1
+        name = f"v{nxt:06d}" + ("" if batch_id is None else f"_b{batch_id:012d}")
+        labels.select(*LABEL_COLUMNS).write.mode("errorifexists").parquet(f"{self.root}/{name}")
         return nxt
 
+    def of_batch(self, batch_id: int) -> int | None:
+        """The committed snapshot stamped with ``batch_id``."""
+        return next((v for v, b, _, ok in self._folders() if ok and b == batch_id), None)
+
 
 def read_label_csv(spark: SparkSession, path: str) -> DataFrame:
     """S1 CSV import: all-string read, legacy rename and coercion (P1, P2);
@@ -113,7 +122,8 @@ def read_batch_csv(spark: SparkSession, path: str, pandas_na: bool = False) -> D
 
 def write_batch_csv(out: DataFrame, path: str, id_col: str = "row_id") -> None:
     """Header CSV in row order (sorted, written in parallel parts)."""
-    out.orderBy(id_col).drop(id_col).write.mode("overwrite").option("header", True).csv(path)
+    (out.orderBy(id_col).drop(id_col).write.mode("overwrite").option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_index_meta_json(meta: DataFrame, path: str) -> None:

@@ -1,15 +1,20 @@
 """Incremental tagging with Structured Streaming.
 
 New CSV files land in an input folder; each micro-batch is tagged against
-the current label snapshot (F7), its output rows are written under
+one label snapshot (F7), its output rows are written under
 ``<out>/batch_id=<n>`` (overwritten on retry, so a replayed batch never
 duplicates rows), its predictions are merged into the label table as the
 next snapshot (U2), and the retrain rule (F3) runs after the merge.
 
-Exactly-once: the stream's checkpoint records which batches committed; a
-batch that crashed after writing is replayed with the same id, and the
-label merge is skipped when the store already holds a snapshot stamped
-with that id.
+Exactly-once, also after a crash at any point:
+
+* before a batch is tagged, the snapshot version it reads is pinned under
+  ``<root>/_batches``; a replay reads the same labels and the same saved
+  model, so it writes the same output;
+* the merged snapshot carries the batch id in its name, so snapshot and stamp
+  are one commit; a replay that finds it does not merge again;
+* a retrained model is saved under the version it was trained on and is used
+  from the next batch on; a replay writes the same files again.
 """
 from __future__ import annotations
 
@@ -21,20 +26,23 @@ from ..config import TagConfig
 from ..operators import labels as L
 from ..plans.state import build_state
 from ..plans.tagging import batch_output, stored_predictions, tag_batch_results
-from ..plans.workflow import maybe_retrain
+from ..plans.workflow import load_state, maybe_retrain
 from ..session import cut_lineage
 from ..sources.store import LabelStore
 
 
-def _applied(spark: SparkSession, store: LabelStore, batch_id: int) -> bool:
+def _pin(spark: SparkSession, store: LabelStore, batch_id: int) -> int | None:
+    """The label version this batch reads: recorded once, before any work."""
     from ..sources.store import _fs
-    fs, p = _fs(spark, f"{store.root}/_batches/{batch_id:012d}")
-    return fs.exists(p)
-
-
-def _mark(spark: SparkSession, store: LabelStore, batch_id: int, version: int) -> None:
-    spark.createDataFrame([(batch_id, version)], "batch_id long, version long").write.mode(
-        "overwrite").json(f"{store.root}/_batches/{batch_id:012d}")
+    path = f"{store.root}/_batches/{batch_id:012d}"
+    fs, _ = _fs(spark, path)
+    if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
+        return spark.read.schema("base long").json(path).first().base
+    vs = [v for v in store.versions() if v != store.of_batch(batch_id)]
+    base = vs[-1] if vs else None
+    spark.createDataFrame([(base,)], "base long").coalesce(1).write.mode("overwrite").option(
+        "ignoreNullFields", "false").json(path)
+    return base
 
 
 def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, store: LabelStore,
@@ -44,23 +52,27 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, store: L
     ``order_col`` when the input carries one, else from the read order."""
     if batch.limit(1).count() == 0:
         return
-    # row ids must stay fixed across the two uses below, also after a lost
+    # row ids must stay fixed across the uses below, also after a lost
     # executor: materialise the numbered batch once
     rid = F.col(order_col).cast("long") if order_col else F.monotonically_increasing_id()
     rows = cut_lineage(batch.withColumn("_rid", rid))
-    labels = store.load()
-    state = build_state(labels, cfg)
-    res = tag_batch_results(rows, state, cfg, id_col="_rid").persist()
-    out = (batch_output(rows, res, cfg, id_col="_rid").drop("_rid")
-           .withColumn("batch_id", F.lit(batch_id).cast("long")))
-    out.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
-    if not _applied(spark, store, batch_id):
-        merged = L.merge_predictions(labels, stored_predictions(res))
-        v = store.save_as_is(merged)
-        _mark(spark, store, batch_id, v)
-        if retrain:
-            maybe_retrain(spark, store.load(), cfg)
-    res.unpersist()
+    base = _pin(spark, store, batch_id)
+    labels = store.load(base) if base is not None else L.empty_labels(spark)
+    state = load_state(spark, store, cfg, base) if base is not None else build_state(labels, cfg)
+    try:
+        res = cut_lineage(tag_batch_results(rows, state, cfg, id_col="_rid"))
+        out = (batch_output(rows, res, cfg, id_col="_rid").drop("_rid")
+               .withColumn("batch_id", F.lit(batch_id).cast("long")))
+        out.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        version = store.of_batch(batch_id)
+        if version is None:
+            version = store.save_as_is(L.merge_predictions(labels, stored_predictions(res)), batch_id)
+    finally:
+        state.release()
+    if retrain:
+        new_state, _ = maybe_retrain(spark, store.load(version), cfg, store=store, version=version)
+        if new_state is not None:
+            new_state.release()
 
 
 def start(spark: SparkSession, input_dir: str, schema: T.StructType, store: LabelStore,

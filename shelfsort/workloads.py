@@ -30,7 +30,8 @@ from .operators.tfidf import (doc_grams, fit_index, in_corpus_best, vector_match
 from .plans.category import categorize, exact_lookup, fuzzy_match, prepare
 from .plans.state import build_state, index_docs
 from .plans.subcategory import keyword_score, _alias_map
-from .plans.tagging import batch_output, review_flag, tag, tag_batch_results
+from .plans.tagging import batch_output, tag, tag_batch_results
+from .plans.workflow import new_samples, ranked, stats_report
 from .session import bounded_broadcast, spread
 
 # Test input names (FIXTURES §4), in fixture order.
@@ -94,6 +95,12 @@ _OUT = ["product_name", "predicted_sub_category", "category", "source",
         "confidence", "sub_confidence", "corrected"]
 
 
+def _after_documents(spark, d) -> int:
+    """First number past every ``doc_id`` (one scalar): passages are numbered
+    behind the documents, at any scale."""
+    return _t(spark, d, "documents").agg(F.coalesce(F.max("doc_id"), F.lit(-1)) + 1).first()[0]
+
+
 # ------------------------------------------------------------ text layers
 
 def q_hint_gate(spark, d):
@@ -170,7 +177,7 @@ def _predictions(spark, d) -> DataFrame:
         F.col("text").alias("product_name"), F.lit("bench").alias("category"),
         F.lit("llm").alias("source"), F.lit(0.7).alias("confidence"),
         F.lit("b").alias("predicted_sub_category"), F.lit(0.8).alias("sub_confidence"),
-        (F.col("item_id") + 1_000_000).alias("ord"))
+        (F.col("item_id") + _after_documents(spark, d)).alias("ord"))
     return docs.unionByName(bench)
 
 
@@ -188,7 +195,7 @@ def _corrections(spark, d) -> DataFrame:
         F.col("doc_id").alias("ord"))
     c2 = _t(spark, d, "benchmark").select(F.col("text").alias("product_name"),
                                           F.lit("passage").alias("category"),
-                                          (F.col("item_id") + 1_000_000).alias("ord"))
+                                          (F.col("item_id") + _after_documents(spark, d)).alias("ord"))
     return c1.unionByName(c2)
 
 
@@ -199,20 +206,17 @@ def q_correction_merge(spark, d):
 
 def q_table_stats(spark, d):
     """A1."""
-    lb = doc_labels(spark, d)
-    return lb.agg(F.count(F.lit(1)).alias("total_rows"),
-                  F.countDistinct("category").alias("unique_categories"),
-                  F.coalesce(F.sum(F.col("corrected").cast("long")), F.lit(0)).alias("human_corrections"))
+    return stats_report(doc_labels(spark, d))["stats"]
 
 
 def q_source_counts(spark, d):
-    """A2 (O3: count desc, then source)."""
-    return doc_labels(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    """A2 + O3: rows per source with their place in the report's order."""
+    return ranked(stats_report(doc_labels(spark, d))["sources"], "source")
 
 
 def q_category_dist(spark, d):
-    """A3."""
-    return doc_labels(spark, d).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    """A3 + O3."""
+    return ranked(stats_report(doc_labels(spark, d))["categories"], "category")
 
 
 def q_known_categories(spark, d):
@@ -221,22 +225,19 @@ def q_known_categories(spark, d):
 
 
 def q_new_samples(spark, d):
-    """A5: machine-labelled rows vs the retrain threshold."""
-    lb = doc_labels(spark, d)
-    n = lb.where(F.col("source").isin("ml", "llm", "vector", "fuzzy")).agg(F.count(F.lit(1)).alias("new_samples"))
-    return n.select("new_samples", F.lit(CFG.retrain_min_samples).alias("threshold"),
-                    (F.col("new_samples") >= CFG.retrain_min_samples).alias("retrain"))
+    """A5: machine-labelled rows vs the retrain threshold (F3's decision)."""
+    n = new_samples(doc_labels(spark, d))
+    return spark.createDataFrame([(n, CFG.retrain_min_samples, n >= CFG.retrain_min_samples)],
+                                 "new_samples long, threshold int, retrain boolean")
 
 
 def q_class_counts(spark, d):
     """Rows per class of the training rows, smallest class, folds."""
-    from pyspark.sql import Window
-    t = L.training_rows(doc_labels(spark, d))
-    c = t.groupBy(F.col("category").alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy()
-    return c.select("label", "n", F.count(F.lit(1)).over(w).alias("n_classes"),
-                    F.min("n").over(w).alias("min_count"),
-                    F.least(F.lit(5), F.min("n").over(w)).alias("cv_folds"))
+    from .operators.model import class_counts
+    c = class_counts(L.training_rows(doc_labels(spark, d)).withColumnRenamed("category", "label"))
+    k, m = c.agg(F.count(F.lit(1)), F.min("n")).first()   # two scalars
+    return c.select("label", "n", F.lit(k).alias("n_classes"), F.lit(m).alias("min_count"),
+                    F.lit(None if m is None else min(5, m)).alias("cv_folds"))
 
 
 def q_exact_lookup(spark, d):
@@ -247,7 +248,7 @@ def q_exact_lookup(spark, d):
                     F.when(F.col("doc_id") % 2 == 0, F.col("text"))
                     .otherwise(F.concat(F.col("text"), F.lit(" 12 x 330ml"))).alias("product_name"))
     q = q.unionByName(_t(spark, d, "benchmark").select(
-        (F.col("item_id") + 1_000_000).alias("row_id"), F.col("text").alias("product_name")))
+        (F.col("item_id") + _after_documents(spark, d)).alias("row_id"), F.col("text").alias("product_name")))
     state_keys = L.lookup_keys(L.training_rows(doc_labels(spark, d)))
 
     class _S:  # the exact layer reads only the keys
@@ -374,7 +375,7 @@ def _cands(spark, d):
 def q_sub_keyword(spark, d):
     """J8 (+P8, W4, T9): best keyword candidate per (name, category)."""
     p = _sub_pairs(spark, d).withColumn("cat_key", F.lower("category"))
-    pc = p.join(F.broadcast(_cands(spark, d)), "cat_key")
+    pc = p.join(bounded_broadcast(_cands(spark, d), CFG.broadcast_max_rows), "cat_key")
     s = pc.withColumn("kws", keyword_score(F.col("name"), F.col("candidate"),
                                            F.element_at(_alias_map(CFG), F.col("candidate"))))
     best = (s.where(F.col("kws") > 0).groupBy("row_id")
@@ -388,7 +389,7 @@ def q_sub_fuzzy(spark, d):
     p = _sub_pairs(spark, d)
     u = p.select("name", "category").distinct().withColumn("cat_key", F.lower("category")).withColumn(
         "lookup", clean_name("name"))
-    pc = u.join(F.broadcast(_cands(spark, d)), "cat_key")
+    pc = u.join(bounded_broadcast(_cands(spark, d), CFG.broadcast_max_rows), "cat_key")
     s = pc.withColumn("fs", token_set_ratio(F.lower(strip_generic("lookup")),
                                             F.lower(strip_generic("candidate"))) / 100.0)
     best = s.groupBy("name", "category").agg(F.min_by(F.struct("candidate", "fs"),
@@ -468,14 +469,14 @@ def _doc_train(spark, d):
 def q_model_train(spark, d):
     """M1–M3, M6, M8: train on document rows → language; metrics row."""
     from .operators.model import train_metrics
-    _, metrics = train_metrics(spark, _doc_train(spark, d), CFG.model_c, 100, CFG.model_max_features, with_cv=False)
+    _, metrics = train_metrics(spark, _doc_train(spark, d), CFG.model_c, CFG.model_max_iter, CFG.model_max_features)
     return metrics.select("status", "samples", F.array_join("classes", ",").alias("classes"))
 
 
 def q_model_score(spark, d):
-    """M4, M5, M7: score benchmark passages and conversation turns."""
+    """M4, M5, M7: score every conversation turn."""
     from .operators.model import fit, predict
-    m = fit(_doc_train(spark, d), CFG.model_c, 100, CFG.model_max_features)
+    m = fit(_doc_train(spark, d), CFG.model_c, CFG.model_max_iter, CFG.model_max_features)
     q = _t(spark, d, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("rid"), "text")
     p = predict(m, q)
@@ -497,11 +498,18 @@ def q_llm_requests(spark, d):
                     F.col("messages")[1]["content"].alias("user_prompt"))
 
 
+def _answered(spark, d) -> DataFrame:
+    """``(row_id, name, event_id, event_type)``: every event with a part's name."""
+    parts = _t(spark, d, "part").count()
+    ev = _t(spark, d, "events").select("event_id", "event_type", (F.col("event_id") % F.lit(parts)).alias("k"))
+    n = names(spark, d).select("row_id", strip_ws("product_name").alias("name"), (F.col("row_id") % F.lit(parts)).alias("k"))
+    return ev.join(n, "k").drop("k")
+
+
 def _replies(spark, d) -> DataFrame:
-    """Replies derived from ``events``: event ``p_partkey`` answers part ``p_partkey``."""
-    ev = _t(spark, d, "events").select("event_id", "event_type")
-    n = names(spark, d).select(F.col("row_id").alias("event_id"), strip_ws("product_name").alias("name"))
-    j = n.join(ev, "event_id")
+    """Replies derived from all ``events``: event e answers the part whose key
+    leaves the same remainder by the number of parts."""
+    j = _answered(spark, d)
     conf = F.concat(F.lit("0."), (F.col("event_id") % 10).cast("string"))
     reply = (F.when(F.col("event_type") == "view",
                     F.concat(F.lit('Sure: {"category": "beer", "confidence": '), conf, F.lit("} ok")))
@@ -534,9 +542,14 @@ def q_sub_requests(spark, d):
 
 
 def q_stats_report(spark, d):
-    """F8: statistics of the catalogue table after seeding."""
-    lb = catalogue_labels(spark, d)
-    return lb.groupBy("category", "source").agg(F.count(F.lit(1)).alias("n"))
+    """F8: the report's three tables on the catalogue after seeding, as rows."""
+    r = stats_report(catalogue_labels(spark, d))
+    st = r["stats"].select(F.expr("stack(3, 'total_rows', total_rows, 'unique_categories', unique_categories, "
+                                  "'human_corrections', human_corrections) AS (key, n)"))
+    none = F.lit(None).cast("long")
+    return (st.select(F.lit("stats").alias("part"), "key", "n", none.alias("place"))
+            .unionByName(ranked(r["sources"], "source").select(F.lit("sources").alias("part"), F.col("source").alias("key"), "n", "place"))
+            .unionByName(ranked(r["categories"], "category").select(F.lit("categories").alias("part"), F.col("category").alias("key"), "n", "place")))
 
 
 QUERIES = {
@@ -599,7 +612,7 @@ def q_bootstrap_retrain(spark, d):
         F.col("p_name").alias("sub_category"),
         F.initcap(F.split_part(F.col("p_name"), F.lit(" "), F.lit(2))).alias("category"),
         (F.col("k") + 100).alias("ord")))
-    _, metrics = bootstrap(spark, store, seeds, TagConfig(model_max_iter=100), with_cv=False)
+    _, metrics = bootstrap(spark, store, seeds, TagConfig())
     return metrics.select("status", "samples", "seeded", F.size("classes").alias("n_classes"))
 
 
@@ -613,7 +626,7 @@ def q_correct_retrain(spark, d):
     corr = n.select(strip_ws("product_name").alias("product_name"),
                     F.when(F.col("quality") == 1, "Beer").otherwise("Hard Beverage").alias("category"),
                     F.col("row_id").alias("ord"))
-    _, metrics = correct_and_retrain(spark, store, corr, TagConfig(model_max_iter=100), with_cv=False)
+    _, metrics = correct_and_retrain(spark, store, corr, TagConfig())
     return metrics.select("status", "samples", "correction_applied")
 
 
@@ -630,7 +643,7 @@ def q_stream_tag(spark, d):
     store.save_as_is(catalogue_labels(spark, d))
     schema = T.StructType([T.StructField("row_id", T.StringType()), T.StructField("product_name", T.StringType())])
     q = start(spark, f"{root}/in", schema, store, f"{root}/out", f"{root}/ckpt", TagConfig(use_ml=False),
-              retrain=False, order_col="row_id")
+              order_col="row_id")
     q.awaitTermination()
     return spark.read.parquet(f"{root}/out").select(
         F.col("row_id").cast("long").alias("row_id"), "predicted_category", "predicted_sub_category",
@@ -665,8 +678,117 @@ def q_cv_folds(spark, d):
 def q_model_cv(spark, d):
     """M6 + A9: cross-validated accuracy of the classifier on hint labels."""
     from .operators.model import cross_validate
-    acc = cross_validate(_hint_train(spark, d), CFG.model_c, 50, CFG.model_max_features)
+    acc = cross_validate(_hint_train(spark, d), CFG.model_c, CFG.model_max_iter, CFG.model_max_features)
     return spark.createDataFrame([(acc,)], "cv_accuracy double")
 
 
 QUERIES.update({"cv_folds": q_cv_folds, "model_cv": q_model_cv})
+
+
+# ------------------------------------------------ adapters and round trips
+
+def q_label_store(spark, d):
+    """S1 + S6: the document label table saved and read back."""
+    from .sources.store import LabelStore
+    store = LabelStore(spark, _scratch(spark, "store"))
+    store.save(doc_labels(spark, d))
+    return store.load().select(*_OUT, "seq")
+
+
+def q_batch_csv(spark, d):
+    """S4 + S5: documents (whole texts, with quotes and line feeds) through
+    the batch CSV writer, reader and writer again."""
+    from .sources.store import read_batch_csv, write_batch_csv
+    root = _scratch(spark, "csv")
+    docs = _t(spark, d, "documents").select("doc_id", F.col("text").alias("product_name"), "lang")
+    write_batch_csv(docs.withColumn("row_id", F.col("doc_id")), f"{root}/a")
+    once = read_batch_csv(spark, f"{root}/a")
+    write_batch_csv(once, f"{root}/b")
+    return read_batch_csv(spark, f"{root}/b").select(F.col("doc_id").cast("long").alias("doc_id"), "product_name", "lang")
+
+
+def q_index_store(spark, d):
+    """Weights of the benchmark index after saving and loading it."""
+    from .plans.workflow import load_index, save_index
+    b = _t(spark, d, "benchmark").select(
+        F.col("item_id").alias("doc_id"), F.col("item_id").alias("doc_ord"), "text",
+        F.lit("passage").alias("category"), F.lit("passage").alias("predicted_sub_category"))
+    path = _scratch(spark, "index")
+    save_index(fit_index(b, "text", None), path)
+    return load_index(spark, path).postings.select(F.col("doc_id").alias("item_id"), "gram", F.round("w", 6).alias("weight"))
+
+
+def q_model_store(spark, d):
+    """S8 + M7: predictions of the saved and loaded model equal the model's own."""
+    from .operators.model import fit, predict
+    from .plans.workflow import load_model, save_model
+    t = _hint_train(spark, d)
+    m = fit(t, CFG.model_c, CFG.model_max_iter, CFG.model_max_features)
+    path = _scratch(spark, "model")
+    save_model(m, path)
+    a, b = predict(m, t), predict(load_model(spark, path), t)
+    return a.join(b.toDF("rid", "c", "p"), "rid").select(
+        "rid", ((F.col("ml_category") == F.col("c")) & (F.abs(F.col("ml_confidence") - F.col("p")) < 1e-9)).alias("same"))
+
+
+def q_model_quality(spark, d):
+    """Trained on four fifths of the documents, the classifier
+    beats the majority class on the others, and its probabilities are in (0, 1]."""
+    from .operators.model import fit, predict
+    t = _doc_train(spark, d)
+    held = t.where(F.col("rid") % 5 == 0)
+    m = fit(t.where(F.col("rid") % 5 != 0), CFG.model_c, CFG.model_max_iter, CFG.model_max_features)
+    p = predict(m, held.select("rid", "text")).join(held.select("rid", "label"), "rid")
+    right = F.avg((F.col("ml_category") == F.col("label")).cast("double"))
+    major = held.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n") / F.sum("n")).first()[0]   # one scalar
+    return p.agg(F.count(F.lit(1)).alias("n"), (right > F.lit(major)).alias("better_than_majority"),
+                 F.min((F.col("ml_confidence") > 0) & (F.col("ml_confidence") <= 1.0 + 1e-9)).alias("probable"))
+
+
+def q_sub_replies(spark, d):
+    """L3 + T10: sub-category replies derived from all events, merged."""
+    from .operators.llm import merge_sub_replies, request_id
+    st = _catalogue_state(spark, d)
+    p = _sub_pairs(spark, d)
+    reply = (F.when(F.col("event_type") == "view", F.lit('Sure: {"sub_category": "craft BEER"} ok'))
+             .when(F.col("event_type") == "click", F.lit('{"sub_category": " New Thing "}'))
+             .when(F.col("event_type") == "purchase", F.lit('{"sub_category": null}'))
+             .when(F.col("event_type") == "error", F.lit("{'sub_category': 'Craft Beer'}"))
+             .otherwise(F.concat(F.lit('{"sub_category": "'), F.col("event_type"), F.lit('"}'))))
+    rep = (_answered(spark, d).join(p.select("row_id", "category"), "row_id")
+           .select(request_id("name", "category").alias("request_id"), "event_id", reply.alias("reply"))
+           .groupBy("request_id").agg(F.min_by("reply", "event_id").alias("reply")))
+    pairs = p.select("name", "category").distinct()
+    return merge_sub_replies(pairs, rep, st).select(F.sha2(F.concat_ws("\u0001", "name", "category"), 256).alias("request_id"), "llm_sub")
+
+
+def q_retrain_rule(spark, d):
+    """too few machine rows, and an empty table."""
+    from .plans.workflow import maybe_retrain
+    lb = doc_labels(spark, d)
+    out = maybe_retrain(spark, lb, TagConfig(retrain_min_samples=1 << 30))[1]
+    return out.unionByName(maybe_retrain(spark, lb.limit(0), CFG)[1])
+
+
+def q_full_chain(spark, d):
+    """F2, F4, M4, M5, L2, J13 with model and replies on: every name, with the
+    rules that must hold of its record whatever the model's numbers are."""
+    from .plans.workflow import force_retrain
+    cfg = TagConfig()
+    st, _ = force_retrain(spark, catalogue_labels(spark, d), cfg)
+    rep = _replies(spark, d).groupBy("request_id").agg(F.min_by("reply", "event_id").alias("reply"))
+    r = tag(names(spark, d), st, cfg, replies=rep)
+    c, s = F.col("confidence"), F.col("source")
+    steps = F.size("steps_tried")
+    return r.select(
+        "row_id", s.isin("dataset", "keyword", "fuzzy", "vector").alias("early"),
+        ((s != "ml") | (c >= cfg.ml_threshold)).alias("ml_is_confident"),
+        ((s != "fallback") | ((c < cfg.ml_threshold) & F.col("low_confidence"))).alias("fallback_is_weak"),
+        ((s != "llm") | (F.col("low_confidence") == (c < 0.5))).alias("llm_flag"),
+        F.when(s.isin("ml", "llm", "fallback"), F.array_contains("steps_tried", "ml") & (steps >= 4)).otherwise(F.lit(True)).alias("steps_ok"),
+        F.col("predicted_sub_category").isNotNull().alias("has_sub"))
+
+
+QUERIES.update({"label_store": q_label_store, "batch_csv": q_batch_csv, "index_store": q_index_store, "model_store": q_model_store,
+                "model_quality": q_model_quality, "sub_replies": q_sub_replies, "retrain_rule": q_retrain_rule,
+                "full_chain": q_full_chain})

@@ -6,7 +6,7 @@ from shelfsort.functions.fuzz import indel_ratio_py
 from shelfsort.operators.fuzzy import similar_pairs
 
 
-@pytest.mark.parametrize("threshold", [85.0, 92.0])
+@pytest.mark.parametrize("threshold", [30.0, 60.0, 70.0, 80.0, 84.0, 85.0, 92.0, 100.0])
 def test_blocked_join_finds_every_pair(spark, threshold):
     rnd = random.Random(int(threshold))
     alpha = "abcd e"
@@ -18,7 +18,8 @@ def test_blocked_join_finds_every_pair(spark, threshold):
     assert got == exp
 
 
-def test_low_threshold_refused(spark):
+def test_threshold_range(spark):
     df = spark.createDataFrame([(0, "a")], "sid long, s string")
-    with pytest.raises(ValueError):
-        similar_pairs(df, df, 70.0)
+    for bad in (0.0, -1.0, 101.0):
+        with pytest.raises(ValueError):
+            similar_pairs(df, df, bad)

@@ -23,3 +23,28 @@ def test_leaders_equal_sequential_loop(spark):
             else:  # later duplicates reuse the first copy's leader, or the first copy itself
                 lead = res[f] if res[f] is not None else f
                 assert exp[i] == lead, (trial, i, n)
+
+
+def _check(spark, names, threshold=92.0, few_pairs=2_000_000):
+    exp = leaders_sequential(names, threshold, token_sort_ratio_py)
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, ord long")
+    rows = leaders(df, threshold, few_pairs).collect()
+    assert len(rows) == len(names)          # every row comes out
+    res = {r.ord: r.leader_ord for r in rows}
+    assert res == {i: exp[i] for i in range(len(names))}
+
+
+def test_long_chain_keeps_every_row(spark):
+    # each name is near its neighbours only
+    base = "abcdefghijklmnopqrstuvwxyz0123456789"
+    names = [base[i:] + base[:i] for i in range(0, 30)]
+    _check(spark, names)
+    _check(spark, names, few_pairs=0)
+
+
+def test_dense_cluster_and_equal_tokens(spark):
+    names = [f"imported sparkling lemonade bottle number {i}" for i in range(120)]
+    names += [f"number {i} bottle lemonade sparkling imported" for i in range(0, 40)]
+    names += ["", "x", "y", "x y", "y x"]
+    _check(spark, names)
+    _check(spark, names, few_pairs=0)       # thinned out in rounds
