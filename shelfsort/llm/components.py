@@ -29,5 +29,5 @@ def components(edges: DataFrame) -> DataFrame:
         step = materialise(step.join(jump, "label", "left")
                            .select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
         labels = step.select("node", "label")
-        if step.where("old <> label").limit(1).count() == 0:
+        if not step.agg(F.max(F.col("old") != F.col("label"))).first()[0]:
             return labels

@@ -19,7 +19,8 @@ share T = ceil(0.75 (n + m) / 1.75) of them.
    inverted lists are merged with counts, candidates below T - L go, and the L
    long lists are probed by binary search.  Nodes already in one component are
    not compared again.
-6. A block larger than ``piece`` nodes is searched in random pieces.  Nodes
+6. A block larger than ``piece`` nodes (or the shingles that a task can hold)
+   is searched in random pieces.  Nodes
    outside the block's largest component are then searched against every piece,
    so no link between components is missed.
 
@@ -51,7 +52,7 @@ NO_ID = (1 << 63) - 1
 BLOCK_SHINGLES = 1_000_000
 RANGE_SHINGLES = 4_000_000
 PAIR_LIST = 16  # longer lists link their members as a tree
-PIECE = 1024
+PIECE, PIECE_SHINGLES = 4096, 4_000_000  # most nodes and (about) shingles of a block searched by one task
 SIEVE = 1 << 20
 
 
@@ -242,16 +243,26 @@ def meetings(postings: DataFrame) -> DataFrame:
             b.append(node[start + i])
         if not a:
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        pair = np.stack([np.concatenate(a), np.concatenate(b)], 1)
-        pair.sort(axis=1)
-        pair = np.unique(pair, axis=0)
-        return pd.DataFrame({"a": pair[:, 0], "b": pair[:, 1]})
+        return spanning(np.concatenate(a), np.concatenate(b))
 
     return postings.groupBy("part").applyInPandas(run, "a bigint, b bigint")
 
 
+def spanning(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    """Edges (a, b) that join the same nodes: from the smallest node of each
+    component to its others, so at most one edge for each node of the task."""
+    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    forest = Forest(len(node))
+    pair = np.unique(np.sort(at.reshape(2, -1).T, axis=1), axis=0)
+    for x, y in pair.tolist():
+        forest.join(x, y)
+    root = np.fromiter((forest.root(i) for i in range(len(node))), np.int64, len(node))
+    other = root != np.arange(len(node))
+    return pd.DataFrame({"a": node[root[other]], "b": node[other]})
+
+
 class Forest:
-    """Union-find over 0..n-1."""
+    """Union-find over 0..n-1; a root is its component's smallest."""
 
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -301,8 +312,8 @@ class Index:
         ``allowed`` (a function of an array of members) lets through."""
         n = len(q)
         at = np.searchsorted(self.token, q)
-        at = at[(at < len(self.token))]
-        at = at[np.isin(self.token[at], q, assume_unique=True)]
+        at[at == len(self.token)] = 0
+        at = at[self.token[at] == q] if len(self.token) else at[:0]
         least = -(-NUM * n // DEN)  # the smallest overlap with any partner
         if len(at) < least:
             return np.zeros(0, np.int64)
@@ -381,15 +392,17 @@ def links(src: DataFrame, classes: DataFrame, words: int, total_shingles: int, p
     """Edges (a, b) that span the components of the similarity graph of nodes."""
     spark = src.sparkSession
     parts = max(1, -(-total_shingles // RANGE_SHINGLES))
-    met = materialise(meetings(prefixes(shared(runs(src, words, parts), parts), parts)).distinct())
+    tasks = max(parts, partitions(spark))
+    found = shared(runs(src, words, parts).repartition(tasks, "part"), parts).repartition(tasks, "part")
+    met = materialise(meetings(prefixes(found, parts).repartition(tasks, "part")).distinct())
     block = components(met)
-    sizes = block.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
-    member = block.join(sizes, "label").join(classes.select("node", "doc"), "node").select(
-        "doc", "node", F.col("label").alias("block"), "members",
-        F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / F.lit(piece)).cast("bigint")).alias("piece"))
-    member = materialise(member)
+    named = block.join(classes.select("node", "doc", "n"), "node")
+    sizes = named.groupBy("label").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / F.lit(piece)), F.ceil(F.sum("n") / F.lit(PIECE_SHINGLES))).cast("bigint").alias("pieces"))
+    member = materialise(named.join(sizes, "label").select(
+        "doc", "node", F.col("label").alias("block"), "pieces", F.pmod(F.xxhash64("node"), F.col("pieces")).alias("piece")))
     sets = fetch_sets(src, member, words)
-    large = member.where(F.col("members") > piece).limit(1).count() > 0
+    large = member.where("pieces > 1").limit(1).count() > 0
     if large:
         sets = materialise(sets)
 
@@ -402,7 +415,7 @@ def links(src: DataFrame, classes: DataFrame, words: int, total_shingles: int, p
     if not large:
         return found
 
-    big = sets.where(F.col("members") > piece)
+    big = sets.where("pieces > 1")
     across_schema = "a bigint, b bigint"
 
     def across(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -419,10 +432,11 @@ def links(src: DataFrame, classes: DataFrame, words: int, total_shingles: int, p
         return materialise(big.join(lab, "node", "left").withColumn("label", F.coalesce("label", "node")))
 
     def ask_all(queries: DataFrame, everyone: DataFrame) -> DataFrame:
-        pieces = F.sequence(F.lit(0), F.ceil(F.col("members") / F.lit(piece)).cast("bigint") - 1)
+        pieces = F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)
         # Queries of a piece's task are dealt out too, so their number does not grow with the block.
         q = queries.withColumn("to", F.explode(pieces)).where("to <> piece").select(
             "block", F.col("to").alias("piece"), "node", "keys", "label", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(4)).alias("deal"))
+        q = q.toDF(*q.columns)  # columns of its own, as both sides come from one frame
         e = everyone.withColumn("deal", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(4)])))
         return (q.groupBy("block", "piece", "deal")
                 .cogroup(e.select("block", "piece", "node", "keys", "label", "deal").groupBy("block", "piece", "deal"))
@@ -430,7 +444,7 @@ def links(src: DataFrame, classes: DataFrame, words: int, total_shingles: int, p
 
     # A few nodes of the first pieces join the pieces' large components.
     now = labelled(found)
-    hubs = now.where("piece < 4 and pmod(xxhash64(node, 2), %d) < 16" % piece)
+    hubs = now.where(f"piece < 4 and pmod(xxhash64(node, 2), {piece}) < 16")
     found = materialise(found.unionByName(ask_all(hubs, now)))
     now = labelled(found)
     largest = (now.groupBy("block", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -444,9 +458,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     src = _source(docs, doc_id, text)
     table = materialise(nodes(src, words))
     total, shingles = table.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()  # two numbers
-    classes = materialise(table.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies")))
+    classes = materialise(table.where("n > 0").groupBy("node").agg(
+        F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")))
     label = components(links(src, classes, words, shingles, piece))
-    named = classes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = classes.drop("n").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("doc").alias("component"))
     of_node = materialise(named.join(least, "label").select("node", "component", "copies"))
     out = join_hot(table, of_node, "node", "copies", total, F.col("doc"))
