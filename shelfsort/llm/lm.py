@@ -6,7 +6,7 @@ learned by expectation-maximisation on held-out counts: a tenth of the training
 documents is left out of the counts while the weights are learned, then counted
 too.  ``order=3`` adds c(g,h,w)/c(g,h) and buckets by c(g,h).
 
-How the corpus is counted.  A task turns its documents into blocks of about a
+How the corpus is counted.  A task turns its documents into blocks of about half a
 million tokens: word hashes (64 bits) with per-block dictionaries, stored in the
 shared folder.  A block asks for the counts of its distinct n-grams: sorted
 keys, dealt by hash range, with their counts inside the block (the map-side
@@ -38,8 +38,8 @@ from shelfsort.llm.common import crc_mod, partitions, store
 from shelfsort.llm.hashing import U64, combine, mix64, words
 
 END, START = (U64(x) for x in mix64([0xE0D, 0x57A97]))
-BLOCK_TOKENS = 1_000_000
-RANGE_TOKENS = 2_000_000
+BLOCK_TOKENS = 500_000
+RANGE_TOKENS = 1_000_000
 BUCKETS = 24
 GRID, FLOOR = 0.1, -12.0
 
