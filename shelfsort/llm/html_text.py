@@ -4,7 +4,9 @@ A page is a sequence of words and tags.  Words score +1.  Tags score below zero,
 by weights learned from labelled pages: those that mark their article with an
 <article> or <main> element show how often a tag stands outside it.  One linear
 scan finds the contiguous run of the highest score, the content region.  Blocks
-of the region are returned, without the elements that are not article text.
+of the region are returned, without the elements that are not article text.  Such
+an element counts as one tag of a small cost, whatever it holds, so the text on
+both its sides stays in one region.
 
 Elements left out wherever they stand: by name (scripts, styles, menus,
 headers, footers, sidebars, forms, ...), by the words of class, id and role
@@ -57,7 +59,8 @@ TEXT_TAGS = frozenset("p a br b i em strong span u s q h1 h2 h3 h4 h5 h6 blockqu
 
 INSIDE_COST = 0.05  # any tag inside an article
 TEXT_COST, UNKNOWN_COST = 0.1, 1.0  # of kinds that the labelled pages do not have
-BARRIER = 20.0  # an element left out, or the end of an article, outside articles
+LEFT_OUT_COST = 0.1  # an element left out, outside articles; the tags in it cost nothing
+BARRIER = 20.0  # the end of an article, outside articles
 
 
 @dataclass(frozen=True)
@@ -87,7 +90,7 @@ def left_out(name: str, a: dict[str, str], learned: frozenset = frozenset()) ->
 
 def events(page: str, learned: frozenset = frozenset()) -> Iterator[tuple]:
     """('text', raw, out, inside, stack) and ('tag', name, opening, out, inside, kind): ``out``: in an
-    element left out; ``inside``: in an article."""
+    element left out (of tags: 1 if it begins there, 2 for all tags within and its end); ``inside``: in an article."""
     stack: list[tuple[str, bool, str]] = []  # name, left out, kind
     out = inside = 0
 
@@ -109,17 +112,17 @@ def events(page: str, learned: frozenset = frozenset()) -> Iterator[tuple]:
             continue
         name = n[1].lower()
         if m[1]:  # raw text: never article text
-            yield "tag", name, True, True, inside > 0, name
+            yield "tag", name, True, 2 if out else 1, inside > 0, name
             continue
         if tag[1] == "/":
             i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if i is not None:
                 was = inside > 0
-                o, kind = out > 0, stack[i][2]
+                _, o, kind = stack[i]
                 pop_to(i)
-                yield "tag", name, False, o, was and inside > 0, kind
+                yield "tag", name, False, 2 if out or o else 0, was and inside > 0, kind
             elif name in BLOCK or name == "br":
-                yield "tag", name, False, out > 0, inside > 0, name
+                yield "tag", name, False, 2 if out else 0, inside > 0, name
             continue
         a = _attributes(tag)
         if name in BLOCK:  # a block ends an open paragraph, an item the item before it
@@ -132,7 +135,7 @@ def events(page: str, learned: frozenset = frozenset()) -> Iterator[tuple]:
                     break
         o = left_out(name, a, learned)
         kind = kind_of(name, a)
-        yield "tag", name, True, out > 0 or o, inside > 0, kind
+        yield "tag", name, True, 2 if out else int(o), inside > 0, kind
         if name not in VOID and not tag.endswith("/>"):
             stack.append((name, o, kind))
             out += o
@@ -159,11 +162,14 @@ def main_text(page: str | None, weights: Weights = Weights()) -> str:
         _, name, opening, out, inside, kind = e
         if inside:
             cost = INSIDE_COST
-        elif out or name in ("article", "main") and not opening:
+        elif out:
+            cost = LEFT_OUT_COST
+        elif name in ("article", "main") and not opening:
             cost = BARRIER
         else:
             cost = weights.cost.get(kind, weights.cost.get(name, TEXT_COST if name in TEXT_TAGS else UNKNOWN_COST))
-        marks.append((-cost, len(blocks) - 1, -1))
+        if out < 2:
+            marks.append((-cost, len(blocks) - 1, -1))
         if name == "br":
             blocks[-1].append(" ")
         elif name in BLOCK and blocks[-1]:

@@ -45,6 +45,17 @@ def test_region_without_article_markup():
     assert got == "\n".join(H.prose(i, 30) for i in range(5))
 
 
+@pytest.mark.parametrize("between", [
+    "<div class=ad><a href=/x><b>Buy</b></a></div>", "<script>var x = 1</script>" * 3, "<aside><article>See also</article><p>more</p></aside>",
+    "<ul class=share>" + "<li><a href=/s>share</a></li>" * 5 + "</ul>", "<div class=widget>" + "<p><i>x</i></p>" * 400 + "</div>"])
+def test_left_out_elements_do_not_part_the_text(between):
+    one, two, three = H.prose(1, 100), H.prose(2, 80), H.prose(3, 4)
+    want = "\n".join([one, two, three])
+    body = f"<p>{one}</p>{between}<p>{two}</p>{between}<p>{three}</p>"
+    assert T.main_text(f"<body><div>{body}</div></body>") == want
+    assert T.main_text(f"<body><article>{body}</article></body>") == want
+
+
 def test_very_long_and_deep_pages():
     long = "<article>" + "<p>word word</p>" * 20_000 + "</article>"
     assert T.main_text(long).count("\n") == 19_999
