@@ -13,8 +13,10 @@ headers, footers, sidebars, forms, ...), by the words of class, id and role
 (advert, cookie, comments, sidebar, ...), and by learning (containers that the
 labelled pages keep outside their article).
 
-All pages train the weights: counts per tag are added up on Spark, and only the
-5,000 most frequent kinds of element reach the driver.
+All pages train the weights: counts per kind of element (name and first class)
+are added up on Spark, and every kind gets its weight.  The table of kinds is
+broadcast when it is counted and found small; beyond that each page is joined to
+the rows of its own kinds, with the same result.
 
 Defined cases: null and empty html give the empty text; a page without any
 positive run gives the empty text; of equal regions the first is taken; unclosed
@@ -33,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfsort.llm.common import join_hot, materialise, store
+
 # Element names of HTML by their role in a page.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 OUT = frozenset("head title script style noscript template iframe object svg math canvas audio video nav header footer "
@@ -62,6 +66,10 @@ TEXT_COST, UNKNOWN_COST = 0.1, 1.0  # of kinds that the labelled pages do not ha
 LEFT_OUT_COST = 0.1  # an element left out, outside articles; the tags in it cost nothing
 BARRIER = 20.0  # the end of an article, outside articles
 
+BROADCAST_KINDS, BROADCAST_BYTES = 200_000, 16_000_000  # rows and bytes of names of a broadcast table of kinds
+SCHEMA = "page_id bigint, url string, text string, n_chars bigint"
+NAMES = ["page_id", "url", "text", "n_chars"]
+
 
 @dataclass(frozen=True)
 class Weights:
@@ -195,8 +203,8 @@ def main_text(page: str | None, weights: Weights = Weights()) -> str:
     return "\n".join(found)
 
 
-def learn(pages: DataFrame, column: str = "html", kinds: int = 5000) -> Weights:
-    """Weights from the pages that mark their article."""
+def learn_table(pages: DataFrame, column: str = "html") -> DataFrame:
+    """kind, cost, out: every kind of element of the pages that mark their article."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
@@ -223,28 +231,66 @@ def learn(pages: DataFrame, column: str = "html", kinds: int = 5000) -> Weights:
         if seen:
             yield out()
 
-    top = (pages.select(F.col(column).cast("string")).mapInArrow(count, "kind string, tags_in bigint, tags_out bigint, words_in bigint, words_out bigint")
-           .groupBy("kind").agg(*(F.sum(c).alias(c) for c in ("tags_in", "tags_out", "words_in", "words_out")))
-           .orderBy(F.desc(F.col("tags_in") + F.col("tags_out")), "kind").limit(kinds).collect())
-    cost, out = {}, set()
-    for r in top:
-        outside = (r.tags_out + 0.5) / (r.tags_in + r.tags_out + 1.0)
-        cost[r.kind] = INSIDE_COST + 5.0 * outside * outside
-        if "." in r.kind and r.kind.split(".")[0] in CONTAINER and r.words_out >= 100 and r.words_in < 0.01 * r.words_out:
-            out.add(r.kind)
-    return Weights(cost, frozenset(out))
+    seen = (pages.select(F.col(column).cast("string")).mapInArrow(count, "kind string, tags_in bigint, tags_out bigint, words_in bigint, words_out bigint")
+            .groupBy("kind").agg(*(F.sum(c).alias(c) for c in ("tags_in", "tags_out", "words_in", "words_out"))))
+    outside = (F.col("tags_out") + F.lit(0.5)) / (F.col("tags_in") + F.col("tags_out") + F.lit(1.0))
+    container = F.col("kind").contains(".") & F.substring_index("kind", ".", 1).isin(*sorted(CONTAINER))
+    return materialise(seen.select("kind", (F.lit(INSIDE_COST) + F.lit(5.0) * outside * outside).alias("cost"),
+                                   (container & F.expr("words_out >= 100 and words_in < 0.01D * words_out")).alias("out")))
+
+
+def _weights(rows) -> Weights:
+    return Weights({r["kind"]: r["cost"] for r in rows}, frozenset(r["kind"] for r in rows if r["out"]))
+
+
+def learn(pages: DataFrame, column: str = "html") -> Weights:
+    """Weights from the pages that mark their article, all on the driver (``extract`` does so only when they are small)."""
+    return _weights(learn_table(pages, column).collect())
+
+
+def _main_texts(pages: Iterator[tuple[str | None, Weights]]) -> list[pa.Array]:
+    got = [main_text(page, w) for page, w in pages]
+    return [pa.array(got, pa.string()), pa.array([len(x) for x in got], pa.int64())]
+
+
+def _extract_joined(src: DataFrame, table: DataFrame) -> DataFrame:
+    """``extract`` with a table of kinds of any size: each page meets the rows of its own kinds."""
+    src = store(src.withColumn("row", F.monotonically_increasing_id()), "pages")
+
+    def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found = sorted({k for e in events(page or "") if e[0] == "tag" for k in (e[5], e[1])})
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(found), pa.int64()), pa.array(found, pa.string())], names=["row", "kind"])
+
+    own = materialise(src.select("row", "html").mapInArrow(kinds, "row bigint, kind string"))
+    sized = table.join(own.groupBy("kind").agg(F.count(F.lit(1)).alias("pages")), "kind")
+    known = join_hot(own, sized, "kind", "pages", own.count(), F.col("row")).where("cost is not null")
+    per_page = known.groupBy("row").agg(F.collect_list(F.struct("kind", "cost", "out")).alias("known"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pages = zip(b.column(2).to_pylist(), b.column(3).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *_main_texts((page, _weights(known or [])) for page, known in pages)], names=NAMES)
+
+    return src.join(per_page, "row", "left").select("page_id", "url", "html", "known").mapInArrow(run, SCHEMA)
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", column: str = "html",
             weights: Weights | None = None) -> DataFrame:
     """page_id, url, text, n_chars: one row per row of ``pages``."""
-    weights = learn(pages, column) if weights is None else weights
+    src = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(column).cast("string").alias("html"))
+    if weights is None:
+        table = learn_table(pages, column)
+        n, size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("kind")), F.lit(0))).first()  # two numbers
+        if n > BROADCAST_KINDS or size > BROADCAST_BYTES:
+            return _extract_joined(src, table)
+        weights = _weights(table.collect())
+    shared = pages.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [main_text(x, weights) for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.string()), pa.array([len(x) for x in got], pa.int64())],
-                                             names=["page_id", "url", "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *_main_texts((page, shared.value) for page in b.column(2).to_pylist())], names=NAMES)
 
-    src = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(column).cast("string").alias("html"))
-    return src.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    return src.mapInArrow(run, SCHEMA)

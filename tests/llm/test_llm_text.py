@@ -74,6 +74,19 @@ def test_extract_learns_from_labelled_pages(spark):
     assert T.extract(df.limit(0)).count() == 0
 
 
+def test_every_kind_is_learned_and_joined_alike(spark, monkeypatch):
+    teaser = f"<div class=teaser><p>{H.prose(1, 120)}</p></div>"
+    many = "".join(f"<b class=k{i}>x</b><b class=k{i}>y</b>" for i in range(5100))
+    marked = [f"<body>{teaser}<article><p>{H.prose(2, 40)}</p>{many}</article></body>"]
+    plain = f"<body>{teaser}<div><p>{H.prose(3, 40)}</p></div></body>"
+    df = spark.createDataFrame([(i, f"u{i}", h) for i, h in enumerate([*marked, plain, plain, "no tags", None, ""])], "page_id bigint, url string, html string")
+    assert "div.teaser" in T.learn(df).out
+    got = sorted(map(tuple, T.extract(df).collect()))
+    assert got[1][2] == got[2][2] == H.prose(3, 40) and [r[2] for r in got[3:]] == ["no tags", "", ""]
+    monkeypatch.setattr(T, "BROADCAST_KINDS", 10)
+    assert sorted(map(tuple, T.extract(df).collect())) == got
+
+
 def pages(spark, items):
     return spark.createDataFrame(items, "page_id bigint, url string, html string")
 
