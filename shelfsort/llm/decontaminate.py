@@ -26,8 +26,9 @@ passage that fills a third of the corpus is spread by doc_id.
 
 Defined cases: null and empty texts have no words and are clean; items without
 words have no windows; repeated items hit alike and both count; item words in
-one-word items are windows of one word; rows that repeat a doc_id and text
-count as one document.  An
+one-word items are windows of one word; rows that repeat a doc_id (or null) and
+text are one document, and rows of one doc_id (or null) with other texts are
+documents of their own, told apart by a 128-bit digest.  An
 empty benchmark leaves all documents clean; an empty table gives no rows.
 """
 from __future__ import annotations
@@ -38,7 +39,6 @@ from pyspark.sql import functions as F
 from shelfsort.llm.common import LOWER, UPPER, materialise, store
 
 WINDOW = 13
-NULL_ID = -(1 << 63)  # stands for a null doc_id
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_SHINGLES = 500_000
 BROADCAST_WINDOWS = 100_000
@@ -54,6 +54,12 @@ def shingle_pairs(words: Column) -> Column:
     return F.arrays_zip(words.alias("a"), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))).alias("b"))
 
 
+def document_key(doc_id: Column, text: Column) -> Column:
+    """128 bits of SHA-256 of doc_id and text."""
+    whole = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text.cast("string"), F.lit("")))
+    return F.unhex(F.substring(F.sha2(whole, 256), 1, 32))
+
+
 def windows(benchmark: DataFrame, item_id: str, text: str, width: int) -> DataFrame:
     """window (id), item, span (its words): one row per window of an item."""
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), word_array(F.col(text)).alias("w")).where(F.size("w") > 0)
@@ -79,20 +85,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     small = F.broadcast if n_sought <= BROADCAST_SHINGLES else (lambda df: df)
     ones = sought.where("b = ''").limit(1).count() > 0
 
-    key = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NULL_ID))
-    pairs = (docs.select(key.alias("doc"), word_array(F.col(text)).alias("w"))
-             .select("doc", F.posexplode_outer(shingle_pairs(F.col("w"))).alias("pos", "p"))
-             .select("doc", "pos", F.col("p.a").alias("a"), F.coalesce("p.b", F.lit("")).alias("b")))
-    # The last word of a document (b = '') stands for its length and stays.
+    number = F.col(doc_id).cast("bigint")
+    pairs = (docs.select(document_key(number, F.col(text)).alias("doc"), number.alias("doc_id"), word_array(F.col(text)).alias("w"))
+             .select("doc", "doc_id", F.posexplode_outer(shingle_pairs(F.col("w"))).alias("pos", "p"))
+             .select("doc", "doc_id", "pos", F.col("p.a").alias("a"), F.coalesce("p.b", F.lit("")).alias("b")))
+    # The last word of a document (b = '') stands for its length and id and stays.
     places = pairs.join(small(sought.where("b <> ''")), ["a", "b"], "left")
     if ones:  # single words are sought as well
         places = places.join(small(sought.where("b = ''").select("a", F.col("sid").alias("alone"))), "a", "left")
     else:
         places = places.withColumn("alone", F.lit(None).cast("bigint"))
     places = store(places.where("sid is not null or alone is not null or b = ''")
-                   .select("doc", "pos", "sid", "alone", (F.col("b") == "").alias("last")), "places")
+                   .select("doc", F.when(F.col("b") == "", F.col("doc_id")).alias("doc_id"), "pos", "sid", "alone",
+                           (F.col("b") == "").alias("last")), "places")
 
-    sizes = places.where("last").groupBy("doc").agg(F.max(F.coalesce(F.col("pos") + 1, F.lit(0))).cast("bigint").alias("n_words"))
+    sizes = places.where("last").groupBy("doc").agg(F.max(F.coalesce(F.col("pos") + 1, F.lit(0))).cast("bigint").alias("n_words"),
+                                                    F.max("doc_id").alias("doc_id"))
     found = places.where("sid is not null").select("doc", "pos", "sid")
     if ones:
         found = found.unionByName(places.where("alone is not null").select("doc", "pos", F.col("alone").alias("sid")))
@@ -109,7 +117,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
               .agg(F.collect_list(F.struct("at", "sid")).alias("tokens")))
     starts = (found.join(few(prefix), "sid")
               .select("doc", (F.col("pos") - F.col("at")).alias("start"), "window", "len").where("start >= 0")
-              .join(sizes, "doc").where("start + len <= n_words").drop("n_words"))
+              .join(sizes.drop("doc_id"), "doc").where("start + len <= n_words").drop("n_words"))
     due = (starts.join(few(tokens), "window")
            .select("doc", "start", "window", "len", F.explode("tokens").alias("t"))
            .select("doc", "start", "window", "len", (F.col("start") + F.col("t.at")).alias("pos"), F.col("t.at").alias("at"), F.col("t.sid").alias("sid")))
@@ -123,7 +131,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     hits = hits.select("doc", covered.cast("bigint").alias("n_hit"), "items")
     none = F.array().cast("array<string>")
     out = sizes.join(hits, "doc", "left").select(
-        F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "n_words",
+        "doc_id", "n_words",
         F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"), F.coalesce("items", none).alias("items"))
     return out.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),

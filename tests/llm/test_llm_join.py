@@ -111,3 +111,16 @@ def test_decontamination_without_one_word_items_and_on_empty_tables(spark):
     assert D.decontaminate(d.limit(0), b).count() == 0
     twice = D.decontaminate(d.unionByName(d), b)
     assert H.rows(twice, *names) == H.contamination(docs, items) and twice.count() == 3
+
+
+def test_decontamination_tells_texts_of_one_id_apart(spark):
+    item = [f"w{i}" for i in range(13)]
+    half = " ".join(item[:7] + ["x"] * 6), " ".join(["y"] * 6 + item[6:])  # the window only by both together
+    texts = [(None, half[0]), (None, half[1]), (None, " ".join(item)), (None, "clean one"), (None, None),
+             (8, half[0]), (8, half[1]), (8, "z " + " ".join(item)), (9, "clean too")]
+    b = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    got = D.decontaminate(spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3), b).collect()
+    names = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    want = [(i, *H.contamination([(0, t)], [(1, " ".join(item))])[0]) for i, t in texts]
+    key = lambda x: (x[0] or 0, x[1:])
+    assert sorted(((r.doc_id, *(r[n] for n in names)) for r in got), key=key) == sorted(want, key=key)
