@@ -1,13 +1,14 @@
 """Stages of the corpus pipeline: each applies one operator to all rows of its
 input and lets its decisions take effect.
 
-Filtering stages drop rows by id.  The table of dropped ids is broadcast when
-it is counted and found small enough, so texts do not move; beyond that it is a
-shuffle join.  Null ids are matched like values.  Columns, their names and
-their order stay as they came.
-
-Texts that repeat under one doc_id: the exact stage decides by row, the others
-by id (they run after it).
+Filtering stages drop rows by id or row number.  The table of dropped numbers is
+broadcast when it is counted and found small enough, so texts do not move;
+beyond that it is a shuffle join.  Null ids are matched like values.  Columns,
+their names and their order stay as they came.
+
+The exact, near-duplicate and decontamination stages decide by row, so rows
+without an id, and rows that repeat one, are judged by their own texts.  The
+latter two number the rows once, in a written copy of their input.
 """
 from __future__ import annotations
 
@@ -16,7 +17,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsort.llm.common import WHITE_SPACE, fresh, materialise, table
+from shelfsort.llm.common import WHITE_SPACE, fresh, materialise, store, table
 from shelfsort.session import ensure_checkpoint_dir, ship_package
 
 BROADCAST_IDS = 1_000_000  # at most 8 MB of ids
@@ -30,6 +31,12 @@ def drop_documents(docs: DataFrame, dropped: DataFrame, doc_id: str = "doc_id")
     return docs.join(right, F.col(doc_id).cast("bigint").eqNullSafe(F.col(k)), "left_anti")
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """A written copy of ``docs`` with a column of row numbers, and its name."""
+    k = fresh(docs, "row_number")
+    return store(docs.withColumn(k, F.monotonically_increasing_id()), "numbered"), k
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic.  It is trained on the
     labels and texts of the stage's own input."""
@@ -66,17 +73,24 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each component of near copies."""
+    """One row of each component of near copies: that of the smallest doc_id, a
+    null one last."""
     from shelfsort.llm.ngram_join import jaccard_components
-    found = jaccard_components(docs)
-    return drop_documents(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
+    rows, k = numbered(docs)
+    found = jaccard_components(rows, doc_id=k).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+    ids = rows.select(F.col(k).alias("row"), F.col("doc_id").cast("bigint").alias("id"))
+    named = materialise(found.join(ids, "row"))
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first"))
+    dropped = named.select("row").join(first.select(F.col("first.row").alias("row")), "row", "left_anti")
+    return drop_documents(rows, dropped, k).drop(k)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
+    """Rows that are not contaminated by the benchmark."""
     from shelfsort.llm.decontaminate import decontaminate
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return drop_documents(docs, found.where("contaminated").select("doc_id"))
+    rows, k = numbered(docs)
+    found = decontaminate(rows, table(spark, sf_dir, "benchmark"), doc_id=k)
+    return drop_documents(rows, found.where("contaminated").select("doc_id"), k).drop(k)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

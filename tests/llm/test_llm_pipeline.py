@@ -76,3 +76,22 @@ def test_exact_stage_with_repeated_and_null_ids(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "a "), (None, "c"), (None, "c"), (4, "b")], "doc_id bigint, text string")
     got = sorted((r.doc_id or 0, r.text) for r in S.exact_dedup_stage(spark, df, str(tmp_path)).collect())
     assert got == [(0, "c"), (1, "b"), (2, "a ")]
+
+
+def test_near_and_decontamination_stages_decide_by_row(spark, tmp_path):
+    """Rows without an id, and rows that repeat one, stay or go by their own texts."""
+    item = H.prose(77, 16, 500)
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    base, other = H.prose(1, 60, 900), H.prose(2, 60, 900)
+    clean = [H.prose(10 + i, 40, 900) for i in range(6)]
+    rows = [(5, base), (None, H.edited(base, 1, 1)), (None, clean[0]), (None, clean[1]), (None, other), (None, H.edited(other, 2, 1)),
+            (7, clean[2]), (7, H.edited(base, 3, 1)), (3, H.edited(base, 4, 1)), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = S.near_dedup_stage(spark, df, str(tmp_path)).collect()
+    left = sorted((r.doc_id or 0, r.text or "") for r in got)
+    assert [x for x in left if x[1] not in (other, rows[5][1])] == sorted([(3, rows[8][1]), (0, clean[0]), (0, clean[1]), (7, clean[2]), (0, ""), (0, "")])
+    assert len(left) == 7  # and one of the two near copies without an id
+    rows = [(None, clean[0]), (None, clean[1] + " " + item), (None, clean[2]), (4, clean[3]), (4, item), (6, clean[4])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted((r.doc_id or 0, r.text) for r in S.decontamination_stage(spark, df, str(tmp_path)).collect())
+    assert got == sorted([(0, clean[0]), (0, clean[2]), (4, clean[3]), (6, clean[4])])
