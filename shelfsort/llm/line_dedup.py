@@ -1,6 +1,7 @@
 """Line dedup by a range-partitioned sort of line hashes.
 
-Every line becomes (hash of its key, document, position).  These are range
+Every line becomes (hash of its key, document, position); a document is a
+doc_id and a 64-bit tag of its text.  These are range
 partitioned by (hash, document) and sorted inside the partition by (hash,
 document, position), so one stream over a partition meets all lines of a key
 together, first occurrence first.  Ranges split by document too, so a line
@@ -18,8 +19,9 @@ order of document and position, and later ones go.
 
 Defined cases: a null or empty text is one empty line; a key of no code points
 (a blank line) is never dropped; null doc_ids sort as smallest; rows repeating
-a doc_id form one document whose rows share their bitmap, lines being counted
-by row and position (give ids that are unique); an empty table gives no rows.
+a doc_id (or null) and text are one document, counted once, and keep the same
+lines; rows of one doc_id (or null) with other texts are documents of their own,
+in order of their tags; an empty table gives no rows.
 """
 from __future__ import annotations
 
@@ -42,45 +44,58 @@ def line_key(line: bytes) -> bytes:
     return line.strip(WHITE_BYTES).lower()
 
 
-def line_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """h1, h2 (128-bit hash of the key), doc, pos: one row per line that has a key."""
+def documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, text, doc (the id, a number for null) and tag (of id and text)."""
+    src = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return src.withColumn("doc", F.coalesce("doc_id", F.lit(NULL_ID))).withColumn("tag", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+
+
+def line_rows(src: DataFrame) -> DataFrame:
+    """h1, h2 (128-bit hash of the key), doc, tag, pos: one row per line of ``documents`` that has a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out():
             h = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2)
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])),
-                 pa.array(np.repeat(np.array(ids, np.int64), counts)), pa.array(np.concatenate(places).astype(np.int32))],
-                names=["h1", "h2", "doc", "pos"])
+                 pa.array(np.repeat(np.array(ids, np.int64), counts)), pa.array(np.repeat(np.array(tags, np.int64), counts)),
+                 pa.array(np.concatenate(places).astype(np.int32))],
+                names=["h1", "h2", "doc", "tag", "pos"])
 
         for b in batches:
-            keys, ids, counts, places = [], [], [], []
-            for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            keys, ids, tags, counts, places = [], [], [], [], []
+            for doc, tag, t in zip(*(b.column(i).to_pylist() for i in range(3))):
                 ks = [line_key(x) for x in (t or "").encode().split(b"\n")]
                 at = [i for i, k in enumerate(ks) if k]
                 if at:
                     keys += [xxhash.xxh3_128_digest(ks[i]) for i in at]
-                    ids.append(NULL_ID if doc is None else doc)
+                    ids.append(doc)
+                    tags.append(tag)
                     counts.append(len(at))
                     places.append(np.array(at))
                 if len(keys) > 200_000:
                     yield out()
-                    keys, ids, counts, places = [], [], [], []
+                    keys, ids, tags, counts, places = [], [], [], [], []
             if keys:
                 yield out()
 
-    return (docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-            .mapInArrow(run, "h1 bigint, h2 bigint, doc bigint, pos int"))
+    return src.select("doc", "tag", "text").mapInArrow(run, "h1 bigint, h2 bigint, doc bigint, tag bigint, pos int")
+
+
+def _changes(doc: np.ndarray) -> int:
+    """Steps from one document to another in rows of (doc, tag)."""
+    return int((doc[1:] != doc[:-1]).any(axis=1).sum())
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], np.ndarray, np.ndarray, bool]]:
-    """Pieces of runs of equal (h1, h2): key, docs, positions, whether the run
-    goes on.  Memory is one batch, whatever the length of a run."""
+    """Pieces of runs of equal (h1, h2): key, docs (rows of doc, tag), positions,
+    whether the run goes on.  Memory is one batch, whatever the length of a run."""
     last = None
     for b in batches:
         if not b.num_rows:
             continue
-        h1, h2, doc, pos = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        h1, h2, doc, tag, pos = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        doc = np.column_stack([doc, tag])
         cut = np.flatnonzero((h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])) + 1
         edges = np.concatenate([[0], cut, [len(h1)]])
         for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
@@ -91,14 +106,14 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int],
         yield (*last, False)
 
 
-def line_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int | None = 10) -> DataFrame:
-    """doc, drop: for every document that loses lines, the bitmap of the lines
-    to keep (bit i of the little-endian bits is line i; zlib), as ``bitmap``."""
-    spark = docs.sparkSession
+def line_plan(src: DataFrame, min_docs: int | None = 10) -> DataFrame:
+    """doc, tag, bitmap: for every one of ``documents`` that loses lines, the lines
+    to keep (bit i of the little-endian bits is line i; zlib)."""
+    spark = src.sparkSession
     n = partitions(spark)
-    rows = materialise(line_rows(docs, doc_id, text))
-    ranged = materialise(rows.repartitionByRange(n, "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "pos")
-                         .select("h1", "h2", "doc", "pos"))
+    rows = materialise(line_rows(src))
+    ranged = materialise(rows.repartitionByRange(n, "h1", "h2", "doc", "tag").sortWithinPartitions("h1", "h2", "doc", "tag", "pos")
+                         .select("h1", "h2", "doc", "tag", "pos"))
 
     def edges(batches):
         """Of a partition's first and last run: documents in it, and the first and last document."""
@@ -106,24 +121,24 @@ def line_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_d
         part = TaskContext.get().partitionId()
         found: list[list] = []
         for key, doc, pos, goes_on in _runs(batches):
-            distinct = int((doc[1:] != doc[:-1]).sum()) + 1
+            distinct = _changes(doc) + 1
             if found and found[-1][0] == key:
                 r = found[-1]
-                r[1] += distinct - (1 if r[3] == doc[0] else 0)
-                r[3] = int(doc[-1])
+                r[1] += distinct - (1 if r[3] == doc[0].tolist() else 0)
+                r[3] = doc[-1].tolist()
             else:
                 if len(found) == 2:
                     found[1] = None
                     found = [found[0]]
-                found.append([key, distinct, int(doc[0]), int(doc[-1])])
+                found.append([key, distinct, doc[0].tolist(), doc[-1].tolist()])
         if found:
             yield pa.RecordBatch.from_pydict({
                 "part": pa.array([part] * len(found), pa.int32()), "h1": pa.array([r[0][0] for r in found], pa.int64()),
                 "h2": pa.array([r[0][1] for r in found], pa.int64()), "n": pa.array([r[1] for r in found], pa.int64()),
-                "lo": pa.array([r[2] for r in found], pa.int64()), "hi": pa.array([r[3] for r in found], pa.int64())})
+                "lo": pa.array([r[2] for r in found], pa.list_(pa.int64())), "hi": pa.array([r[3] for r in found], pa.list_(pa.int64()))})
 
     # At most two rows for each partition.
-    edge = ranged.mapInArrow(edges, "part int, h1 bigint, h2 bigint, n bigint, lo bigint, hi bigint").collect()
+    edge = ranged.mapInArrow(edges, "part int, h1 bigint, h2 bigint, n bigint, lo array<bigint>, hi array<bigint>").collect()
     totals: dict[tuple[int, int], list] = {}
     for r in sorted(edge, key=lambda r: (r.h1, r.h2, r.part)):
         t = totals.setdefault((r.h1, r.h2), [0, None, r.part])
@@ -137,19 +152,22 @@ def line_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_d
         docs_out, pos_out, size = [], [], 0
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs_out)), pa.array(np.concatenate(pos_out).astype(np.int32))],
-                                              names=["doc", "pos"])
+            d = np.concatenate(docs_out)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1])),
+                                               pa.array(np.concatenate(pos_out).astype(np.int32))], names=["doc", "tag", "pos"])
 
         def pieces():
             """(docs, positions) of lines to drop."""
             if min_docs is None:
-                before = None
+                before = first = None
                 for key, doc, pos, _ in _runs(batches):
-                    if key == before or (key in shared.value and shared.value[key][1] != part):
+                    if key in shared.value and shared.value[key][1] != part:
                         yield doc, pos
-                    else:
-                        yield doc[1:], pos[1:]
-                    before = key
+                        continue
+                    if key != before:
+                        before, first = key, (doc[0], pos[0])
+                    later = (doc != first[0]).any(axis=1) | (pos != first[1])  # copies of the first document keep the line too
+                    yield doc[later], pos[later]
                 return
             held, distinct, tail, over = [], 0, None, False
             for key, doc, pos, goes_on in _runs(batches):
@@ -158,8 +176,8 @@ def line_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_d
                     if total[0] >= min_docs:
                         yield doc, pos
                     continue
-                distinct += int((doc[1:] != doc[:-1]).sum()) + (0 if tail == doc[0] else 1)
-                tail = doc[-1]
+                distinct += _changes(doc) + (0 if tail == doc[0].tolist() else 1)
+                tail = doc[-1].tolist()
                 held.append((doc, pos))
                 over = over or distinct >= min_docs
                 if over:
@@ -179,20 +197,20 @@ def line_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_d
         if size:
             yield flush()
 
-    gone = ranged.mapInArrow(drops, "doc bigint, pos int")
-    # One row per document; a document's lines are bounded by its own text.
-    per_doc = gone.groupBy("doc").agg(F.collect_list("pos").alias("gone"))
+    gone = ranged.mapInArrow(drops, "doc bigint, tag bigint, pos int")
+    # One row per document; a document's lines are bounded by its own text, however often it is repeated.
+    per_doc = gone.groupBy("doc", "tag").agg(F.collect_set("pos").alias("gone"))
 
     def bitmaps(batches):
         for b in batches:
             maps = []
-            for at in b.column(1).to_pylist():
+            for at in b.column(2).to_pylist():
                 bits = np.ones(max(at) // 8 * 8 + 8, np.uint8)
                 bits[at] = 0
                 maps.append(zlib.compress(np.packbits(bits, bitorder="little").tobytes()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(maps, pa.binary())], names=["doc", "bitmap"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(maps, pa.binary())], names=["doc", "tag", "bitmap"])
 
-    return per_doc.mapInArrow(bitmaps, "doc bigint, bitmap binary")
+    return per_doc.mapInArrow(bitmaps, "doc bigint, tag bigint, bitmap binary")
 
 
 def kept_lines(text: bytes, bitmap: bytes | None) -> tuple[list[bytes], int]:
@@ -210,10 +228,8 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     """doc_id, n_lines, n_dropped, kept_sha256, bitmap (null: all lines stay)
     and, ``with_text``, the text that is left: one row per row of ``docs``."""
     import hashlib
-    plan = line_plan(docs, doc_id, text, min_docs)
-    src = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    both = (src.withColumn("doc", F.coalesce("doc_id", F.lit(NULL_ID))).join(plan, "doc", "left")
-            .select("doc_id", "text", "bitmap"))
+    src = documents(docs, doc_id, text)
+    both = src.join(line_plan(src, min_docs), ["doc", "tag"], "left").select("doc_id", "text", "bitmap")
 
     def run(batches):
         for b in batches:

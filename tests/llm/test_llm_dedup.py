@@ -108,3 +108,17 @@ def test_line_dedup_null_ids_and_repeated_rows(spark):
     df = spark.createDataFrame([(None, "a\nb")] * 2 + [(5, "a")] * 30, "doc_id bigint, text string")
     out = L.line_dedup(df).collect()
     assert len(out) == 32 and all(r.n_dropped == 0 for r in out)  # two documents have the line
+
+
+def test_line_dedup_tells_texts_of_one_id_apart(spark):
+    texts = [(None, f"menu\nown {i}\nmenu") for i in range(12)] + [(7, f"own {i}\nmenu\nten {i}") for i in range(12, 15)]
+    texts += [(9, "first\nsecond")] * 11 + [(9, "second\nthird")]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(4)
+    def left(min_docs):
+        return sorted((r.doc_id or 0, r.n_dropped, r.text) for r in L.line_dedup(df, min_docs=min_docs, with_text=True).collect())
+    own = [(0, 2, f"own {i}") for i in range(12)] + [(7, 1, f"own {i}\nten {i}") for i in range(12, 15)]
+    assert left(10) == sorted(own + [(9, 0, "first\nsecond")] * 11 + [(9, 0, "second\nthird")])
+    got = left(None)
+    assert sum(t.split("\n").count("menu") for _, _, t in got) == 1 and all(any(f"own {i}" in t.split("\n") for _, _, t in got) for i in range(15))
+    held = {t for i, _, t in got if i == 9}
+    assert len(held) == 2 and held in ({"first\nsecond", "third"}, {"first", "second\nthird"})
