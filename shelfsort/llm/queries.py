@@ -73,3 +73,21 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op7_token_counts": op7_token_counts}
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfsort.llm.conversations import repair
+    return repair(table(spark, sf_dir, "conversations"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfsort.llm.whitening import whiten
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfsort.llm.pii import find, report
+    return report(find(table(spark, sf_dir, "documents")))
+
+
+QUERIES |= {f.__name__: f for f in (op11_conversation_repair, op12_embedding_whitening, op13_pii)}
