@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
 
+from .operators.boosting import BoostParams
+
 # ---------------------------------------------------------------------------
 # FIXED VALUES — these must stay equal to the original system's values for
 # the results to match.  Listed plainly, in their original order.
@@ -122,6 +124,8 @@ class TagConfig:
     model_max_features: int = 10_000
     model_c: float = 5.0
     model_max_iter: int = 1000
+    classifier: str = "linear"             # "linear" or "boosted"
+    boost: BoostParams = BoostParams()     # shape of the boosted trees
     keyword_rules: tuple = KEYWORD_RULES
     style_aliases: dict = field(default_factory=lambda: dict(STYLE_ALIASES))
     # Largest table (rows) that may be broadcast; larger sides are shuffled.

@@ -48,35 +48,37 @@ def _gram_size(threshold: float) -> tuple[int, int]:
     return 1, 0
 
 
-def _items(strings: DataFrame, n: int) -> DataFrame:
-    """``(sid, L, gram, occ)`` for every occurrence of an n-character gram."""
-    grams = strings.select("sid", "s", F.length("s").alias("L"),
+def _items(strings: DataFrame, n: int, keys: list) -> DataFrame:
+    """``(sid, *keys, L, gram, occ)`` for every occurrence of an n-character gram."""
+    grams = strings.select("sid", *keys, "s", F.length("s").alias("L"),
                            F.explode(F.sequence(F.lit(1), F.length("s") - (n - 1))).alias("pos"))
-    grams = grams.select("sid", "L", "pos", F.expr(f"substring(s, pos, {n})").alias("gram"))
+    grams = grams.select("sid", *keys, "L", "pos", F.expr(f"substring(s, pos, {n})").alias("gram"))
     w = Window.partitionBy("sid", "gram").orderBy("pos")
     return grams.withColumn("occ", F.row_number().over(w)).drop("pos")
 
 
-def prefix_items(strings: DataFrame, threshold: float, order_by: DataFrame | None = None) -> DataFrame:
+def prefix_items(strings: DataFrame, threshold: float, order_by: DataFrame | None = None, by: str | None = None) -> DataFrame:
     """``(sid, gram, occ)``: the items that a string must be looked up by.
     Two strings with ratio ≥ ``threshold`` share one.  ``order_by``: the
     strings whose item frequencies give the global order (all sides of a join
-    must name the same); by default ``strings``."""
+    must name the same); by default ``strings``.  ``by`` names a column of
+    groups that are joined apart; the result carries it."""
     n, short_max = _gram_size(threshold)
+    keys = [by] if by else []
     long = F.length("s") > short_max
-    items = _items(strings.where(long), n)
-    base = items if order_by is None else _items(order_by.where(long), n)
-    freq = base.groupBy("gram", "occ").agg(F.count(F.lit(1)).alias("freq"))
-    it = items.join(freq, ["gram", "occ"])
+    items = _items(strings.where(long), n, keys)
+    base = items if order_by is None else _items(order_by.where(long), n, keys)
+    freq = base.groupBy(*keys, "gram", "occ").agg(F.count(F.lit(1)).alias("freq"))
+    it = items.join(freq, [*keys, "gram", "occ"])
     if n == 2:
         need = F.ceil(F.col("L") * (1.0 - 4.0 * (1.0 - threshold / 100.0)) - 1.0 - 1e-9)
     else:
         need = F.ceil(F.col("L") * (threshold / (200.0 - threshold)) - 1e-9)
     plen = (F.col("L") - (n - 1)) - need + 1
     w = Window.partitionBy("sid").orderBy("freq", "gram", "occ")
-    kept = it.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= plen).select("sid", "gram", "occ")
+    kept = it.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= plen).select("sid", *keys, "gram", "occ")
     # occurrence 0 never happens in a text: the key of equality matches
-    short = strings.where(~long).select("sid", F.col("s").alias("gram"), F.lit(0).alias("occ"))
+    short = strings.where(~long).select("sid", *keys, F.col("s").alias("gram"), F.lit(0).alias("occ"))
     return kept.unionByName(short)
 
 
@@ -90,12 +92,17 @@ def score_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold:
     return scored.where(F.col("score") >= threshold).select("lid", "rid", "score")
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, by: str | None = None) -> DataFrame:
     """All ``(lid, rid, score)`` with Indel ratio(left.s, right.s) ≥ threshold.
 
-    ``left``/``right``: ``(sid, s)`` with prepared strings (e.g. token-sorted)."""
-    both = left.select("sid", "s").unionByName(right.select("sid", "s"))
-    lp = prefix_items(left, threshold, both).withColumnRenamed("sid", "lid")
-    rp = prefix_items(right, threshold, both).withColumnRenamed("sid", "rid")
-    cand = lp.join(rp, ["gram", "occ"]).select("lid", "rid").distinct()
+    ``left``/``right``: ``(sid, s)`` with prepared strings (e.g. token-sorted);
+    with ``by``, only pairs that agree in that column."""
+    keys = [by] if by else []
+    both = None
+    for side, df in (("l", left), ("r", right)):
+        part = df.select(F.concat(F.lit(side), F.col("sid").cast("string")).alias("sid"), *keys, "s")
+        both = part if both is None else both.unionByName(part)
+    lp = prefix_items(left, threshold, both, by).withColumnRenamed("sid", "lid")
+    rp = prefix_items(right, threshold, both, by).withColumnRenamed("sid", "rid")
+    cand = lp.join(rp, [*keys, "gram", "occ"]).select("lid", "rid").distinct()
     return score_pairs(cand, left, right, threshold)

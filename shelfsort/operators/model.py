@@ -1,9 +1,11 @@
-"""Category classifier (M1–M8) on Spark ML.
+"""Category classifier (M1–M8).
 
 Features are the same sublinear char_wb TF-IDF as the index, capped at
-``model_max_features`` grams, L2-normalised; the classifier is multinomial
-logistic regression with the L2 penalty of ``C`` mapped to Spark's
-``regParam = 1 / (C · n)`` and no standardisation.
+``model_max_features`` grams, L2-normalised.  Two classifiers (M3):
+
+* ``linear``: multinomial logistic regression of Spark ML, with the L2 penalty
+  of ``C`` mapped to ``regParam = 1 / (C · n)`` and no standardisation;
+* ``boosted``: gradient-boosted trees (``boosting.py``).
 """
 from __future__ import annotations
 
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import bounded_broadcast, cut_lineage, dense_positions, ensure_checkpoint_dir
+from . import boosting
+from .boosting import BoostParams
 from .tfidf import doc_grams, vocabulary
 
 # A multinomial model holds one weight vector per class on every executor.
@@ -29,7 +33,14 @@ class CategoryModel:
     vocab: DataFrame            # gram, idx, idf
     n_features: int
     classes: list               # sorted class labels (scalar list, one per class)
-    lr: LogisticRegressionModel
+    lr: LogisticRegressionModel | None
+    forest: list | None = None              # rounds of trees, one tree a class (kind "boosted")
+    edges: DataFrame | None = None          # idx, lo, span: bins of the features
+    boost: BoostParams = BoostParams()
+
+    @property
+    def kind(self) -> str:
+        return "linear" if self.forest is None else "boosted"
 
 
 def _fit_vocab(counts: DataFrame, n_docs: int, max_features: int) -> tuple[DataFrame, int]:
@@ -68,10 +79,20 @@ def _vectors(rows: DataFrame, counts: DataFrame, vocab: DataFrame, n_features: i
     return spark.read.schema(schema).parquet(path)
 
 
-def features(df: DataFrame, vocab: DataFrame, n_features: int,
-             broadcast_max_rows: int = 1_000_000) -> DataFrame:
-    """``(rid, features)`` for ``(rid, text)``."""
-    return _vectors(df.select("rid"), doc_grams(df, ["rid"], "text"), vocab, n_features, broadcast_max_rows)
+def _unit_weights(counts: DataFrame, vocab: DataFrame, broadcast_max_rows: int) -> DataFrame:
+    """``(rid, idx, w)``: L2-normalised TF-IDF weights of known grams."""
+    from pyspark.sql import Window
+    w = (counts.join(bounded_broadcast(vocab, broadcast_max_rows), "gram")
+         .select("rid", "idx", ((1.0 + F.log("cnt")) * F.col("idf")).alias("w")))
+    own = Window.partitionBy("rid")
+    return w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(own)))
+
+
+def _bins(rows: DataFrame, weights: DataFrame, edges: DataFrame, bins: int) -> DataFrame:
+    """``rows`` (``rid``, ...) with ``kv``, the binned features."""
+    none = F.array().cast("array<struct<idx:int,bin:int>>")
+    return (rows.join(boosting.binned(weights, edges, bins), "rid", "left")
+            .withColumn("kv", F.coalesce("kv", none)))
 
 
 def class_counts(train: DataFrame) -> DataFrame:
@@ -80,16 +101,18 @@ def class_counts(train: DataFrame) -> DataFrame:
 
 
 def fit(train: DataFrame, c: float = 5.0, max_iter: int = 1000,
-        max_features: int = 10_000) -> CategoryModel | None:
+        max_features: int = 10_000, kind: str = "linear", boost: BoostParams = BoostParams()) -> CategoryModel | None:
     """M1–M3: ``train`` has ``(rid, text, label)``; returns None for < 2 classes."""
     train = cut_lineage(train.select("rid", "text", "label"))
     return _fit_counts(train.select("rid", "label"), cut_lineage(doc_grams(train, ["rid"], "text")),
-                       c, max_iter, max_features)
+                       c, max_iter, max_features, kind, boost)
 
 
 def _fit_counts(rows: DataFrame, counts: DataFrame, c: float, max_iter: int,
-                max_features: int) -> CategoryModel | None:
+                max_features: int, kind: str = "linear", boost: BoostParams = BoostParams()) -> CategoryModel | None:
     """``fit`` on gram counts that are already there (``rows``: rid, label)."""
+    if kind not in ("linear", "boosted"):
+        raise ValueError(f"unknown classifier {kind!r}")
     spark = rows.sparkSession
     per_class = class_counts(rows).orderBy("label").limit(MAX_CLASSES + 1).collect()
     if len(per_class) > MAX_CLASSES:
@@ -100,7 +123,15 @@ def _fit_counts(rows: DataFrame, counts: DataFrame, c: float, max_iter: int,
     n = sum(r["n"] for r in per_class)
     vocab, n_features = _fit_vocab(counts, n, max_features)
     idx = spark.createDataFrame(list(enumerate(classes)), "y int, label string")
-    data = _vectors(rows.join(F.broadcast(idx), "label").select("rid", "y"), counts, vocab, n_features, 1_000_000)
+    numbered = rows.join(F.broadcast(idx), "label").select("rid", "y")
+    if kind == "boosted":
+        weights = cut_lineage(_unit_weights(counts, vocab, 1_000_000))
+        edges = cut_lineage(boosting.bin_edges(weights))
+        # every task of a level reads whole blocks: two waves of the cluster
+        data = _bins(numbered, weights, edges, boost.bins).repartition(2 * spark.sparkContext.defaultParallelism, "rid")
+        forest = boosting.train(data, len(classes), boost)
+        return CategoryModel(vocab=vocab, n_features=n_features, classes=classes, lr=None, forest=forest, edges=edges, boost=boost)
+    data = _vectors(numbered, counts, vocab, n_features, 1_000_000)
     # one task per core: each optimiser iteration is a job over these partitions
     data = data.repartition(spark.sparkContext.defaultParallelism).persist()
     lr = LogisticRegression(featuresCol="features", labelCol="y", family="multinomial",
@@ -113,11 +144,17 @@ def _fit_counts(rows: DataFrame, counts: DataFrame, c: float, max_iter: int,
 
 def predict(model: CategoryModel, df: DataFrame) -> DataFrame:
     """M4 + M7: ``(rid, ml_category, ml_confidence)`` — best class, first on ties."""
-    return _best_class(model, features(df, model.vocab, model.n_features))
+    return _score(model, df.select("rid"), doc_grams(df, ["rid"], "text"))
 
 
-def _best_class(model: CategoryModel, feats: DataFrame) -> DataFrame:
-    scored = model.lr.transform(feats).select("rid", vector_to_array("probability").alias("p"))
+def _score(model: CategoryModel, rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Best class of ``rows`` (rid) from their gram counts."""
+    if model.kind == "boosted":
+        kv = _bins(rows, _unit_weights(counts, model.vocab, 1_000_000), model.edges, model.boost.bins)
+        scored = boosting.margins(model.forest, kv, len(model.classes))
+    else:
+        feats = _vectors(rows, counts, model.vocab, model.n_features, 1_000_000)
+        scored = model.lr.transform(feats).select("rid", vector_to_array("probability").alias("p"))
     best = F.array_position("p", F.array_max("p"))
     names = F.array(*[F.lit(x) for x in model.classes])
     return scored.select("rid", F.element_at(names, best.cast("int")).alias("ml_category"),
@@ -150,8 +187,8 @@ def stratified_folds(train: DataFrame, k: int) -> DataFrame:
     return pos.withColumn("fold", fold.cast("int")).drop("s", "n", "crank", "p")
 
 
-def cross_validate(train: DataFrame, c: float = 5.0, max_iter: int = 1000,
-                   max_features: int = 10_000) -> float | None:
+def cross_validate(train: DataFrame, c: float = 5.0, max_iter: int = 1000, max_features: int = 10_000,
+                   kind: str = "linear", boost: BoostParams = BoostParams()) -> float | None:
     """M6 + A9: mean accuracy over min(5, smallest class) folds, or None."""
     counts = class_counts(train).agg(F.min("n").alias("m"), F.count(F.lit(1)).alias("k")).first()
     if counts["k"] is None or counts["k"] < 2:
@@ -164,13 +201,12 @@ def cross_validate(train: DataFrame, c: float = 5.0, max_iter: int = 1000,
     accs = []
     for f in range(k):
         m = _fit_counts(folded.where(F.col("fold") != f).select("rid", "label"),
-                        grams.where(F.col("fold") != f).drop("fold"), c, max_iter, max_features)
+                        grams.where(F.col("fold") != f).drop("fold"), c, max_iter, max_features, kind, boost)
         if m is None:
             accs.append(0.0)
             continue
         test = folded.where(F.col("fold") == f).select("rid", "label")
-        feats = _vectors(test.select("rid"), grams.where(F.col("fold") == f).drop("fold"), m.vocab, m.n_features, 1_000_000)
-        pred = _best_class(m, feats).join(test, "rid")
+        pred = _score(m, test.select("rid"), grams.where(F.col("fold") == f).drop("fold")).join(test, "rid")
         accs.append(pred.agg(F.avg((F.col("ml_category") == F.col("label")).cast("double"))).first()[0])
     return float(sum(accs) / len(accs))
 
@@ -178,11 +214,11 @@ def cross_validate(train: DataFrame, c: float = 5.0, max_iter: int = 1000,
 METRICS_SCHEMA = "status string, samples long, classes array<string>, cv_accuracy double, reason string"
 
 
-def train_metrics(spark, train: DataFrame, c: float = 5.0, max_iter: int = 1000,
-                  max_features: int = 10_000, with_cv: bool = True):
+def train_metrics(spark, train: DataFrame, c: float = 5.0, max_iter: int = 1000, max_features: int = 10_000,
+                  with_cv: bool = True, kind: str = "linear", boost: BoostParams = BoostParams()):
     """M8: fit and return ``(model, metrics DataFrame)``."""
-    model = fit(train, c, max_iter, max_features)
+    model = fit(train, c, max_iter, max_features, kind, boost)
     if model is None:
         return None, spark.createDataFrame([("skipped", None, None, None, "insufficient_classes")], METRICS_SCHEMA)
-    cv = cross_validate(train, c, max_iter, max_features) if with_cv else None
+    cv = cross_validate(train, c, max_iter, max_features, kind, boost) if with_cv else None
     return model, spark.createDataFrame([("trained", train.count(), model.classes, cv, None)], METRICS_SCHEMA)

@@ -7,12 +7,14 @@ sees its own half-written output.
 from __future__ import annotations
 
 import json
+from dataclasses import asdict
 
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import MACHINE_SOURCES, TagConfig
+from ..operators import boosting
 from ..operators import labels as L
 from ..operators.model import METRICS_SCHEMA, CategoryModel, train_metrics
 from ..operators.tfidf import TfidfIndex
@@ -39,7 +41,7 @@ def train_and_refresh(spark: SparkSession, labels: DataFrame, cfg: TagConfig = T
         return build_state(labels, cfg, with_index=False), spark.createDataFrame(
             [("no_data", None, None, None, None)], METRICS_SCHEMA)
     model, metrics = train_metrics(spark, train, cfg.model_c, cfg.model_max_iter,
-                                   cfg.model_max_features, with_cv=with_cv)
+                                   cfg.model_max_features, with_cv=with_cv, kind=cfg.classifier, boost=cfg.boost)
     state = build_state(labels, cfg, model=model)
     if store is not None:
         save_state(state, metrics, store, version if version is not None else store.versions()[-1])
@@ -156,17 +158,26 @@ def load_state(spark: SparkSession, store: LabelStore, cfg: TagConfig = TagConfi
 
 def save_model(model: CategoryModel, path: str) -> None:
     """Classifier, feature vocabulary and class list under one folder."""
-    model.lr.write().overwrite().save(f"{path}/lr")
-    model.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
     spark = model.vocab.sparkSession
-    spark.createDataFrame([(json.dumps({"classes": model.classes, "n_features": model.n_features}),)],
-                          "meta string").write.mode("overwrite").text(f"{path}/meta")
+    meta = {"classes": model.classes, "n_features": model.n_features, "kind": model.kind}
+    if model.kind == "boosted":
+        boosting.forest_table(spark, model.forest).write.mode("overwrite").parquet(f"{path}/forest")
+        model.edges.write.mode("overwrite").parquet(f"{path}/edges")
+        meta["boost"] = asdict(model.boost)
+    else:
+        model.lr.write().overwrite().save(f"{path}/lr")
+    model.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
+    spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").text(f"{path}/meta")
 
 
 def load_model(spark: SparkSession, path: str) -> CategoryModel:
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-    return CategoryModel(vocab=spark.read.parquet(f"{path}/vocab"), n_features=meta["n_features"],
-                         classes=meta["classes"], lr=LogisticRegressionModel.load(f"{path}/lr"))
+    vocab = spark.read.parquet(f"{path}/vocab")
+    if meta.get("kind") == "boosted":
+        return CategoryModel(vocab=vocab, n_features=meta["n_features"], classes=meta["classes"], lr=None,
+                             forest=boosting.forest_of(spark.read.parquet(f"{path}/forest")),
+                             edges=spark.read.parquet(f"{path}/edges"), boost=boosting.BoostParams(**meta["boost"]))
+    return CategoryModel(vocab=vocab, n_features=meta["n_features"], classes=meta["classes"], lr=LogisticRegressionModel.load(f"{path}/lr"))
 
 
 def save_index(index: TfidfIndex, path: str) -> None:
