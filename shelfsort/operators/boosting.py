@@ -149,10 +149,23 @@ def gradients(margin: np.ndarray, y: np.ndarray, c: int) -> tuple[np.ndarray, np
     return np.rint(g * SCALE), np.rint(h * SCALE)
 
 
-def histograms(trees: list[Tree], open_nodes: list[list[int]], bins: int, totals: bool):
+def root_sums(classes: int):
+    """Per block: cls, g, h, integer sums over all rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = np.zeros((classes, 2), np.int64)
+            for block in batch.to_pylist():
+                y, _, _, _, margin = _arrays(block, classes)
+                for c in range(classes):
+                    sums[c] += [int(x.sum()) for x in gradients(margin, y, c)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes, dtype=np.int32)), pa.array(sums[:, 0]), pa.array(sums[:, 1])],
+                                             names=["cls", "g", "h"])
+    return run
+
+
+def histograms(trees: list[Tree], open_nodes: list[list[int]], bins: int):
     """Per block: cls, node, feature, g0..g{bins-1}, h0..h{bins-1}, integer sums
-    over the rows of each open node.  ``totals`` adds a row with feature -1 that
-    holds the node's own sums in its first bin."""
+    over the rows of each open node."""
     classes = len(trees)
     names = ["cls", "node", "feature", *[f"g{b}" for b in range(bins)], *[f"h{b}" for b in range(bins)]]
 
@@ -179,20 +192,11 @@ def histograms(trees: list[Tree], open_nodes: list[list[int]], bins: int, totals
                     use = np.nonzero(sh.any(axis=1))[0]
                     node, feature = np.array(open_nodes[c])[use // max(1, len(seen))], seen[use % max(1, len(seen))]
                     sg, sh = sg[use], sh[use]
-                    if totals:
-                        own = np.zeros((k, bins)), np.zeros((k, bins))
-                        inside = slot >= 0
-                        own[0][:, 0] = np.bincount(slot[inside], g[inside], k)
-                        own[1][:, 0] = np.bincount(slot[inside], h[inside], k)
-                        node = np.concatenate([node, np.array(open_nodes[c])])
-                        feature = np.concatenate([feature, np.full(k, -1)])
-                        sg, sh = np.concatenate([sg, own[0]]), np.concatenate([sh, own[1]])
                     if len(node):
                         columns = [pa.array(np.full(len(node), c, np.int32)), pa.array(node.astype(np.int32)), pa.array(feature.astype(np.int32))]
                         columns += [pa.array(m[:, b].astype(np.int64)) for m in (sg, sh) for b in range(bins)]
                         yield pa.RecordBatch.from_arrays(columns, names=names)
-    schema = "cls int, node int, feature int, " + ", ".join(f"{s}{b} long" for s in "gh" for b in range(bins))
-    return run, schema
+    return run
 
 
 def best_of(g: np.ndarray, h: np.ndarray, total_g: np.ndarray, total_h: np.ndarray, params: BoostParams) -> tuple:
@@ -260,57 +264,68 @@ def apply_trees(trees: list[Tree]):
 
 # ---- training ----------------------------------------------------------------------------
 
-def grow(blocks: DataFrame, classes: int, params: BoostParams) -> list[Tree]:
-    """One round: a tree for every class."""
-    trees = [Tree() for _ in range(classes)]
-    open_nodes = [[0] for _ in range(classes)]
-    totals: dict[tuple[int, int], tuple[int, int]] = {}
-    for level in range(params.depth):
-        run, schema = histograms(trees, open_nodes, params.bins, totals=level == 0)
-        sums = [F.sum(f"{s}{b}").alias(f"{s}{b}") for s in "gh" for b in range(params.bins)]
-        summed = blocks.mapInArrow(run, schema).groupBy("cls", "node", "feature").agg(*sums)
-        if level == 0:
-            summed = summed.persist()
-            totals = {(r["cls"], 0): (r["g0"], r["h0"]) for r in summed.where("feature = -1").collect()}   # a row a class
-            if not totals:
-                summed.unpersist()
-                return trees
-        best = (summed.where("feature >= 0").mapInArrow(splits({k: v for k, v in totals.items()}, params), SPLIT)
-                .groupBy("cls", "node").agg(F.min_by(F.struct("feature", "bin", "missing_left", "lg", "lh"),
-                                                     F.struct(-F.col("gain"), "feature")).alias("s"))
-                .select("cls", "node", "s.*").collect())                       # a row an open node
-        if level == 0:
-            summed.unpersist()
-        open_nodes = [[] for _ in range(classes)]
-        for r in sorted(best, key=lambda x: (x["cls"], x["node"])):
-            a, b = trees[r["cls"]].split(r["node"], r["feature"], r["bin"], r["missing_left"])
-            g, h = totals[r["cls"], r["node"]]
-            totals[r["cls"], a], totals[r["cls"], b] = (r["lg"], r["lh"]), (g - r["lg"], h - r["lh"])
-            open_nodes[r["cls"]] += [a, b]
-        if not best:
-            break
-    for (c, node), (g, h) in totals.items():
-        if trees[c].feature[node] < 0:
-            trees[c].value[node] = -params.rate * g / (h + params.l2 * SCALE)
-    return trees
+class Grower:
+    """Grows the trees of a round; what the jobs of all rounds share is built once."""
+
+    def __init__(self, classes: int, params: BoostParams):
+        self.classes, self.params = classes, params
+        cells = [f"{s}{b}" for s in "gh" for b in range(params.bins)]
+        self.schema = "cls int, node int, feature int, " + ", ".join(f"{c} long" for c in cells)
+        self.sums = [F.sum(c).alias(c) for c in cells]
+        self.best = F.min_by(F.struct("feature", "bin", "missing_left", "lg", "lh"), F.struct(-F.col("gain"), "feature")).alias("s")
+
+    def grow(self, blocks: DataFrame) -> list[Tree]:
+        params = self.params
+        trees = [Tree() for _ in range(self.classes)]
+        # a row a class comes to the driver here, a row an open node below
+        totals = {(r["cls"], 0): (r["g"], r["h"]) for r in blocks.mapInArrow(root_sums(self.classes), "cls int, g long, h long")
+                  .groupBy("cls").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()}
+        open_nodes = [[0] if (c, 0) in totals else [] for c in range(self.classes)]
+        for _ in range(params.depth):
+            summed = (blocks.mapInArrow(histograms(trees, open_nodes, params.bins), self.schema)
+                      .groupBy("cls", "node", "feature").agg(*self.sums))
+            best = summed.mapInArrow(splits(dict(totals), params), SPLIT).groupBy("cls", "node").agg(self.best).select("cls", "node", "s.*").collect()
+            open_nodes = [[] for _ in range(self.classes)]
+            for r in sorted(best, key=lambda x: (x["cls"], x["node"])):
+                at = r["cls"], r["node"]
+                a, b = trees[r["cls"]].split(r["node"], r["feature"], r["bin"], r["missing_left"])
+                (g, h), left = totals[at], (r["lg"], r["lh"])
+                totals[r["cls"], a], totals[r["cls"], b] = left, (g - left[0], h - left[1])
+                # a node too light to be cut in two is a leaf at once
+                open_nodes[r["cls"]] += [k for k in (a, b) if totals[r["cls"], k][1] >= 2 * params.min_hessian * SCALE]
+            if not any(open_nodes):
+                break
+        for (c, node), (g, h) in totals.items():
+            if trees[c].feature[node] < 0:
+                trees[c].value[node] = -params.rate * g / (h + params.l2 * SCALE)
+        return trees
 
 
 def train(rows: DataFrame, classes: int, params: BoostParams = BoostParams()) -> list[list[Tree]]:
     """``rows``: rid, y (0..classes-1), kv array<struct<idx, bin>>.  Returns the
-    trees of every round."""
+    trees of every round.  A round in which no tree splits is the last: from
+    there on rounds would only shift whole classes."""
     blocks = cut_lineage(pack_blocks(rows, classes))
-    forest = []
+    grower, forest, cached = Grower(classes, params), [], None
     for t in range(params.rounds):
-        trees = grow(blocks, classes, params)
-        forest.append(trees)
-        if t + 1 == params.rounds:
+        forest.append(grower.grow(blocks))
+        # the jobs of this round have filled the cache of its blocks
+        if cached is not None:
+            cached.unpersist()
+            cached = None
+        if t + 1 == params.rounds or all(len(tree.feature) == 1 for tree in forest[-1]):
             break
-        moved = blocks.mapInArrow(apply_trees(trees), BLOCK)
-        old, blocks = blocks, cut_lineage(moved) if (t + 1) % CHECKPOINT == 0 else moved.persist()
-        if t % CHECKPOINT:
-            blocks.count()
-            old.unpersist()
-    blocks.unpersist()
+        moved = blocks.mapInArrow(apply_trees(forest[-1]), BLOCK)
+        if (t + 1) % CHECKPOINT == 0:
+            if blocks.is_cached:
+                cached = blocks
+            blocks = cut_lineage(moved)
+        else:
+            cached = blocks if blocks.is_cached else None
+            blocks = moved.persist()
+    for df in (cached, blocks):
+        if df is not None:
+            df.unpersist()
     return forest
 
 

@@ -7,8 +7,9 @@ A2  an alias of the candidate is a whole word of the name: 90 + longest alias;
 B   words of the candidate share a five-letter beginning with a word of the
     name: 10 for each, plus their lengths.
 
-Instead of comparing a name with every candidate of its category, each tier is
-an equality join, so the work follows the pairs that share a key:
+A category of up to ``FEW`` candidates is compared pair by pair, which is linear
+in the names.  In larger ones each tier is an equality join, so the work follows
+the pairs that share a key, not the product:
 
 A   every candidate is looked up by the one of its grams that is rarest among
     the names (a substring has all its grams in the text), then verified;
@@ -25,8 +26,38 @@ from pyspark.sql import functions as F
 
 from ..config import SUB_SKIP_WORDS
 from ..functions.text import latin_words, word_runs
+from ..session import cut_lineage
 
 GRAM = 3
+FEW = 16
+
+
+def keyword_score(nl: Column, cl: Column, aliases: Column) -> Column:
+    """Tier score of one candidate for one name, both in lower case (0 = no match)."""
+    a = F.when((F.length(cl) > 0) & (F.instr(nl, cl) > 0), 100 + F.length(cl))
+    runs = word_runs(nl)
+    hits = F.filter(F.coalesce(aliases, F.array().cast("array<string>")), lambda x: F.array_contains(runs, x))
+    a2 = F.when(F.size(hits) > 0, 90 + F.array_max(F.transform(hits, lambda x: F.length(x))))
+    skip = F.array(*[F.lit(w) for w in SUB_SKIP_WORDS])
+    nwords = F.filter(latin_words(nl), lambda w: F.length(w) >= 4)
+    cwords = F.filter(latin_words(cl), lambda w: (F.length(w) >= 4) & ~F.array_contains(skip, w))
+    matched = F.filter(cwords, lambda cw: F.exists(nwords, lambda nw: (
+        F.startswith(nw, F.substring(cw, 1, 5)) | F.startswith(cw, F.substring(nw, 1, 5)))))
+    b = F.size(matched) * 10 + F.aggregate(matched, F.lit(0), lambda acc, w: acc + F.length(w))
+    return F.coalesce(a, a2, b)
+
+
+def alias_map(aliases: dict) -> Column:
+    return F.create_map(*[x for k, v in aliases.items() for x in (F.lit(k), F.array(*[F.lit(a) for a in v]))])
+
+
+def split_categories(cands: DataFrame, few: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Candidates of categories with at most ``few`` of them, the others, and
+    whether there are others."""
+    n = cut_lineage(cands.groupBy("cat_key").agg(F.count(F.lit(1)).alias("n")))
+    large = n.where(F.col("n") > few).select("cat_key")
+    return (cands.join(n.where(F.col("n") <= few).select("cat_key"), "cat_key", "left_semi"), cands.join(large, "cat_key", "left_semi"),
+            large.limit(1).count() > 0)
 
 
 def _grams(text: Column, size) -> Column:
@@ -95,7 +126,7 @@ def prefix_pairs(names: DataFrame, cands: DataFrame) -> DataFrame:
     return met.groupBy("nid", "cid").agg((F.count(F.lit(1)) * 10 + F.sum("len")).alias("points"))
 
 
-def keyword_best(names: DataFrame, cands: DataFrame, aliases: dict) -> DataFrame:
+def keyword_best(names: DataFrame, cands: DataFrame, aliases: dict, few: int = FEW) -> DataFrame:
     """``(nid, candidate, kws)``: best candidate of each name's category (ties:
     lower ``cand_ord``); names without any tier give no row.
 
@@ -103,11 +134,21 @@ def keyword_best(names: DataFrame, cands: DataFrame, aliases: dict) -> DataFrame
     ``cands``: (cat_key, candidate, cand_ord)."""
     n = names.select("nid", "cat_key", F.lower("name").alias("nl"))
     c = cands.select("cat_key", "candidate", F.col("cand_ord").alias("cid"), F.lower("candidate").alias("cl"))
+    small, large, any_large = split_categories(c, few)
+    listed = F.element_at(alias_map(aliases), F.col("candidate")) if aliases else F.lit(None).cast("array<string>")
+    pair = (n.join(small, "cat_key").select("nid", "cid", keyword_score(F.col("nl"), F.col("cl"), listed).alias("kws"))
+            .where(F.col("kws") > 0))
+    if any_large:
+        pair = pair.unionByName(_joined_scores(n, cut_lineage(large), aliases))
+    best = pair.groupBy("nid").agg(F.min_by(F.struct("cid", "kws"), F.struct(-F.col("kws"), F.col("cid"))).alias("b"))
+    return (best.select("nid", F.col("b.cid").alias("cid"), F.col("b.kws").alias("kws"))
+            .join(c.select("cid", "candidate"), "cid").select("nid", "candidate", "kws"))
+
+
+def _joined_scores(n: DataFrame, c: DataFrame, aliases: dict) -> DataFrame:
+    """(nid, cid, kws) of every pair that scores, by key joins."""
     length = c.select("cid", F.length("cl").alias("len"))
     a = substring_pairs(n, c).join(length, "cid").select("nid", "cid", F.lit(0).alias("tier"), (100 + F.col("len")).alias("kws"))
     a2 = alias_pairs(n, c, aliases).select("nid", "cid", F.lit(1).alias("tier"), (90 + F.col("longest")).alias("kws"))
     b = prefix_pairs(n, c).select("nid", "cid", F.lit(2).alias("tier"), F.col("points").cast("int").alias("kws"))
-    pair = a.unionByName(a2).unionByName(b).groupBy("nid", "cid").agg(F.min_by("kws", "tier").alias("kws"))
-    best = pair.groupBy("nid").agg(F.min_by(F.struct("cid", "kws"), F.struct(-F.col("kws"), F.col("cid"))).alias("b"))
-    return (best.select("nid", F.col("b.cid").alias("cid"), F.col("b.kws").alias("kws"))
-            .join(c.select("cid", "candidate"), "cid").select("nid", "candidate", "kws"))
+    return a.unionByName(a2).unionByName(b).groupBy("nid", "cid").agg(F.min_by("kws", "tier").alias("kws"))

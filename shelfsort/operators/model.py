@@ -127,8 +127,9 @@ def _fit_counts(rows: DataFrame, counts: DataFrame, c: float, max_iter: int,
     if kind == "boosted":
         weights = cut_lineage(_unit_weights(counts, vocab, 1_000_000))
         edges = cut_lineage(boosting.bin_edges(weights))
-        # every task of a level reads whole blocks: two waves of the cluster
-        data = _bins(numbered, weights, edges, boost.bins).repartition(2 * spark.sparkContext.defaultParallelism, "rid")
+        # a task for every quarter of a block's entries, up to two waves of the cluster
+        tasks = weights.count() * 4 // boosting.BLOCK_ENTRIES + 1
+        data = _bins(numbered, weights, edges, boost.bins).repartition(min(tasks, 2 * spark.sparkContext.defaultParallelism), "rid")
         forest = boosting.train(data, len(classes), boost)
         return CategoryModel(vocab=vocab, n_features=n_features, classes=classes, lr=None, forest=forest, edges=edges, boost=boost)
     data = _vectors(numbered, counts, vocab, n_features, 1_000_000)

@@ -5,16 +5,21 @@ the token-set ratio but one follows from the lengths: the ratios against the
 common tokens are closed forms, and the last one needs a longest common
 subsequence of the two rests, which is at most as long as the shorter rest.
 
+A category of up to ``FEW`` candidates is scored pair by pair, which is linear in
+the names.  In larger ones:
+
 1. Pairs with a common token come from an equality join.  Their closed forms
    give each name a lower bound, their lengths an upper bound per pair.  The
    ``FIRST`` pairs with the largest bounds are scored exactly, then those whose
    bound still reaches the best score found.
 2. Pairs without a common token score the ratio of their sorted tokens.  The
-   lossless blocking of ``fuzzy.py`` finds all that reach a threshold; the
-   thresholds fall, and a name leaves as soon as its best score is not below
-   the last one, since all that is unseen scores less.
-3. Names still open after the last threshold are compared with their whole
-   category, again only where a bound (common characters) reaches their best.
+   lossless blocking of ``fuzzy.py`` finds all that reach a threshold; a name
+   whose best score is not below it leaves, since all that is unseen scores
+   less.  Several falling thresholds may be given; under about 84 the blocking
+   works on single characters and is rarely worth it.
+3. Names still open meet their category once more, but only as far as a bound:
+   the characters that both texts have, with their number.  Pairs whose bound
+   reaches the name's best score are scored exactly, best bounds first.
 
 Only the exact scores run the subsequence kernel; ``stats`` counts them.
 """
@@ -23,13 +28,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fuzz import indel_ratio, token_set_ratio
+from ..functions.fuzz import indel_ratio, lcs_len, token_set_ratio
 from ..functions.text import split_ws
 from ..session import cut_lineage
 from .fuzzy import similar_pairs
+from .keyword import FEW, split_categories
 
 FIRST = 4
-THRESHOLDS = (85.0, 70.0, 55.0)
+THRESHOLDS = (85.0,)
 _EPS = 1e-9
 
 
@@ -44,7 +50,8 @@ def _sized(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def shared_pairs(names: DataFrame, cands: DataFrame) -> DataFrame:
-    """Pairs with a common token: (nid, cid, low, high), bounds of their score."""
+    """Pairs with a common token: (nid, cid, li, la, lb, low, high): lengths of
+    the common tokens and of both rests, bounds of the score."""
     n = names.select("nid", "cat_key", F.size("tokens").alias("na"), F.col("letters").alias("sa"), F.explode("tokens").alias("token"))
     c = cands.select("cid", "cat_key", F.size("tokens").alias("nb"), F.col("letters").alias("sb"), F.explode("tokens").alias("token"))
     met = n.join(c, ["cat_key", "token"]).groupBy("nid", "cid").agg(
@@ -57,14 +64,17 @@ def shared_pairs(names: DataFrame, cands: DataFrame) -> DataFrame:
     met = met.select("nid", "cid", li.alias("li"), la.alias("la"), lb.alias("lb"), ((rest_a == 0) | (rest_b == 0)).alias("inside"))
     low = F.greatest(200.0 * F.col("li") / (2 * F.col("li") + 1 + F.col("la")), 200.0 * F.col("li") / (2 * F.col("li") + 1 + F.col("lb")))
     most = 200.0 * (F.col("li") + 1 + F.least("la", "lb")) / (2 * F.col("li") + 2 + F.col("la") + F.col("lb"))
-    return met.select("nid", "cid", F.when(F.col("inside"), 100.0).otherwise(low).alias("low"),
+    return met.select("nid", "cid", "li", "la", "lb", F.when(F.col("inside"), 100.0).otherwise(low).alias("low"),
                       F.when(F.col("inside"), 100.0).otherwise(F.greatest(low, most)).alias("high"))
 
 
 def _exact(pairs: DataFrame, names: DataFrame, cands: DataFrame) -> DataFrame:
-    """(nid, cid, score) by the full ratio."""
-    return (pairs.select("nid", "cid").join(names.select("nid", "a"), "nid").join(cands.select("cid", "b"), "cid")
-            .select("nid", "cid", token_set_ratio(F.col("a"), F.col("b")).alias("score")))
+    """(nid, cid, score) of pairs with a common token whose rests are not empty."""
+    rests = (pairs.join(names.select("nid", F.col("tokens").alias("ta")), "nid").join(cands.select("cid", F.col("tokens").alias("tb")), "cid")
+             .select("nid", "cid", "li", "la", "lb", "low", F.array_join(F.array_except("ta", "tb"), " ").alias("ra"),
+                     F.array_join(F.array_except("tb", "ta"), " ").alias("rb")))
+    full = 200.0 * (F.col("li") + 1 + lcs_len("ra", "rb")) / (2 * F.col("li") + 2 + F.col("la") + F.col("lb"))
+    return rests.select("nid", "cid", F.greatest("low", full).alias("score"))
 
 
 def _best(scored: DataFrame) -> DataFrame:
@@ -78,14 +88,26 @@ def _bag(text: Column) -> Column:
     return F.transform(chars, lambda c, i: F.concat(c, (i - F.array_position(chars, c) + 1).cast("string")))
 
 
-def token_set_best(names: DataFrame, cands: DataFrame, thresholds: tuple = THRESHOLDS, stats: dict | None = None) -> DataFrame:
+def token_set_best(names: DataFrame, cands: DataFrame, thresholds: tuple = THRESHOLDS, stats: dict | None = None,
+                   few: int = FEW) -> DataFrame:
     """``(nid, candidate, score)``: the candidate of the name's category with
     the highest token-set ratio, 0..100 (ties: lower ``cand_ord``).
 
     ``names``: (nid, cat_key, a), ``cands``: (cat_key, cand_ord, candidate, b),
     with ``a``/``b`` prepared texts; ``cand_ord`` is unique.  Every name of a
     category with candidates gets a row.  ``stats``, when given, receives the
-    number of exact scores."""
+    number of exact scores in categories of more than ``few`` candidates."""
+    small, large, any_large = split_categories(cands.select("cat_key", "cand_ord", "candidate", "b"), few)
+    score = token_set_ratio(F.col("a"), F.col("b")).alias("score")
+    best = _best(names.join(small, "cat_key").select("nid", F.col("cand_ord").alias("cid"), score))
+    if any_large:
+        large = cut_lineage(large)
+        best = best.unionByName(_bounded_best(names.join(large.select("cat_key").distinct(), "cat_key", "left_semi"), large, thresholds, stats))
+    return best.join(cands.select(F.col("cand_ord").alias("cid"), "candidate"), "cid").select("nid", "candidate", "score")
+
+
+def _bounded_best(names: DataFrame, cands: DataFrame, thresholds: tuple, stats: dict | None) -> DataFrame:
+    """(nid, cid, score) by bounds."""
     n = cut_lineage(_sized(names, "nid", "a"))
     c = cut_lineage(_sized(cands.select("cat_key", F.col("cand_ord").alias("cid"), "b"), "cid", "b"))
     scored_count = []
@@ -134,8 +156,9 @@ def token_set_best(names: DataFrame, cands: DataFrame, thresholds: tuple = THRES
                  .join(done, ["nid", "cid"], "left_anti"))
         ranked = cut_lineage(pairs.withColumn("rank", F.row_number().over(Window.partitionBy("nid").orderBy(F.desc("high"), "cid"))))
         for part in (F.col("rank") <= FIRST, F.col("rank") > FIRST):
-            todo = ranked.where(part).drop("now").join(best.select("nid", F.col("score").alias("now")), "nid").where(F.col("high") >= F.col("now") - _EPS)
+            reached = best.select("nid", F.col("score").alias("reached"))
+            todo = ranked.where(part).join(reached, "nid").where(F.col("high") >= F.col("reached") - _EPS)
             best = cut_lineage(_best(best.unionByName(count(todo).select("nid", "cid", indel_ratio("x", "y").alias("score")))))
     if stats is not None:
         stats["exact"] = sum(scored_count)
-    return best.join(cands.select(F.col("cand_ord").alias("cid"), "candidate"), "cid").select("nid", "candidate", "score")
+    return best

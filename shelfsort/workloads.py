@@ -24,15 +24,17 @@ from .functions.fuzz import indel_ratio, token_set_ratio
 from .functions.text import (category_hint, char_wb_grams, clean_name, norm_key,
                              sort_tokens, strip_generic, strip_ws)
 from .operators import labels as L
+from .operators.keyword import keyword_best
 from .operators.llm import merge_category_replies, request_table, sub_request_table
 from .operators.tfidf import (doc_grams, fit_index, in_corpus_best, vector_match,
                               vector_topk, vocabulary)
+from .operators.tokenset import token_set_best
 from .plans.category import categorize, exact_lookup, fuzzy_match, prepare
 from .plans.state import build_state, index_docs
-from .plans.subcategory import keyword_score, _alias_map
+from .plans.subcategory import pair_id, token_set_candidates
 from .plans.tagging import batch_output, tag, tag_batch_results
 from .plans.workflow import new_samples, ranked, stats_report
-from .session import bounded_broadcast, spread
+from .session import cut_lineage, spread
 
 # Test input names (FIXTURES §4), in fixture order.
 FIXTURE_NAMES = (
@@ -372,30 +374,51 @@ def _cands(spark, d):
     return L.sub_candidates(catalogue_labels(spark, d))
 
 
+def _distinct_pairs(p: DataFrame) -> DataFrame:
+    """(nid, name, category, cat_key) of the distinct pairs of ``p``."""
+    return (p.select("name", "category").distinct()
+            .select(pair_id("name", "category").alias("nid"), "name", "category", F.lower("category").alias("cat_key")))
+
+
 def q_sub_keyword(spark, d):
     """J8 (+P8, W4, T9): best keyword candidate per (name, category)."""
-    p = _sub_pairs(spark, d).withColumn("cat_key", F.lower("category"))
-    pc = p.join(bounded_broadcast(_cands(spark, d), CFG.broadcast_max_rows), "cat_key")
-    s = pc.withColumn("kws", keyword_score(F.col("name"), F.col("candidate"),
-                                           F.element_at(_alias_map(CFG), F.col("candidate"))))
-    best = (s.where(F.col("kws") > 0).groupBy("row_id")
-            .agg(F.min_by(F.struct("candidate", "kws"), F.struct(-F.col("kws"), F.col("cand_ord"))).alias("b")))
-    return best.select("row_id", F.col("b.candidate").alias("sub_category"), F.col("b.kws").alias("score"))
+    p = _sub_pairs(spark, d)
+    best = keyword_best(_distinct_pairs(p), cut_lineage(_cands(spark, d)), CFG.style_aliases)
+    return p.withColumn("nid", pair_id("name", "category")).join(best, "nid").select(
+        "row_id", F.col("candidate").alias("sub_category"), F.col("kws").alias("score"))
 
 
 def q_sub_fuzzy(spark, d):
     """Best token-set candidate (argmax kept) per distinct (name,
     category), joined back to the rows."""
     p = _sub_pairs(spark, d)
-    u = p.select("name", "category").distinct().withColumn("cat_key", F.lower("category")).withColumn(
-        "lookup", clean_name("name"))
-    pc = u.join(bounded_broadcast(_cands(spark, d), CFG.broadcast_max_rows), "cat_key")
-    s = pc.withColumn("fs", token_set_ratio(F.lower(strip_generic("lookup")),
-                                            F.lower(strip_generic("candidate"))) / 100.0)
-    best = s.groupBy("name", "category").agg(F.min_by(F.struct("candidate", "fs"),
-                                                      F.struct(-F.col("fs"), F.col("cand_ord"))).alias("b"))
-    return p.join(best, ["name", "category"]).select(
-        "row_id", F.col("b.candidate").alias("sub_category"), F.round("b.fs", 6).alias("score"))
+    u = _distinct_pairs(p).withColumn("a", F.lower(strip_generic(clean_name("name"))))
+    best = token_set_best(u, token_set_candidates(cut_lineage(_cands(spark, d))))
+    return p.withColumn("nid", pair_id("name", "category")).join(best, "nid").select(
+        "row_id", F.col("candidate").alias("sub_category"), F.round(F.col("score") / 100.0, 6).alias("score"))
+
+
+def _brand_pairs(spark, d) -> DataFrame:
+    """Every part's name with the noun of its ``p_name`` as category."""
+    part = _t(spark, d, "part").select(F.col("p_partkey").alias("row_id"), F.initcap(F.split_part("p_name", F.lit(" "), F.lit(2))).alias("category"))
+    return names(spark, d).join(part, "row_id").select("row_id", strip_ws("product_name").alias("name"), "category")
+
+
+def q_sub_keyword_brands(spark, d):
+    """J8 in categories of many candidates: all names against the brand catalogue."""
+    p = _brand_pairs(spark, d)
+    best = keyword_best(_distinct_pairs(p), cut_lineage(L.sub_candidates(brand_catalogue(spark, d))), CFG.style_aliases)
+    return p.withColumn("nid", pair_id("name", "category")).join(best, "nid").select(
+        "row_id", F.col("candidate").alias("sub_category"), F.col("kws").alias("score"))
+
+
+def q_sub_fuzzy_brands(spark, d):
+    """J9 in categories of many candidates."""
+    p = _brand_pairs(spark, d)
+    u = _distinct_pairs(p).withColumn("a", F.lower(strip_generic(clean_name("name"))))
+    best = token_set_best(u, token_set_candidates(cut_lineage(L.sub_candidates(brand_catalogue(spark, d)))))
+    return p.withColumn("nid", pair_id("name", "category")).join(best, "nid").select(
+        "row_id", F.col("candidate").alias("sub_category"), F.round(F.col("score") / 100.0, 6).alias("score"))
 
 
 def q_sub_vector(spark, d):
@@ -580,6 +603,8 @@ QUERIES = {
     "near_dup_leaders": q_near_dup_leaders,
     "sub_keyword": q_sub_keyword,
     "sub_fuzzy": q_sub_fuzzy,
+    "sub_keyword_brands": q_sub_keyword_brands,
+    "sub_fuzzy_brands": q_sub_fuzzy_brands,
     "sub_vector": q_sub_vector,
     "dataset_sim": q_dataset_sim,
     "tag_names": q_tag_names,
@@ -732,17 +757,21 @@ def q_model_store(spark, d):
 
 
 def q_model_quality(spark, d):
-    """Trained on four fifths of the documents, the classifier
+    """Trained on four fifths of the documents, each classifier
     beats the majority class on the others, and its probabilities are in (0, 1]."""
     from .operators.model import fit, predict
-    t = _doc_train(spark, d)
+    t = cut_lineage(_doc_train(spark, d))
     held = t.where(F.col("rid") % 5 == 0)
-    m = fit(t.where(F.col("rid") % 5 != 0), CFG.model_c, CFG.model_max_iter, CFG.model_max_features)
-    p = predict(m, held.select("rid", "text")).join(held.select("rid", "label"), "rid")
-    right = F.avg((F.col("ml_category") == F.col("label")).cast("double"))
     major = held.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n") / F.sum("n")).first()[0]   # one scalar
-    return p.agg(F.count(F.lit(1)).alias("n"), (right > F.lit(major)).alias("better_than_majority"),
-                 F.min((F.col("ml_confidence") > 0) & (F.col("ml_confidence") <= 1.0 + 1e-9)).alias("probable"))
+    out = None
+    for kind in ("linear", "boosted"):
+        m = fit(t.where(F.col("rid") % 5 != 0), CFG.model_c, CFG.model_max_iter, CFG.model_max_features, kind, CFG.boost)
+        p = predict(m, held.select("rid", "text")).join(held.select("rid", "label"), "rid")
+        right = F.avg((F.col("ml_category") == F.col("label")).cast("double"))
+        row = p.agg(F.lit(kind).alias("classifier"), F.count(F.lit(1)).alias("n"), (right > F.lit(major)).alias("better_than_majority"),
+                    F.min((F.col("ml_confidence") > 0) & (F.col("ml_confidence") <= 1.0 + 1e-9)).alias("probable"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def q_sub_replies(spark, d):

@@ -14,7 +14,7 @@ ROW = "rid long, y int, kv array<struct<idx:int,bin:int>>"
 
 def plain_train(rows, classes, params):
     """rows: (y, {feature: bin}) -> margins per row after all rounds."""
-    margins = [[0.0] * classes for _ in rows]
+    margins, split = [[0.0] * classes for _ in rows], []
 
     def leaf_or_split(ids, g, h, depth):
         tg, th = sum(g[i] for i in ids), sum(h[i] for i in ids)
@@ -31,6 +31,7 @@ def plain_train(rows, classes, params):
                         gain = (lg * 1.0 * lg / (lh + l2) + (tg - lg) * 1.0 * (tg - lg) / (th - lh + l2) - tg * 1.0 * tg / (th + l2)) / SCALE
                         if gain > boosting.LEAST_GAIN and (best is None or gain > best[0]):
                             best = (gain, left)
+        split.append(best is not None)
         if best is None:
             value = -params.rate * tg / (th + params.l2 * SCALE)
             return {i: value for i in ids}
@@ -39,7 +40,7 @@ def plain_train(rows, classes, params):
 
     for _ in range(params.rounds):
         p = boosting.softmax(np.array(margins))
-        moves = []
+        moves, split = [], []
         for c in range(classes):
             g = [round((p[i][c] - (y == c)) * SCALE) for i, (y, _) in enumerate(rows)]
             h = [round(max(2 * p[i][c] * (1 - p[i][c]), 1e-16) * SCALE) for i in range(len(rows))]
@@ -47,6 +48,8 @@ def plain_train(rows, classes, params):
         for c, move in enumerate(moves):
             for i, v in move.items():
                 margins[i][c] += v
+        if not any(split):
+            break
     return np.array(margins)
 
 

@@ -2,6 +2,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfsort.config import SUB_SKIP_WORDS, TagConfig
@@ -41,9 +42,10 @@ def _sides(spark, seed, n_names, n_cands):
     return names, cands, nd, cd
 
 
-def test_keyword_tiers_equal_all_pairs(spark):
+@pytest.mark.parametrize("few", [0, 30, 1000])
+def test_keyword_tiers_equal_all_pairs(spark, few):
     names, cands, nd, cd = _sides(spark, 1, 400, 80)
-    got = {r.nid: (r.candidate, r.kws) for r in keyword_best(nd, cd, ALIASES).collect()}
+    got = {r.nid: (r.candidate, r.kws) for r in keyword_best(nd, cd, ALIASES, few).collect()}
     for i, (name, cat) in enumerate(names):
         scores = [(keyword_score_py(name, c), -k, c) for k, (g, c) in enumerate(cands) if g == cat]
         best = max(scores)
@@ -67,11 +69,12 @@ def test_prefix_tier_stays_far_under_the_product(spark):
     assert prefix_pairs(names, cands).count() < 20_000 * 10_000 / 1000
 
 
-def test_token_set_best_equals_all_pairs(spark):
+@pytest.mark.parametrize("few,thresholds", [(0, (85.0,)), (0, (85.0, 60.0)), (0, ()), (1000, (85.0,))])
+def test_token_set_best_equals_all_pairs(spark, few, thresholds):
     names, cands, nd, cd = _sides(spark, 3, 300, 90)
     n = nd.select("nid", "cat_key", F.lower("name").alias("a"))
     c = cd.select("cat_key", "cand_ord", "candidate", F.lower("candidate").alias("b"))
-    got = {r.nid: (r.candidate, round(r.score, 9)) for r in token_set_best(n, c).collect()}
+    got = {r.nid: (r.candidate, round(r.score, 9)) for r in token_set_best(n, c, thresholds, few=few).collect()}
     assert len(got) == len(names)
     for i, (name, cat) in enumerate(names):
         best = max((round(token_set_ratio_py(name.lower(), t.lower()), 9), -k, t) for k, (g, t) in enumerate(cands) if g == cat)
@@ -88,5 +91,6 @@ def test_token_set_scores_few_pairs_exactly(spark):
                                 .otherwise(F.regexp_replace(base, "a", "b")).alias("a"))
     stats = {}
     out = token_set_best(n, c, stats=stats)
-    assert out.join(c, (F.col("nid") == F.col("cand_ord")) & (out["candidate"] == c["candidate"])).count() > 780
+    own = c.select(F.col("cand_ord").alias("nid"), F.col("candidate").alias("own"))
+    assert out.join(own, "nid").where(F.col("candidate") == F.col("own")).count() > 780
     assert stats["exact"] < 0.05 * 800 * 800
