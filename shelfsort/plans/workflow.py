@@ -7,6 +7,7 @@ sees its own half-written output.
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict
 
 from pyspark.ml.classification import LogisticRegressionModel
@@ -110,28 +111,35 @@ def stats_report(labels: DataFrame) -> dict[str, DataFrame]:
 # ------------------------------------------------------------ persistence
 
 def save_state(state: TagState, metrics: DataFrame, store: LabelStore, version: int) -> None:
-    """Model, index and metrics made from label ``version``; the metrics row
-    is written last and commits the rest."""
-    root = f"{store.root}/_trained/v{version:06d}"
+    """Model, index and metrics made from label ``version``, in a folder of
+    their own; the metrics row is written last and commits the rest.  A version
+    that is already committed stays as it is, so a replay never touches files
+    that a session may be reading."""
+    spark = store.spark
+    if version in _trained(spark, store):
+        return
+    root = f"{store.root}/_trained/v{version:06d}_{uuid.uuid4().hex}"
     if state.model is not None:
         save_model(state.model, f"{root}/model")
     if state.index is not None:
         save_index(state.index, f"{root}/index")
-    metrics.withColumn("version", F.lit(version).cast("long")).write.mode("overwrite").parquet(f"{root}/metrics")
+    metrics.withColumn("version", F.lit(version).cast("long")).write.parquet(f"{root}/metrics")
 
 
-def _trained_versions(spark: SparkSession, store: LabelStore) -> list[int]:
+def _trained(spark: SparkSession, store: LabelStore) -> dict[int, str]:
+    """Folder of each committed training, by label version (of two that ran at
+    once, the one whose name comes first)."""
     fs, p = _fs(spark, f"{store.root}/_trained")
     if not fs.exists(p):
-        return []
+        return {}
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    return sorted(int(st.getPath().getName()[1:]) for st in fs.listStatus(p)
-                  if fs.exists(path(st.getPath(), "metrics/_SUCCESS")))
+    found = sorted((st.getPath().toString() for st in fs.listStatus(p) if fs.exists(path(st.getPath(), "metrics/_SUCCESS"))), reverse=True)
+    return {int(f.rsplit("/", 1)[1][1:].split("_")[0]): f for f in found}
 
 
 def metrics_table(spark: SparkSession, store: LabelStore) -> DataFrame:
     """M8: the metrics row of every training, by label version."""
-    paths = [f"{store.root}/_trained/v{v:06d}/metrics" for v in _trained_versions(spark, store)]
+    paths = [f"{root}/metrics" for root in _trained(spark, store).values()]
     schema = METRICS_SCHEMA + ", version long"
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
@@ -146,8 +154,9 @@ def load_state(spark: SparkSession, store: LabelStore, cfg: TagConfig = TagConfi
     version = version if version is not None else (vs[-1] if vs else None)
     labels = store.load(version)
     model = index = None
-    for v in reversed([v for v in _trained_versions(spark, store) if version is not None and v <= version]):
-        root = f"{store.root}/_trained/v{v:06d}"
+    trained = _trained(spark, store)
+    for v in sorted((v for v in trained if version is not None and v <= version), reverse=True):
+        root = trained[v]
         fs, p = _fs(spark, f"{root}/model/meta")
         model = load_model(spark, f"{root}/model") if fs.exists(p) else None
         fs, p = _fs(spark, f"{root}/index/meta")

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT_SEEDS, LABEL_COLUMNS, LABEL_SCHEMA, SEED_SCHEMA
 from ..operators.labels import coerce_legacy, dedup_priority, empty_labels
+from ..session import dense_positions
+from .csvfile import read_ordered
 
 # pandas' default missing-value spellings (read as empty text by the CSV
 # reader of the original tool; optional here).
@@ -87,12 +89,11 @@ class LabelStore:
 
 def read_label_csv(spark: SparkSession, path: str) -> DataFrame:
     """S1 CSV import: all-string read, legacy rename and coercion (P1, P2);
-    ``seq`` = file order; timestamps are parsed when present."""
-    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
-    df = coerce_legacy(raw)
+    ``seq`` = position in file order; timestamps are parsed when present."""
+    raw = read_ordered(spark, path)
     ts = (F.to_timestamp(raw["timestamp"]) if "timestamp" in raw.columns else F.lit(None).cast("timestamp"))
-    df = df.withColumn("timestamp", ts).withColumn("seq", F.monotonically_increasing_id())
-    return df.select(*LABEL_COLUMNS)
+    df = coerce_legacy(raw.withColumn("_timestamp", ts), keep=["_place", F.col("_timestamp").alias("timestamp")])
+    return dense_positions(df, ["_place"], "seq").select(*LABEL_COLUMNS)
 
 
 def read_seed_json(spark: SparkSession, path: str) -> DataFrame:
@@ -108,16 +109,18 @@ def builtin_seeds(spark: SparkSession) -> DataFrame:
 
 
 def read_batch_csv(spark: SparkSession, path: str, pandas_na: bool = False) -> DataFrame:
-    """Header CSV, all strings, null → ""; ``row_id`` keeps file order.
-    ``pandas_na`` also maps pandas' default missing spellings to ""."""
-    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
+    """Header CSV, all strings, null → ""; ``row_id`` is the position in
+    file order (files by path, then as they are written).  Files are read in
+    splits, however long they are.  ``pandas_na`` also maps pandas' default
+    missing spellings to ""."""
+    df = read_ordered(spark, path)
     cols = []
-    for c in df.columns:
-        v = F.col(c)
+    for c in df.columns[1:]:
+        v = F.col(f"`{c}`")
         if pandas_na:
             v = F.when(v.isin(*PANDAS_NA), F.lit(None)).otherwise(v)
         cols.append(F.coalesce(v, F.lit("")).alias(c))
-    return df.select(*cols).withColumn("row_id", F.monotonically_increasing_id())
+    return dense_positions(df.select("_place", *cols), ["_place"], "row_id").drop("_place")
 
 
 def write_batch_csv(out: DataFrame, path: str, id_col: str = "row_id") -> None:

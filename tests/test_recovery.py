@@ -80,11 +80,34 @@ def test_saved_model_and_index_are_used_by_the_next_session(spark, tmp_path):
     again = load_state(spark, store, cfg)
     assert again.model.classes == state.model.classes and again.index.n_docs == state.index.n_docs
     assert [(r.status, r.version) for r in metrics_table(spark, store).collect()] == [("trained", store.versions()[-1])]
-    meta = spark.read.json(f"{store.root}/_trained/v{store.versions()[-1]:06d}/index/meta_json")
+    folder, = os.listdir(f"{store.root}/_trained")
+    meta = spark.read.json(f"{store.root}/_trained/{folder}/index/meta_json")
     assert {"product_name", "predicted_sub_category", "category"} <= set(meta.columns)
     assert maybe_retrain(spark, L.empty_labels(spark), cfg)[1].first().status == "no_data"
 
 
+def test_replayed_or_crashed_save_leaves_committed_state_alone(spark, tmp_path, monkeypatch):
+    from shelfsort.plans import workflow
+    store = LabelStore(spark, str(tmp_path / "labels"))
+    cfg = TagConfig(model_max_iter=5)
+    state, metrics = bootstrap(spark, store, builtin_seeds(spark), cfg, with_cv=False)
+    version, trained = store.versions()[-1], f"{store.root}/_trained"
+    before = sorted(os.path.join(d, f) for d, _, fs in os.walk(trained) for f in fs)
+    workflow.save_state(state, metrics, store, version)
+    assert sorted(os.path.join(d, f) for d, _, fs in os.walk(trained) for f in fs) == before
+    # a crash half way through a save of the next version: the old state is loaded, a second try commits
+    nxt = store.save(store.load())
+    monkeypatch.setattr(workflow, "save_index", lambda *a: (_ for _ in ()).throw(OSError("crash")))
+    with pytest.raises(OSError):
+        workflow.save_state(state, metrics, store, nxt)
+    monkeypatch.undo()
+    assert load_state(spark, store, cfg).model.classes == state.model.classes
+    assert list(workflow._trained(spark, store)) == [version]
+    workflow.save_state(state, metrics, store, nxt)
+    assert sorted(workflow._trained(spark, store)) == [version, nxt]
+    assert load_state(spark, store, cfg).index.n_docs == state.index.n_docs
+
+
 @pytest.mark.parametrize("coalesce", ["true", "false"])
 def test_exact_copies_match_themselves_in_a_large_table(spark, coalesce):
     n = 60_000
