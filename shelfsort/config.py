@@ -100,6 +100,19 @@ CATEGORY_SYSTEM_PROMPT: str = (
     '- "confidence" is your certainty (0.0 = guessing, 1.0 = certain)\n'
     "- If none fits at all, pick the closest one and set confidence below 0.5\n"
 )
+CATEGORY_USER_PROMPT: str = (
+    "Available categories:\n{categories}\n\n"
+    'Product name: "{name}"\n\n'
+    "Return JSON only."
+)
+MODEL_HINT_LINE: str = "\n(ML model hinted: '{category}', but with low confidence)"
+SUB_USER_PROMPT: str = (
+    'Product: "{name}"\n'
+    "Category: {category}\n\n"
+    "Known sub-categories:\n{candidates}\n\n"
+    "Pick the BEST matching sub-category from the list above.\n"
+    'Return ONLY JSON: {"sub_category": "<exact name from list>"}'
+)
 SUB_SYSTEM_PROMPT: str = "You are a product categorisation expert. Return only valid JSON."
 # ---------------------------------------------------------------------------
 

@@ -8,12 +8,15 @@ they are stable across runs and retries.
 """
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import CATEGORY_SYSTEM_PROMPT, SUB_SYSTEM_PROMPT, TagConfig
+from ..config import (CATEGORY_SYSTEM_PROMPT, CATEGORY_USER_PROMPT, MODEL_HINT_LINE, SUB_SYSTEM_PROMPT, SUB_USER_PROMPT,
+                      TagConfig)
 from ..functions.fuzz import token_sort_ratio_py
 from ..functions.text import strip_ws
 
@@ -30,6 +33,12 @@ def numbered_list(items: Column) -> Column:
         F.lit("  "), (i + 1).cast("string"), F.lit(". "), c)), "\n")
 
 
+def fill(template: str, **values: Column) -> Column:
+    """A text with ``{name}`` places as a column expression."""
+    parts = re.split(r"\{(" + "|".join(values) + r")\}", template)
+    return F.concat(*[values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+
 def extract_reply(reply) -> Column:
     """First non-greedy ``{...}`` (dot matches newline) parsed as strict
     JSON: a variant, null when there is none or it does not parse."""
@@ -60,12 +69,9 @@ def request_table(open_names: DataFrame, state, ml_hints: DataFrame | None = Non
         df = df.join(ml_hints.select("name", "ml_category"), "name", "left")
     else:
         df = df.withColumn("ml_category", F.lit(None).cast("string"))
-    user = F.concat(
-        F.lit(f"Available categories:\n{cat_list}\n\n"),
-        F.lit('Product name: "'), F.col("name"), F.lit('"\n\n'), F.lit("Return JSON only."),
-        F.when(F.col("ml_category").isNotNull() & (F.col("ml_category") != ""), F.concat(
-            F.lit("\n(ML model hinted: '"), F.col("ml_category"), F.lit("', but with low confidence)")))
-        .otherwise(F.lit("")))
+    hinted = F.col("ml_category").isNotNull() & (F.col("ml_category") != "")
+    user = F.concat(fill(CATEGORY_USER_PROMPT, categories=F.lit(cat_list), name=F.col("name")),
+                    F.when(hinted, fill(MODEL_HINT_LINE, category=F.col("ml_category"))).otherwise(F.lit("")))
     msgs = F.array(
         F.struct(F.lit("system").alias("role"), F.lit(CATEGORY_SYSTEM_PROMPT).alias("content")),
         F.struct(F.lit("user").alias("role"), user.alias("content")))
@@ -120,13 +126,12 @@ def merge_category_replies(open_names: DataFrame, replies: DataFrame, state,
     j = j.where(cat_kind.isin("ABSENT", "STRING")).select(
         "name", strip_ws(F.coalesce(cat, F.lit(""))).alias("cat"), number.alias("conf"))
     j = j.where(F.col("conf").isNotNull())
-    canon = F.element_at(lm, F.lower("cat"))
-    best = _best_choice_udf(cats)
-    return j.select(
-        "name",
-        F.when(canon.isNotNull(), canon).otherwise(best(F.col("cat"))["choice"]).alias("llm_cat"),
-        F.when(canon.isNotNull(), F.col("conf"))
-        .otherwise(F.greatest(F.lit(0.1), F.col("conf") - 0.2)).alias("llm_conf"))
+    j = j.withColumn("canon", F.element_at(lm, F.lower("cat")))
+    # only replies without a canonical spelling are compared, each distinct text once
+    odd = j.where(F.col("canon").isNull())
+    near = odd.select("cat").distinct().select("cat", _best_choice_udf(cats)("cat")["choice"].alias("near"))
+    return j.where(F.col("canon").isNotNull()).select("name", F.col("canon").alias("llm_cat"), F.col("conf").alias("llm_conf")).unionByName(
+        odd.join(near, "cat").select("name", F.col("near").alias("llm_cat"), F.greatest(F.lit(0.1), F.col("conf") - 0.2).alias("llm_conf")))
 
 
 def sub_request_table(pairs: DataFrame, state) -> DataFrame:
@@ -136,12 +141,7 @@ def sub_request_table(pairs: DataFrame, state) -> DataFrame:
           .agg(F.sort_array(F.collect_list(F.struct("cand_ord", "candidate"))).alias("cs"))
           .select("cat_key", F.transform("cs", lambda x: x["candidate"]).alias("cands")))
     df = pairs.withColumn("cat_key", F.lower("category")).join(cl, "cat_key")
-    user = F.concat(
-        F.lit('Product: "'), F.col("name"), F.lit('"\n'),
-        F.lit("Category: "), F.col("category"), F.lit("\n\n"),
-        F.lit("Known sub-categories:\n"), numbered_list(F.col("cands")), F.lit("\n\n"),
-        F.lit("Pick the BEST matching sub-category from the list above.\n"),
-        F.lit('Return ONLY JSON: {"sub_category": "<exact name from list>"}'))
+    user = fill(SUB_USER_PROMPT, name=F.col("name"), category=F.col("category"), candidates=numbered_list(F.col("cands")))
     msgs = F.array(
         F.struct(F.lit("system").alias("role"), F.lit(SUB_SYSTEM_PROMPT).alias("content")),
         F.struct(F.lit("user").alias("role"), user.alias("content")))

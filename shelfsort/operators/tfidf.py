@@ -152,58 +152,76 @@ def vector_match(queries: DataFrame, text_col: str, index: TfidfIndex, threshold
     return best.select("qid", "b.doc_id", "b.score")
 
 
-def vector_topk(queries: DataFrame, text_col: str, index: TfidfIndex, k: int,
-                broadcast_max_rows: int = 1_000_000) -> DataFrame:
+def impact_lists(postings: DataFrame, size: int, salts: int = 8) -> DataFrame:
+    """About the ``size`` heaviest postings of every gram: the heaviest
+    ``size / salts`` of each of ``salts`` parts, so the long list of a frequent
+    gram is cut by several tasks."""
+    each = -(-size // salts)
+    w = Window.partitionBy("gram", "_salt").orderBy(F.desc("w"), "doc_id")
+    salted = postings.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+    return salted.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= each).select("gram", "doc_id", "w")
+
+
+def topk_floor(qvec: DataFrame, postings: DataFrame, k: int, probe: int) -> DataFrame:
+    """``(qid, floor)``: the k-th best exact cosine among a query's likeliest
+    rows, hence a lower bound of its k-th best of all; 0 with fewer than k.
+
+    Likely rows come from the heaviest postings of the query's rarest grams."""
+    before = Window.partitionBy("qid").orderBy("df", "gram").rowsBetween(Window.unboundedPreceding, -1)
+    rare = qvec.withColumn("_b", F.coalesce(F.sum("df").over(before), F.lit(0))).where(F.col("_b") < probe * k)
+    part = (rare.select("qid", "gram", F.col("w").alias("wq")).join(impact_lists(postings, probe * k).withColumnRenamed("w", "wd"), "gram")
+            .groupBy("qid", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("s")))
+    likely = Window.partitionBy("qid").orderBy(F.desc("s"), "doc_id")
+    top = part.withColumn("_r", F.row_number().over(likely)).where(F.col("_r") <= 4 * k).select("qid", "doc_id")
+    best = _exact_scores(top, qvec, postings).groupBy("qid").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"))
+    return (qvec.select("qid").distinct().join(best, "qid", "left")
+            .select("qid", F.coalesce(F.get("s", F.lit(k - 1)), F.lit(0.0)).alias("floor")))
+
+
+def topk_pairs(qvec: DataFrame, postings: DataFrame, floor: DataFrame) -> DataFrame:
+    """Pairs (qid, doc_id) that may reach their query's floor, and all that do.
+
+    With grams in the global rare-first order, a pair with cosine >= f shares a
+    gram where both suffix norms are >= f; only those meet.  The part of the
+    cosine behind the last such gram is at most the product of the suffix norms
+    there: pairs whose sum so far plus that bound is under f are dropped before
+    they are scored."""
+    low = F.greatest(F.col("floor") - _EPS, F.lit(0.0))
+    q = (qvec.join(floor, "qid").where(F.col("rem2") >= low * low)
+         .select("qid", "gram", "df", "floor", F.col("w").alias("wq"), F.greatest(F.col("rem2") - F.col("w") * F.col("w"), F.lit(0.0)).alias("rq")))
+    d = postings.select("doc_id", "gram", F.col("w").alias("wd"), F.col("rem2").alias("rd"))
+    met = q.join(d, "gram").where(F.col("rd") >= low * low)
+    behind = F.sqrt(F.col("rq") * F.greatest(F.col("rd") - F.col("wd") * F.col("wd"), F.lit(0.0)))
+    sums = met.groupBy("qid", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("s"), F.max("floor").alias("floor"),
+                                            F.max_by(behind, F.struct("df", "gram")).alias("rest"))
+    return sums.where(F.col("s") + F.col("rest") >= low).select("qid", "doc_id")
+
+
+def vector_topk(queries: DataFrame, text_col: str, index: TfidfIndex, k: int, broadcast_max_rows: int = 1_000_000,
+                probe: int = 64, far: float = 0.35, stats: dict | None = None) -> DataFrame:
     """The ``k`` best index rows per query by (score desc, doc_ord asc),
-    no threshold; only rows sharing a gram (score > 0) are returned."""
+    no threshold; only rows sharing a gram (score > 0) are returned.
+
+    Exact: a first look at the rarest grams gives each query a floor under its
+    k-th best cosine, then only pairs that can reach the floor are joined and
+    scored.  A query whose floor is under ``far`` is like nothing in the index;
+    hardly a pair falls under such a floor, so its pairs are summed at once.
+    ``stats``, when given, receives the number of pairs scored and of queries
+    that are far."""
     qvec = cut_lineage(query_vectors(queries, text_col, index, broadcast_max_rows))
-    scores = (qvec.select("qid", "gram", F.col("w").alias("wq"))
-              .join(index.postings.select("doc_id", "gram", F.col("w").alias("wd")), "gram")
+    floor = cut_lineage(topk_floor(qvec, index.postings, k, probe))
+    pairs = cut_lineage(topk_pairs(qvec, index.postings, floor.where(F.col("floor") >= far)))
+    away = qvec.join(floor.where(F.col("floor") < far).select("qid"), "qid", "left_semi").select("qid", "gram", F.col("w").alias("wq"))
+    if stats is not None:
+        stats["pairs"], stats["far"] = pairs.count(), floor.where(F.col("floor") < far).count()
+    direct = (away.join(index.postings.select("doc_id", "gram", F.col("w").alias("wd")), "gram")
               .groupBy("qid", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("score")))
-    scores = scores.join(index.meta.select("doc_id", "doc_ord"), "doc_id")
+    scores = _exact_scores(pairs, qvec, index.postings).unionByName(direct).join(index.meta.select("doc_id", "doc_ord"), "doc_id")
     w = Window.partitionBy("qid").orderBy(F.desc(_rank_key("score")), "doc_ord")
     return (scores.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
             .select("qid", "doc_id", "score", "rank"))
 
 
-def vector_topk_pruned(queries: DataFrame, text_col: str, index: TfidfIndex, k: int,
-                       thresholds: tuple = (0.8, 0.6, 0.4),
-                       broadcast_max_rows: int = 1_000_000) -> DataFrame:
-    """J5, exact, with pruning: same result as ``vector_topk``.
-
-    For falling thresholds t, the prefix join finds *every* pair with
-    cosine ≥ t.  A query that already has ≥ k such pairs has its exact top-k
-    among them, since every unseen pair scores below t.  Only queries still
-    short of k go on, and the last ones take the full gram join.  Each round
-    is checkpointed, so the driver loop keeps lineage flat."""
-    qvec = cut_lineage(query_vectors(queries, text_col, index, broadcast_max_rows))
-    meta = index.meta.select("doc_id", "doc_ord")
-    w = Window.partitionBy("qid").orderBy(F.desc(_rank_key("score")), "doc_ord")
-    open_q = qvec.select("qid").distinct()
-    done = []
-    for t in thresholds:
-        t2 = (t - _EPS) ** 2
-        qp = qvec.join(open_q, "qid", "left_semi").where(F.col("rem2") >= t2).select("qid", "gram")
-        dp = index.postings.where(F.col("rem2") >= t2).select("doc_id", "gram")
-        pairs = qp.join(dp, "gram").select("qid", "doc_id").distinct()
-        hit = cut_lineage(_exact_scores(pairs, qvec, index.postings).where(F.col("score") >= t)
-                          .join(meta, "doc_id"))
-        full = hit.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("qid")
-        done.append(hit.join(full, "qid", "left_semi"))
-        open_q = cut_lineage(open_q.join(full, "qid", "left_anti"))
-        if open_q.limit(1).count() == 0:
-            break
-    rest = (qvec.join(open_q, "qid", "left_semi").select("qid", "gram", F.col("w").alias("wq"))
-            .join(index.postings.select("doc_id", "gram", F.col("w").alias("wd")), "gram")
-            .groupBy("qid", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("score"))
-            .join(meta, "doc_id"))
-    allp = rest
-    for h in done:
-        allp = allp.unionByName(h.select("qid", "doc_id", "score", "doc_ord"))
-    return (allp.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
-            .select("qid", "doc_id", "score", "rank"))
-
-
 def in_corpus_best(queries: DataFrame, corpus: DataFrame, min_docs: int = 1) -> DataFrame:
     """Per query, the corpus row of its group with the highest cosine
     when TF-IDF is fitted on the group's corpus *plus the query itself*.

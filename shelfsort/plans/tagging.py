@@ -1,4 +1,5 @@
-"""Public tagging plans: ``tag`` (F6, J16) and ``tag_batch``.
+"""Public tagging plans: ``tag`` (F6, J16) and ``tag_batch_results`` with
+``batch_output`` (F7, P3–P7); ``workflow.tag_batch`` runs a whole batch job.
 
 Both take and return DataFrames; the work per distinct name is done once
 and joined back to the rows.

@@ -19,9 +19,10 @@ from ..operators import boosting
 from ..operators import labels as L
 from ..operators.model import METRICS_SCHEMA, CategoryModel, train_metrics
 from ..operators.tfidf import TfidfIndex
-from ..session import dense_positions
-from ..sources.store import LabelStore, _fs, write_index_meta_json
+from ..session import cut_lineage, dense_positions
+from ..sources.store import LabelStore, _fs, read_batch_csv, write_batch_csv, write_index_meta_json
 from .state import TagState, build_state
+from .tagging import batch_output, stored_predictions, tag_batch_results
 
 
 def _training_frame(labels: DataFrame) -> DataFrame:
@@ -92,6 +93,35 @@ def correct_and_retrain(spark: SparkSession, store: LabelStore, corrections: Dat
     return state, metrics.withColumn("correction_applied", F.lit(True))
 
 
+def tag_batch(spark: SparkSession, input_path: str, output_path: str, store: LabelStore, cfg: TagConfig = TagConfig(),
+              store_results: bool = True, retrain: bool = False, replies: DataFrame | None = None,
+              sub_replies: DataFrame | None = None, state: TagState | None = None) -> DataFrame:
+    """F7 in one call: a batch CSV (S4) through in-batch reuse and both chains
+    (J6, F6, J16), written as a review CSV in file order (P6, S5); its
+    predictions are merged into the label table as the next snapshot (U2),
+    unless ``store_results`` is off.  ``retrain`` applies the retrain rule (F3)
+    afterwards.  The batch is tagged against the newest snapshot and the latest
+    training, or ``state``.  Returns the written rows."""
+    labels = store.load()
+    own = state is None
+    state = state or load_state(spark, store, cfg)
+    try:
+        batch = cut_lineage(read_batch_csv(spark, input_path))
+        results = cut_lineage(tag_batch_results(batch, state, cfg, replies=replies, sub_replies=sub_replies))
+        out = batch_output(batch, results, cfg)
+        write_batch_csv(out, output_path)
+        if store_results:
+            version = store.save_as_is(L.merge_predictions(labels, stored_predictions(results)))
+            if retrain:
+                fresh, _ = maybe_retrain(spark, store.load(version), cfg, store=store, version=version)
+                if fresh is not None:
+                    fresh.release()
+    finally:
+        if own:
+            state.release()
+    return out
+
+
 def ranked(counts: DataFrame, key: str) -> DataFrame:
     """O3 as a column: ``place`` of each row by (n desc, ``key``), from 1."""
     return dense_positions(counts, [F.desc("n"), key], "place").withColumn("place", F.col("place") + 1)

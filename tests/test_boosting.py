@@ -64,7 +64,7 @@ def test_equals_a_plain_booster(spark, partitions, monkeypatch):
             kv[y] = 3
         rows.append((y, kv))
     rows.append((0, {}))
-    params = BoostParams(rounds=12, depth=3, rate=0.3, bins=4, min_hessian=0.5)
+    params = BoostParams(rounds=11, depth=2, rate=0.3, bins=4, min_hessian=0.5)
     df = spark.createDataFrame([(i, y, [(f, b) for f, b in sorted(kv.items())]) for i, (y, kv) in enumerate(rows)], ROW)
     df = df.repartition(partitions)
     forest = boosting.train(df, 3, params)
@@ -93,7 +93,7 @@ def _train(spark):
 
 def test_texts_round_trip_and_folds(spark, tmp_path):
     from shelfsort.plans.workflow import load_model, save_model
-    boost = BoostParams(rounds=8, depth=3, rate=0.3)
+    boost = BoostParams(rounds=3, depth=2, rate=0.5)
     m = fit(_train(spark), kind="boosted", boost=boost)
     save_model(m, str(tmp_path / "m"))
     again = load_model(spark, str(tmp_path / "m"))
@@ -102,7 +102,7 @@ def test_texts_round_trip_and_folds(spark, tmp_path):
     a, b = ({r.rid: (r.ml_category, r.ml_confidence) for r in predict(x, q).collect()} for x in (m, again))
     assert a == b and a[0][0] == "Beer" and a[1][0] == "Hard"
     assert all(0 < p <= 1 and not math.isnan(p) for _, p in a.values())
-    assert cross_validate(_train(spark), kind="boosted", boost=boost) == 1.0
+    assert cross_validate(_train(spark), kind="boosted", boost=BoostParams(rounds=1, depth=2, rate=0.5)) == 1.0
 
 
 def test_rules_of_training(spark):
@@ -116,8 +116,8 @@ def test_boosted_model_in_the_category_chain(spark, seed_labels):
     from shelfsort.config import TagConfig
     from shelfsort.plans.tagging import tag
     from shelfsort.plans.workflow import force_retrain
-    cfg = TagConfig(classifier="boosted", boost=BoostParams(rounds=5))
-    state, metrics = force_retrain(spark, seed_labels, cfg)
+    cfg = TagConfig(classifier="boosted", boost=BoostParams(rounds=1, depth=2))
+    state, metrics = force_retrain(spark, seed_labels.where("category <> 'Non-alcoholic Beer'").limit(6), cfg)
     assert state.model.kind == "boosted" and metrics.first().status == "trained"
     names = spark.createDataFrame([(0, "Qqq Zzz")], "row_id long, product_name string")
     r = tag(names, state, cfg).first()

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfsort.config import DEFAULT_SEEDS
@@ -67,14 +68,43 @@ def test_in_corpus_goldens_and_refit(spark):
         assert abs(got[qid][1] - bs) < 1e-12
 
 
-def test_pruned_topk_equals_full(spark):
-    from shelfsort.operators.tfidf import vector_topk_pruned
+def _all_cosines(index, queries):
+    from shelfsort.operators.tfidf import query_vectors
+    q = query_vectors(queries, "text", index).select("qid", "gram", F.col("w").alias("wq"))
+    d = index.postings.select("doc_id", "gram", F.col("w").alias("wd"))
+    out = {}
+    for r in q.join(d, "gram").groupBy("qid", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("s")).collect():
+        out.setdefault(r.qid, []).append((-round(r.s, 12), r.doc_id))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("probe,far", [(1, 0.0), (16, 0.0), (16, 0.35), (16, 2.0)])
+def test_topk_equals_all_pairs(spark, probe, far):
     rnd = random.Random(9)
     words = ["red", "ring", "bolt", "gear", "blue", "hard", "seltzer", "lager", "ale", "x", "redd", "rings"]
-    docs = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 4))) for _ in range(80)]
-    queries = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 4))) for _ in range(50)]
-    idx = _index(spark, docs, 40)
+    docs = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 4))) for _ in range(80)] + ["", "zebra", "zebra"]
+    queries = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 4))) for _ in range(50)] + ["zebra", "", "qqq"]
+    idx = _index(spark, docs, 60)
     q = spark.createDataFrame(list(enumerate(queries)), "qid long, text string")
-    a = {(r.qid, r.rank): (r.doc_id, round(r.score, 9)) for r in vector_topk(q, "text", idx, 5).collect()}
-    b = {(r.qid, r.rank): (r.doc_id, round(r.score, 9)) for r in vector_topk_pruned(q, "text", idx, 5).collect()}
-    assert a == b and len(a) > 100
+    want = _all_cosines(idx, q)
+    got = {}
+    for r in vector_topk(q, "text", idx, 5, probe=probe, far=far).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append((-round(r.score, 12), r.doc_id))
+    assert got == {k: v[:5] for k, v in want.items()} and len(got) > 45
+
+
+def test_topk_scores_few_pairs(spark):
+    """1,600 names, 8 brands of each: pairs scored, against all that share a gram."""
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(4, 8))) for _ in range(60)]
+    base = [" ".join(rnd.sample(words, 3)) for _ in range(200)]
+    docs = [f"{b} Brand#{n}" for b in base for n in rnd.sample(range(11, 56), 8)]
+    idx = _index(spark, docs, 20_000)
+    q = spark.createDataFrame([(i, t.replace("Brand#", "Brand ")) for i, t in enumerate(docs[::8])], "qid long, text string")
+    stats = {}
+    got = {}
+    for r in vector_topk(q, "text", idx, 5, probe=256, far=0.0, stats=stats).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append((-round(r.score, 12), r.doc_id))
+    want = _all_cosines(idx, q)
+    assert got == {k: v[:5] for k, v in want.items()}
+    assert stats["far"] == 0 and stats["pairs"] * 5 < sum(map(len, want.values())), (stats, sum(map(len, want.values())))
