@@ -27,16 +27,17 @@ passage that fills a third of the corpus is spread by doc_id.
 Defined cases: null and empty texts have no words and are clean; items without
 words have no windows; repeated items hit alike and both count; item words in
 one-word items are windows of one word; rows that repeat a doc_id (or null) and
-text are one document, and rows of one doc_id (or null) with other texts are
-documents of their own, told apart by a 128-bit digest.  An
-empty benchmark leaves all documents clean; an empty table gives no rows.
+text are judged once and get a row each, and rows of one doc_id (or null) with
+other texts are documents of their own, told apart by a 128-bit digest.  An
+empty benchmark leaves all documents clean; an empty table gives no rows; texts
+of any length are read whole; other columns of both tables play no part.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfsort.llm.common import LOWER, UPPER, materialise, store
+from shelfsort.llm.common import LOWER, UPPER, join_hot, materialise, store
 
 WINDOW = 13
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -99,12 +100,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                    .select("doc", F.when(F.col("b") == "", F.col("doc_id")).alias("doc_id"), "pos", "sid", "alone",
                            (F.col("b") == "").alias("last")), "places")
 
-    sizes = places.where("last").groupBy("doc").agg(F.max(F.coalesce(F.col("pos") + 1, F.lit(0))).cast("bigint").alias("n_words"),
-                                                    F.max("doc_id").alias("doc_id"))
+    rows = places.where("last").select("doc", "doc_id", F.coalesce(F.col("pos") + 1, F.lit(0)).cast("bigint").alias("n_words"))
+    sizes = rows.groupBy("doc").agg(F.max("n_words").alias("n_words"), F.count(F.lit(1)).alias("copies"))
     found = places.where("sid is not null").select("doc", "pos", "sid")
     if ones:
         found = found.unionByName(places.where("alone is not null").select("doc", "pos", F.col("alone").alias("sid")))
 
+    # Copies of a document share its key: from here on each place is there once.
+    found = store(found.distinct(), "found")
+
     # Rarity of the sought shingles, counted over all documents.
     rarity = found.groupBy("sid").agg(F.count(F.lit(1)).alias("df"))
     ranked = spans.join(rarity, "sid", "left")
@@ -117,7 +121,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
               .agg(F.collect_list(F.struct("at", "sid")).alias("tokens")))
     starts = (found.join(few(prefix), "sid")
               .select("doc", (F.col("pos") - F.col("at")).alias("start"), "window", "len").where("start >= 0")
-              .join(sizes.drop("doc_id"), "doc").where("start + len <= n_words").drop("n_words"))
+              .join(sizes.select("doc", "n_words"), "doc").where("start + len <= n_words").drop("n_words"))
     due = (starts.join(few(tokens), "window")
            .select("doc", "start", "window", "len", F.explode("tokens").alias("t"))
            .select("doc", "start", "window", "len", (F.col("start") + F.col("t.at")).alias("pos"), F.col("t.at").alias("at"), F.col("t.sid").alias("sid")))
@@ -130,7 +134,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     covered = F.size(F.array_distinct(F.flatten(F.transform("h", lambda x: F.sequence(x["start"], x["start"] + x["len"] - 1)))))
     hits = hits.select("doc", covered.cast("bigint").alias("n_hit"), "items")
     none = F.array().cast("array<string>")
-    out = sizes.join(hits, "doc", "left").select(
+    judged = hits.join(sizes.select("doc", "copies"), "doc")
+    # every row takes its document's result; a document of very many copies is salted
+    out = join_hot(rows.withColumn("row", F.monotonically_increasing_id()), judged, "doc", "copies", rows.count(), F.col("row")).select(
         "doc_id", "n_words",
         F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"), F.coalesce("items", none).alias("items"))
     return out.select(

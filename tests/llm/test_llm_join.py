@@ -9,6 +9,8 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parent))
 import helpers as H  # noqa: E402
 
+from pyspark.sql import functions as F
+
 from shelfsort.llm import decontaminate as D  # noqa: E402
 from shelfsort.llm import hashing, ngram_join as J  # noqa: E402
 from shelfsort.llm.components import components  # noqa: E402
@@ -110,7 +112,17 @@ def test_decontamination_without_one_word_items_and_on_empty_tables(spark):
     assert H.rows(D.decontaminate(d, b.limit(0)), *names) == H.contamination(docs, [])
     assert D.decontaminate(d.limit(0), b).count() == 0
     twice = D.decontaminate(d.unionByName(d), b)
-    assert H.rows(twice, *names) == H.contamination(docs, items) and twice.count() == 3
+    assert H.rows(twice, *names) == H.contamination(docs, items) and twice.count() == 6
+
+
+def test_decontamination_of_many_equal_rows(spark):
+    """Copies under one key are judged once: pairs of copies would be 100 million here."""
+    item = H.prose(3, 30, 200)
+    b = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    d = spark.range(10_000, numPartitions=6).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(f"a {item} b").alias("text"))
+    got = D.decontaminate(d, b).groupBy("doc_id", "n_words", "n_hit", "n_items", "contaminated").count().collect()
+    want = H.contamination([(None, f"a {item} b")], [(1, item)])[None]
+    assert [(r.n_words, r.n_hit, r.n_items, r.contaminated, r["count"]) for r in got] == [(*want[:3], want[4], 10_000)]
 
 
 def test_decontamination_tells_texts_of_one_id_apart(spark):
