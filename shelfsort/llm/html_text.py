@@ -9,9 +9,11 @@ an element counts as one tag of a small cost, whatever it holds, so the text on
 both its sides stays in one region.
 
 Elements left out wherever they stand: by name (scripts, styles, menus,
-headers, footers, sidebars, forms, ...), by the words of class, id and role
-(advert, cookie, comments, sidebar, ...), and by learning (containers that the
-labelled pages keep outside their article).
+headers, footers, sidebars, forms, ...; also the header of an article, headline
+and all), by class, id and role (advert, cookie, comments, sidebar, ..., unless
+another word of the name points elsewhere), and by learning (containers that the
+labelled pages keep outside their article).  A form or block that holds the
+article, the main heading or most paragraphs is a container like others.
 
 All pages train the weights: counts per kind of element (name and first class)
 are added up on Spark, and every kind gets its weight.  The table of kinds is
@@ -21,7 +23,8 @@ the rows of its own kinds, with the same result.
 Defined cases: null and empty html give the empty text; a page without any
 positive run gives the empty text; of equal regions the first is taken; unclosed
 elements end with their parent or at a tag that closes them; an unclosed comment
-or script runs to the end; a broken character reference stays as it is written;
+or script runs to the end; tags are read in one pass, however long the page and
+however many of them never close; a broken character reference stays as it is written;
 rows are treated one by one, so repeated rows repeat; no rows give no rows.
 """
 from __future__ import annotations
@@ -53,10 +56,16 @@ OUT_WORDS = frozenset("ad ads advert adverts advertisement advertising adbox ban
                       "footer header masthead pagination pager login signup search widget".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-                   r"|</?[a-z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<![^>]*>|<\?[^>]*>", re.I | re.S)
+RAW = frozenset("script style noscript template textarea title iframe svg math".split())
+#: Words of a class name that say what shape or place an element has, not what it holds.
+NEUTRAL = frozenset("area bar block box btn button buttons container content desktop group holder icons inline inner item items left "
+                    "links list main mobile outer panel post posts primary right row secondary section site slot small text tools "
+                    "top bottom unit wrap wrapper".split())
+
+TAG = re.compile(r"</?[a-z][^\s/>]*+(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>", re.I)
 NAME = re.compile(r"</?([a-z][^\s/>]*)", re.I)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+READ = frozenset("class id role hidden aria-hidden".split())
 SPLIT = re.compile(r"[^a-z]+")
 
 TEXT_TAGS = frozenset("p a br b i em strong span u s q h1 h2 h3 h4 h5 h6 blockquote code pre sub sup small cite mark abbr time wbr".split())
@@ -78,20 +87,120 @@ class Weights:
     out: frozenset = frozenset()
 
 
+def tokens(page: str) -> Iterator[tuple[int, int, str | None, str]]:
+    """start, end, name (None: a comment or declaration) and text of each tag.
+
+    A tag ends at the first ``>`` outside quotes.  Where the quotes of a page
+    don't close, this and all later tags end at their first ``>``; a ``<`` without
+    any is text.  What stands in a raw-text element belongs to its opening tag."""
+    at, last, quoted = 0, page.rfind(">"), True
+    ends: dict[str, re.Pattern] = {}
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            end = len(page) if end < 0 else end + 3
+            yield start, end, None, ""
+        elif start > last:
+            return
+        elif page[start + 1:start + 2] in ("!", "?"):
+            end = page.find(">", start) + 1
+            yield start, end, None, ""
+        elif (n := NAME.match(page, start)) is None:
+            at = start + 1
+            continue
+        else:
+            m = TAG.match(page, start) if quoted else None
+            quoted = m is not None
+            end = m.end() if m else page.find(">", start) + 1
+            name, tag = n[1].lower(), page[start:end]
+            if name in RAW and tag[1] != "/":
+                if name not in ends:
+                    ends[name] = re.compile(rf"</{name}\s*>", re.I)
+                close = ends[name].search(page, end)
+                end = close.end() if close else len(page)
+            yield start, end, name, tag
+        at = end
+
+
+def holders(found: list) -> set[int]:
+    """Places in ``tokens`` of elements that hold the article: an <article> or
+    <main>, and forms that hold the heading of the page or most of its
+    paragraphs."""
+    out: set[int] = set()
+    open_: list[tuple[str, int, int]] = []              # name, place, paragraphs before it
+    counts: dict[str, int] = {}
+    open_forms: list[int] = []
+    paragraphs, forms = 0, []
+
+    def mark(places: Iterator[int]) -> None:
+        for at in places:
+            if at in out:       # what holds this one was marked with it
+                break
+            out.add(at)
+
+    for k, (_, _, name, tag) in enumerate(found):
+        if name is None or name in RAW or name in VOID:
+            continue
+        if tag[1] == "/":
+            if not counts.get(name):
+                continue
+            while open_:
+                n, at, before = open_.pop()
+                counts[n] -= 1
+                if n == "form":
+                    forms.append((open_forms.pop(), paragraphs - before))
+                if n == name:
+                    break
+            continue
+        if name in ("article", "main"):
+            mark(at for _, at, _ in reversed(open_))
+        elif name == "h1":
+            mark(reversed(open_forms))
+        elif name == "p":
+            paragraphs += 1
+            continue
+        # only elements that can be left out are followed
+        if name in CONTAINER or name in BLOCK:
+            open_.append((name, k, paragraphs))
+            counts[name] = counts.get(name, 0) + 1
+            if name == "form":
+                open_forms.append(k)
+    forms += [(at, paragraphs - before) for n, at, before in open_ if n == "form"]
+    out.update(at for at, inside in forms if inside >= 3 and 2 * inside > paragraphs)
+    return out
+
+
 def _attributes(tag: str) -> dict[str, str]:
-    return {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(tag)}
+    """The attributes that matter, by their names; the first of a name counts."""
+    out: dict[str, str] = {}
+    for name, value in ATTRIBUTE.findall(tag, NAME.match(tag).end()):
+        if (name := name.lower()) in READ and name not in out:
+            out[name] = value.strip("\"'").lower()
+    return out
+
+
+def names_aside(value: str) -> bool:
+    """A class or id says that its element is no article text: some name in it
+    has a word of ``OUT_WORDS`` and no word that points elsewhere."""
+    for name in value.split():
+        words = [w for w in SPLIT.split(name) if w]
+        if any(w in OUT_WORDS for w in words) and all(w in OUT_WORDS or w in NEUTRAL or len(w) < 3 for w in words):
+            return True
+    return False
 
 
 def kind_of(name: str, a: dict[str, str]) -> str:
     return f"{name}.{a['class'].split()[0]}" if a.get("class", "").strip() else name
 
 
-def left_out(name: str, a: dict[str, str], learned: frozenset = frozenset()) -> bool:
+def left_out(name: str, a: dict[str, str], learned: frozenset = frozenset(), holds: bool = False) -> bool:
+    if holds and "hidden" not in a and (name == "form" or name in BLOCK and name not in OUT):
+        return False
     if name in OUT or a.get("role") in OUT_ROLES or "hidden" in a or a.get("aria-hidden") == "true":
         return True
     if name in ("html", "body", "main") or name not in BLOCK and name != "span":
         return False
-    if any(w in OUT_WORDS for k in ("class", "id") for w in SPLIT.split(a.get(k, ""))):
+    if any(names_aside(a.get(k, "")) for k in ("class", "id")):
         return True
     return kind_of(name, a) in learned
 
@@ -100,30 +209,31 @@ def events(page: str, learned: frozenset = frozenset()) -> Iterator[tuple]:
     """('text', raw, out, inside, stack) and ('tag', name, opening, out, inside, kind): ``out``: in an
     element left out (of tags: 1 if it begins there, 2 for all tags within and its end); ``inside``: in an article."""
     stack: list[tuple[str, bool, str]] = []  # name, left out, kind
+    names: dict[str, int] = {}
     out = inside = 0
+    found = list(tokens(page))
+    holding = holders(found)
 
     def pop_to(i: int) -> None:
         nonlocal out, inside
         for name, o, _ in stack[i:]:
             out -= o
             inside -= name in ("article", "main")
+            names[name] -= 1
         del stack[i:]
 
     at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            yield "text", page[at:m.start()], out > 0, inside > 0, stack
-        at = m.end()
-        tag = m.group()
-        n = NAME.match(tag)
-        if not n:
+    for k, (start, end, name, tag) in enumerate(found):
+        if start > at:
+            yield "text", page[at:start], out > 0, inside > 0, stack
+        at = end
+        if name is None:
             continue
-        name = n[1].lower()
-        if m[1]:  # raw text: never article text
+        if name in RAW and tag[1] != "/":  # raw text: never article text
             yield "tag", name, True, 2 if out else 1, inside > 0, name
             continue
         if tag[1] == "/":
-            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            i = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name) if names.get(name) else None
             if i is not None:
                 was = inside > 0
                 _, o, kind = stack[i]
@@ -135,17 +245,18 @@ def events(page: str, learned: frozenset = frozenset()) -> Iterator[tuple]:
         a = _attributes(tag)
         if name in BLOCK:  # a block ends an open paragraph, an item the item before it
             closes = ENDS.get(name, set()) | {"p"}
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if any(names.get(c) for c in closes) else ():
                 if stack[i][0] in closes:
                     pop_to(i)
                     break
                 if stack[i][0] in CONTAINER or stack[i][0] in ("article", "main", "body", "td", "th", "li") and name not in ENDS.get(stack[i][0], ()):
                     break
-        o = left_out(name, a, learned)
+        o = left_out(name, a, learned, k in holding)
         kind = kind_of(name, a)
         yield "tag", name, True, 2 if out else int(o), inside > 0, kind
         if name not in VOID and not tag.endswith("/>"):
             stack.append((name, o, kind))
+            names[name] = names.get(name, 0) + 1
             out += o
             inside += name in ("article", "main")
     if at < len(page):

@@ -217,3 +217,63 @@ def test_count_and_edit_on_spark(spark):
     again = C.edit(once.withColumn("edits", C.F.lit(None).cast(C.EDITS)), with_state=False)
     assert H.rows(again, "doc_id", "n_tokens", "n_reencoded") == {i: (got[i].n_tokens, 0) for i in got}
     assert C.count(docs.limit(0)).count() == 0
+
+
+# ---- HTML: attributes, forms, unclosed tags -------------------------------------
+
+LONG = " ".join(f"word{i}" for i in range(60))
+
+
+@pytest.mark.parametrize("page,want", [
+    (f'<body style="overflow:hidden"><p>{LONG}</p></body>', LONG),
+    (f'<p>{LONG} <a href="/the-hidden-cost/">this story</a> ends</p>', f"{LONG} this story ends"),
+    (f'<p title="a hidden gem">{LONG}</p>', LONG),
+    (f'<div data-role="banner" data-class="advert"><p>{LONG}</p></div>', LONG),
+    (f'<div class="search-results-paper"><p>{LONG}</p></div>', LONG),
+    (f'<body><form action="."><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></form></body>', f"Head\n{LONG}\n{LONG}"),
+    (f'<form><div><article><p>{LONG}</p></article></div></form>', LONG),
+    (f'<div class="page-with-sidebar sidebar"><main><p>{LONG}</p></main></div>', LONG),
+    (f'<p>{LONG}</p><form><p>sign up</p></form>', LONG),
+    (f'<p>{LONG}</p><div hidden>no</div><div class="ad-slot-3">no</div><div id="cookie-box">no</div>', LONG),
+    (f'<form hidden><h1>no</h1><p>no</p></form><p>{LONG}</p>', LONG),
+])
+def test_attributes_and_forms(page, want):
+    from shelfsort.llm.html_text import main_text
+    assert main_text(page) == want
+
+
+@pytest.mark.parametrize("page", ["<script " * 130_000, "<a " * 300_000, '<a ">" ' * 100_000, "<b>" * 20_000 + "</i>" * 20_000,
+                                  "<div>" * 20_000 + "</p>" * 20_000, "<b>" * 20_000 + "<p>x" * 20_000, '<a href="x> ' * 80_000 + ">",
+                                  "<!--" * 200_000, "<div><article>" * 30_000, "<form><h1>" * 30_000])
+def test_hostile_pages_take_linear_time(page):
+    import time
+    from shelfsort.llm.html_text import main_text
+    start = time.process_time()
+    main_text(page)
+    assert time.process_time() - start < 15
+
+
+def test_region_is_the_best_of_all():
+    """The scan against every contiguous run of words and tags."""
+    import random
+    from shelfsort.llm import html_text as H
+    r = random.Random(6)
+    for _ in range(120):
+        page = "".join(r.choice(["<p>a b c</p>", "<div>", "</div>", "<ul><li>x</li></ul>", "word ", "<br>", "<span>y z</span>", "<hr>"])
+                       for _ in range(r.randrange(1, 25)))
+        marks = []
+        for e in H.events(page):
+            if e[0] == "text":
+                marks += [(float(len(e[1].split())), e[1].split())] if not e[2] and e[1].split() else []
+            else:
+                _, name, _, out, inside, kind = e
+                cost = H.INSIDE_COST if inside else H.LEFT_OUT_COST if out else H.TEXT_COST if name in H.TEXT_TAGS else H.UNKNOWN_COST
+                marks += [(-cost, [])] if out < 2 else []
+        best = max((sum(m[0] for m in marks[i:j]) for i in range(len(marks)) for j in range(i + 1, len(marks) + 1)), default=0.0)
+        got = "".join(H.main_text(page).split())
+        if best <= 0:
+            assert got == ""
+            continue
+        runs = ["".join(w for m in marks[i:j] for w in m[1]) for i in range(len(marks)) for j in range(i + 1, len(marks) + 1)
+                if abs(sum(m[0] for m in marks[i:j]) - best) < 1e-9]
+        assert got in runs, page
