@@ -456,6 +456,7 @@ def build() -> dict[str, str]:
         "FROM sp JOIN cands c ON c.cat_key = lower(sp.category)), "
         + keyword_sql("k_", "pc") +
         " SELECT key AS row_id, x.c AS sub_category, x.s::INTEGER AS score FROM k_kw")
+    q["seed_json"] = "SELECT p_name || ' \"' || p_brand || '\"' AS sub_category, p_type AS category FROM part"
     q["sub_keyword_brands"] = (
         "WITH " + _brand_pairs() + ", "
         "up AS (SELECT DISTINCT name, category FROM sp), "

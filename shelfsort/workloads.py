@@ -732,6 +732,18 @@ def q_batch_csv(spark, d):
     return read_batch_csv(spark, f"{root}/b").select(F.col("doc_id").cast("long").alias("doc_id"), "product_name", "lang")
 
 
+def q_seed_json(spark, d):
+    """Seed records of all parts, written as JSON arrays of 200 records, a
+    file each, and read back."""
+    from .sources.store import read_seed_json
+    path = _scratch(spark, "seeds")
+    part = _t(spark, d, "part").select(F.floor(F.col("p_partkey") / 200).alias("chunk"), F.struct(
+        F.concat_ws(" ", "p_name", F.concat(F.lit('"'), F.col("p_brand"), F.lit('"'))).alias("sub_category"), F.col("p_type").alias("category")).alias("seed"))
+    (part.groupBy("chunk").agg(F.to_json(F.collect_list("seed")).alias("value"))
+     .write.partitionBy("chunk").option("lineSep", "\n").text(path))
+    return read_seed_json(spark, f"{path}/chunk=*").select("sub_category", "category")
+
+
 def q_index_store(spark, d):
     """Weights of the benchmark index after saving and loading it."""
     from .plans.workflow import load_index, save_index
@@ -818,6 +830,6 @@ def q_full_chain(spark, d):
         F.col("predicted_sub_category").isNotNull().alias("has_sub"))
 
 
-QUERIES.update({"label_store": q_label_store, "batch_csv": q_batch_csv, "index_store": q_index_store, "model_store": q_model_store,
+QUERIES.update({"label_store": q_label_store, "batch_csv": q_batch_csv, "seed_json": q_seed_json, "index_store": q_index_store, "model_store": q_model_store,
                 "model_quality": q_model_quality, "sub_replies": q_sub_replies, "retrain_rule": q_retrain_rule,
                 "full_chain": q_full_chain})
