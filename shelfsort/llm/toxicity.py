@@ -156,10 +156,11 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     # Bounded: at most 2 * fit_rows ids of a class, the first in hash order.
     known = known.where("toxic > 0").orderBy("place", "doc").limit(2 * fit_rows).unionByName(
         known.where("toxic <= 0").orderBy("place", "doc").limit(2 * fit_rows))
-    known = materialise(known.withColumn("step", F.pmod("place", F.lit(2))))
+    known = materialise(known)
     sample = (docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text"))
-              .join(F.broadcast(known), "doc").dropDuplicates(["text"]))
-    sample = materialise(sample.select("step", "toxic", "text"))
+              .join(F.broadcast(known), "doc"))
+    # a text counts once; labels that differ make it toxic, whichever row is read first
+    sample = materialise(sample.groupBy("text").agg(F.max("toxic").alias("toxic"), F.pmod(F.min("place"), F.lit(2)).alias("step")))
 
     def uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -210,6 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h.tolist(), pa.list_(pa.int64()))], names=["toxic", "h"])
 
     got = sample.where("step = 1").select("toxic", "text").mapInArrow(measure, "toxic int, h array<bigint>").collect()
+    got.sort(key=lambda r: (r.toxic, r.h))          # sums of one order give one model
     y = np.array([int(r.toxic > 0) for r in got], np.float64)
     h = np.array([r.h for r in got], np.float64).reshape(len(y), HIGH - LOW + 1)
     if not len(y) or y.min() == y.max():

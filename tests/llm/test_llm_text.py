@@ -162,6 +162,15 @@ def test_held_out_labels_do_not_matter(spark):
     assert a == b
 
 
+def test_conflicting_labels_give_one_model_under_any_partitioning(spark):
+    docs, labels, truth = labelled(spark, 400)
+    again = docs.selectExpr("doc_id + 10000 as doc_id", "text")
+    other = labels.selectExpr("doc_id + 10000 as doc_id", "if(doc_id % 5 = 0, 1 - toxic, toxic) as toxic")
+    docs, labels = docs.unionByName(again), labels.unionByName(other)
+    a = H.rows(X.toxicity(docs.repartition(3), labels), "doc_id", "score")
+    assert a == H.rows(X.toxicity(docs.repartition(11, "doc_id"), labels.repartition(5)), "doc_id", "score")
+
+
 def test_toxicity_on_degenerate_tables(spark):
     docs = spark.createDataFrame([(1, None, 1.0), (None, "", 2.0), (3, "x " * 100_000, None), (3, "x", 1.0)], "doc_id bigint, text string, score double")
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
