@@ -1,22 +1,26 @@
 """Language-model scoring by deleted interpolation.
 
-P(w | h) = a(b) c(h,w)/c(h) + d(b) c(w)/N + e(b) / (V+1), where b is the bucket
-(power of two) of the context's frequency c(h).  The weights of each bucket are
-learned by expectation-maximisation on held-out counts: a tenth of the training
-documents is left out of the counts while the weights are learned, then counted
-too.  ``order=3`` adds c(g,h,w)/c(g,h) and buckets by c(g,h).
+P(w | g,h) = a(b) c(g,h,w)/c(g,h) + d(b) c(h,w)/c(h) + e(b) c(w)/N + f(b) / (V+1),
+where b is the bucket (power of two) of the context's frequency c(g,h).  The
+weights of each bucket are learned by expectation-maximisation on held-out counts:
+a tenth of the training documents is left out of the counts while the weights are
+learned, then counted too.  ``order`` sets the longest n-gram: 2 ends at c(h,w)/c(h).
 
 How the corpus is counted.  A task turns its documents into blocks of about half a
-million tokens: word hashes (64 bits) with per-block dictionaries, stored in the
-shared folder.  A block asks for the counts of its distinct n-grams: sorted
+million tokens: word hashes (64 bits) with per-block dictionaries, frequent words
+first, stored in the shared folder.  A block asks for the counts of its distinct n-grams: sorted
 keys, dealt by hash range, with their counts inside the block (the map-side
 combine).  The task of a range adds the counts up and answers every block in
 the order of its question.  So frequent n-grams cost one entry for each block,
 no n-gram table ever meets one task or the driver, and texts are read once.
+Words are told apart by 64 bits, so the counts of the base score are exact.  Longer
+n-grams are told apart by 24 bits more than the corpus' token count has: at any
+size, an n-gram shares its counts with another one by a chance of at most 2^-24.
 
 The driver gets N, V and the held-out histogram.  That has at most
-(buckets x 121^(order-1) ...) cells: log probabilities are rounded to a grid of
-0.1, only for learning weights; its size does not grow with the corpus.
+buckets x 122^order cells, of which some hundred thousand occur: log probabilities
+are rounded to a grid of 0.1, only for learning weights.  Its size has a bound
+that does not depend on the corpus.
 
 Defined cases: null and empty texts have one token, the end; ties do not
 matter; without training documents every count is 0 and weights are equal;
@@ -25,7 +29,7 @@ repeated rows count each time and are scored each time; null doc_ids hash as
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -40,8 +44,10 @@ from shelfsort.llm.hashing import U64, combine, mix64, words
 END, START = (U64(x) for x in mix64([0xE0D, 0x57A97]))
 BLOCK_TOKENS = 500_000
 RANGE_TOKENS = 1_000_000
-BUCKETS = 24
+SPARE_BITS = 24
+BUCKETS = 64
 GRID, FLOOR = 0.1, -12.0
+CELLS = 2 + round(-FLOOR / GRID)  # of a probability: none, then FLOOR to 0 by GRID
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -57,6 +63,15 @@ def unpack(b: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(raw.T).view(np.dtype(dtype).newbyteorder(">")).ravel().astype(dtype)
 
 
+def pack_keys(a: np.ndarray) -> bytes:
+    """Sorted 64-bit keys by their steps (runs of sorted keys pack nearly as well)."""
+    return pack(np.diff(a, prepend=U64(0)))
+
+
+def unpack_keys(b: bytes) -> np.ndarray:
+    return np.cumsum(unpack(b, np.uint64), dtype=np.uint64)
+
+
 BLOCK = "held int, docs binary, sizes binary, vocab binary, tokens binary, n bigint"
 
 
@@ -72,11 +87,14 @@ def blocks(docs: DataFrame, doc_id: str, text: str, folds: int, block_tokens: in
 
         def out(held: int) -> pa.RecordBatch:
             ids, null, sizes, toks = (np.concatenate(x) for x in zip(*kept[held]))
-            vocab, index = np.unique(toks, return_inverse=True)
+            vocab, index, n = np.unique(toks, return_inverse=True, return_counts=True)
+            first = np.argsort(-np.log2(n).astype(np.int64), kind="stable")  # frequent words get small numbers
+            rank = np.empty(len(vocab), np.uint32)
+            rank[first] = np.arange(len(vocab), dtype=np.uint32)
             kept[held], total[held] = [], 0
             return pa.RecordBatch.from_arrays(
                 [pa.array([held], pa.int32())] + [pa.array([x], pa.binary()) for x in (
-                    pack(np.stack([ids, null], 1).ravel()), pack(sizes), pack(vocab), pack(index.astype(np.uint32)))]
+                    pack(np.stack([ids, null], 1).ravel()), pack(sizes), pack_keys(vocab[first]), pack(rank[index]))]
                 + [pa.array([len(toks)], pa.int64())], names=["held", "docs", "sizes", "vocab", "tokens", "n"])
 
         for big in batches:
@@ -107,14 +125,17 @@ def blocks(docs: DataFrame, doc_id: str, text: str, folds: int, block_tokens: in
 class Block:
     """A block's n-grams: ``keys[k]`` sorted distinct (k+1)-grams, ``at[k]`` the place of each token's."""
 
-    def __init__(self, sizes: bytes, vocab: bytes, tokens: bytes, order: int):
+    def __init__(self, sizes: bytes, vocab: bytes, tokens: bytes, order: int, bits: int):
         self.sizes = unpack(sizes, np.uint32).astype(np.int64)
-        v, i = unpack(vocab, np.uint64), unpack(tokens, np.uint32)
+        v, i = unpack_keys(vocab), unpack(tokens, np.uint32)
         toks = v[i]
         first = np.zeros(len(toks), bool)
         first[np.concatenate([[0], np.cumsum(self.sizes)[:-1]])] = True
         self.first = first
-        self.keys, self.at = [v], [i]
+        place = np.empty(len(v), np.int64)
+        by_key = np.argsort(v)
+        place[by_key] = np.arange(len(v))
+        self.keys, self.at = [v[by_key]], [place[i]]
         before = [toks]
         for k in range(1, order):
             prev = np.empty_like(toks)
@@ -122,7 +143,7 @@ class Block:
             prev[0] = START
             prev[first] = START
             before.append(prev)  # the token k places back
-            keys, at = np.unique(combine(before[::-1]), return_inverse=True)
+            keys, at = np.unique(combine(before[::-1]) >> U64(64 - bits), return_inverse=True)
             self.keys.append(keys)
             self.at.append(at)
 
@@ -130,24 +151,32 @@ class Block:
         return np.bincount(self.at[k], minlength=len(self.keys[k]))
 
 
-def ask(stored: DataFrame, order: int, ranges: int) -> DataFrame:
+def key_bits(n_tokens: int) -> int:
+    """Width of the keys of n-grams of two and more words."""
+    return min(64, n_tokens.bit_length() + SPARE_BITS)
+
+
+def ask(stored: DataFrame, order: int, ranges: int, bits: int) -> DataFrame:
     """part, block, level, held, keys, counts: each block's distinct n-grams by hash range."""
-    step = (1 << 64) // ranges + 1
+    def edges(width: int) -> np.ndarray:
+        step = (1 << width) // ranges + 1
+        return np.array([step * i for i in range(1, ranges)], dtype=np.uint64)
+
+    words_at, longer_at = edges(64), edges(bits)
 
     def run(batches):
         for b in batches:
             for block, held, sizes, vocab, tokens in zip(*(b.column(i).to_pylist() for i in range(5))):
-                x = Block(sizes, vocab, tokens, order)
+                x = Block(sizes, vocab, tokens, order, bits)
                 for level in range(order):
                     keys = x.keys[level]
                     n = x.counts(level).astype(np.uint32)
-                    cut = np.searchsorted(keys, np.array([step * i for i in range(1, ranges)], dtype=np.uint64)) if ranges > 1 else np.zeros(0, np.int64)
-                    edge = [0, *cut.tolist(), len(keys)]
+                    edge = [0, *np.searchsorted(keys, longer_at if level else words_at).tolist(), len(keys)]
                     got = [(r, s, e) for r, (s, e) in enumerate(zip(edge[:-1], edge[1:])) if e > s]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([r for r, _, _ in got], pa.int32()), pa.array([block] * len(got), pa.int64()),
                          pa.array([level] * len(got), pa.int32()), pa.array([held] * len(got), pa.int32()),
-                         pa.array([pack(keys[s:e]) for _, s, e in got], pa.binary()),
+                         pa.array([pack_keys(keys[s:e]) for _, s, e in got], pa.binary()),
                          pa.array([pack(n[s:e]) for _, s, e in got], pa.binary())],
                         names=["part", "block", "level", "held", "keys", "counts"])
 
@@ -164,7 +193,7 @@ def answer(questions: DataFrame) -> DataFrame:
     def run(key, frame: pd.DataFrame) -> pd.DataFrame:
         out = []
         for level, f in frame.groupby("level", sort=True):
-            keys = [unpack(x, np.uint64) for x in f["keys"]]
+            keys = [unpack_keys(x) for x in f["keys"]]
             size = np.array([len(x) for x in keys])
             every, at = np.unique(np.concatenate(keys), return_inverse=True)
             n = np.concatenate([unpack(x, np.uint32) for x in f["counts"]]).astype(np.float64)
@@ -181,10 +210,10 @@ def answer(questions: DataFrame) -> DataFrame:
     return questions.groupBy("part").applyInPandas(run, ANSWER)
 
 
-def _looked_up(left: pd.DataFrame, right: pd.DataFrame, order: int):
+def _looked_up(left: pd.DataFrame, right: pd.DataFrame, order: int, bits: int):
     """The block and, by level, (core, late) counts at each token."""
     r = left.iloc[0]
-    x = Block(r["sizes"], r["vocab"], r["tokens"], order)
+    x = Block(r["sizes"], r["vocab"], r["tokens"], order, bits)
     got = []
     for level in range(order):
         f = right[right["level"] == level].sort_values("part")
@@ -208,10 +237,20 @@ def _parts(x: Block, c: list[np.ndarray], n_tokens: float, n_docs: float, distin
     return p, bucket
 
 
-def learn_weights(cells: list[tuple], levels: int, rounds: int = 60) -> np.ndarray:
+def unfold(cell: np.ndarray, n: np.ndarray, lowest: float, levels: int) -> np.ndarray:
+    """Rows (bucket, cell of each level ..., count) of the folded histogram; a cell of -1: estimate 0."""
+    out = [n]
+    for _ in range(levels - 1):
+        cell, at = np.divmod(cell, CELLS)
+        out.append(at - 1)
+    out.append(np.full(len(cell), round((np.log10(lowest) - FLOOR) / GRID)))
+    return np.stack([cell, *out[::-1]], 1)
+
+
+def learn_weights(cells: Sequence, levels: int, rounds: int = 60) -> np.ndarray:
     """EM over (bucket, cell of each level ..., count): weights by bucket, lowest level first."""
     w = np.full((BUCKETS, levels), 1.0 / levels)
-    if not cells:
+    if not len(cells):
         return w
     a = np.array(cells, np.float64)
     bucket, n = a[:, 0].astype(int), a[:, -1]
@@ -226,14 +265,15 @@ def learn_weights(cells: list[tuple], levels: int, rounds: int = 60) -> np.ndarr
     return w
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 10, order: int = 2,
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 10, order: int = 3,
           block_tokens: int = BLOCK_TOKENS, range_tokens: int = RANGE_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of ``docs``."""
     spark = docs.sparkSession
     stored = store(blocks(docs, doc_id, text, folds, block_tokens), "lm-blocks")
     by = {r.held: r.n for r in stored.groupBy("held").agg(F.sum("n").alias("n")).collect()}  # three numbers
-    ranges = max(1, -(-sum(by.values()) * order // range_tokens))
-    answers = store(answer(ask(stored, order, ranges)), "lm-answers")
+    total = sum(by.values())
+    ranges, bits = max(1, -(-total * order // range_tokens)), key_bits(total)
+    answers = store(answer(ask(stored, order, ranges, bits)), "lm-answers")
     distinct = answers.agg(F.sum("distinct")).first()[0] or 0
     n_core, n_all = by.get(0, 0), by.get(0, 0) + by.get(2, 0)
     # Documents are as many as end tokens.
@@ -242,21 +282,24 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
     d_core, d_all = by_docs.get(0, 0), by_docs.get(0, 0) + by_docs.get(2, 0)
 
     def histogram(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        x, c = _looked_up(left, right, order)
+        x, c = _looked_up(left, right, order, bits)
         p, bucket = _parts(x, [core for core, _ in c], n_core, d_core, distinct)
-        cell = [np.where(q > 0, np.maximum(0, np.round((np.log10(np.maximum(q, 1e-300)) - FLOOR) / GRID)), -1).astype(np.int64) for q in p]
-        rows, n = np.unique(np.stack([bucket, *cell], 1), axis=0, return_counts=True)
-        return pd.DataFrame({"cell": [r.tolist() for r in rows], "n": n})
+        cell = bucket
+        for q in p[1:]:
+            at = np.where(q > 0, 1 + np.maximum(0, np.round((np.log10(np.maximum(q, 1e-300)) - FLOOR) / GRID)), 0)
+            cell = cell * CELLS + at.astype(np.int64)
+        rows, n = np.unique(cell, return_counts=True)
+        return pd.DataFrame({"cell": rows, "n": n})
 
     late = stored.where("held = 2")
     cells = (late.select("block", "sizes", "vocab", "tokens").groupBy("block")
              .cogroup(answers.join(late.select("block"), "block", "left_semi").groupBy("block"))
-             .applyInPandas(histogram, "cell array<bigint>, n bigint")
-             .groupBy("cell").agg(F.sum("n").alias("n")).collect())
-    weights = learn_weights(sorted((*r.cell, r.n) for r in cells), order + 1)
+             .applyInPandas(histogram, "cell bigint, n bigint")
+             .groupBy("cell").agg(F.sum("n").alias("n")).sort("cell").toArrow())
+    weights = learn_weights(unfold(cells["cell"].to_numpy(), cells["n"].to_numpy(), 1.0 / (distinct + 1), order + 1), order + 1)
 
     def finish(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        x, c = _looked_up(left, right, order)
+        x, c = _looked_up(left, right, order, bits)
         r = left.iloc[0]
         counts = [core + late for core, late in c]
         p, bucket = _parts(x, counts, n_all, d_all, distinct)

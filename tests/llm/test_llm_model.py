@@ -80,6 +80,19 @@ def test_em_finds_the_mixture():
     assert np.allclose(M.learn_weights([], 3), 1 / 3)
 
 
+def test_histogram_unfolds():
+    folded = np.array([(5 * M.CELLS + 41) * M.CELLS + 111, (2 * M.CELLS + 61) * M.CELLS])
+    assert M.unfold(folded, np.array([900, 500]), 0.01, 3).tolist() == [[5, 100, 40, 110, 900], [2, 100, 60, -1, 500]]
+
+
+def test_packed_keys_round_trip():
+    r = np.random.default_rng(2)
+    keys = np.sort(r.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2))
+    for k in (keys, keys[::-1], keys[:1], keys[:0]):
+        assert (M.unpack_keys(M.pack_keys(k)) == k).all()
+    assert M.key_bits(0) >= M.SPARE_BITS and M.key_bits(1 << 50) == 64
+
+
 def test_better_than_the_base_on_held_out_text(spark):
     r = random.Random(8)
     follow = {i: [r.randrange(200) for _ in range(3)] for i in range(200)}
