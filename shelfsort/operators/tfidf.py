@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import split_ws
-from ..session import bounded_broadcast, cut_lineage, spread
+from ..session import bounded_broadcast, cut_lineage, dense_positions, spread
 
 # Margin for the prefix-filter bound so floating-point rounding can never
 # drop a pair whose exact score sits on the threshold.
@@ -46,15 +46,55 @@ def doc_grams(docs: DataFrame, id_cols: list, text_col: str) -> DataFrame:
     return grams.groupBy(*id_cols, "gram").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+_DIGIT = 16   # bits of a count that one pass of the rank search settles
+
+
+def _value_at_rank(rows: DataFrame, col: str, rank: int) -> tuple[int, int, int]:
+    """The ``rank``-th largest of the non-negative whole numbers in ``col``, how
+    many rows lie above it and how many rows hold it (1 <= rank <= rows).
+
+    A radix search from the leading digit down: each pass counts the rows of one
+    prefix by their next 16 bits, so the driver gets at most 65,536 counts a
+    pass, whatever the table, and the rows stay where they are.
+    """
+    largest = rows.agg(F.max(col)).first()[0]
+    shift = max(largest.bit_length() - 1, 0) // _DIGIT * _DIGIT
+    prefix, above, here = 0, 0, rows
+    while True:
+        digit = F.shiftright(F.col(col).cast("bigint"), shift).bitwiseAND((1 << _DIGIT) - 1)
+        for d, n in sorted(here.groupBy(digit.alias("d")).count().collect(), reverse=True):
+            if above + n >= rank:
+                break
+            above += n
+        prefix = prefix << _DIGIT | d
+        if shift == 0:
+            return prefix, above, n
+        low = prefix << shift
+        here = rows.where(F.col(col).between(low, low + (1 << shift) - 1))
+        shift -= _DIGIT
+
+
 def vocabulary(counts: DataFrame, max_features: int | None) -> DataFrame:
     """``(gram, tf, df)``; when capped, the ``max_features`` grams with the
-    largest corpus count (ties: gram order).  The cap bounds the result, so
-    the top-k runs as a per-partition take-ordered followed by one merge of
-    at most ``max_features`` rows per partition."""
+    largest corpus count (ties: gram order).
+
+    The count at the cap's rank comes from histograms (``_value_at_rank``);
+    grams above it are taken where they lie.  Only grams that tie at the cut are
+    sorted, by ranges, so no task merges the candidates of all others.
+    """
     stats = counts.groupBy("gram").agg(F.sum("cnt").alias("tf"), F.count(F.lit(1)).alias("df"))
-    if max_features:
-        stats = stats.orderBy(F.desc("tf"), "gram").limit(max_features)
-    return stats
+    if not max_features:
+        return stats
+    stats = cut_lineage(stats)
+    if stats.count() <= max_features:
+        return stats
+    cut, above, ties = _value_at_rank(stats, "tf", max_features)
+    open_places = max_features - above
+    if ties == open_places:
+        return stats.where(F.col("tf") >= cut)
+    tied = dense_positions(stats.where(F.col("tf") == cut), ["gram"], "_pos")
+    return (stats.where(F.col("tf") > cut)
+            .unionByName(tied.where(F.col("_pos") < open_places).drop("_pos")))
 
 
 @dataclass

@@ -108,3 +108,21 @@ def test_topk_scores_few_pairs(spark):
     want = _all_cosines(idx, q)
     assert got == {k: v[:5] for k, v in want.items()}
     assert stats["far"] == 0 and stats["pairs"] * 5 < sum(map(len, want.values())), (stats, sum(map(len, want.values())))
+
+
+@pytest.mark.parametrize("values", [
+    [5] * 40, list(range(1, 60)), [1] * 30 + [70_000] * 3 + [(1 << 33) + i % 3 for i in range(20)] + [1 << 62],
+    [(1 << 16) - 1, 1 << 16, (1 << 16) + 1] * 9, [1, 0, 0, 3]])
+def test_vocabulary_cap_equals_a_full_sort(spark, values):
+    from shelfsort.operators.tfidf import _value_at_rank, vocabulary
+    rows = [(f"g{(i * 37) % 101:03d}", v) for i, v in enumerate(values)]
+    counts = spark.createDataFrame(rows, "gram string, cnt bigint").repartition(5)
+    order = sorted(rows, key=lambda r: (-r[1], r[0]))
+    for k in {1, len(rows) // 2, len(rows) - 1}:
+        cut, above, ties = _value_at_rank(counts, "cnt", k)
+        assert cut == order[k - 1][1]
+        assert above == sum(v > cut for v in values) and ties == values.count(cut)
+    for k in (len(rows) // 2, 1000):
+        got = {(r.gram, r.tf) for r in vocabulary(counts, k).collect()}
+        assert got == set(order[:k])
+    assert vocabulary(counts.limit(0), 3).count() == 0
