@@ -14,8 +14,8 @@ combine).  The task of a range adds the counts up and answers every block in
 the order of its question.  So frequent n-grams cost one entry for each block,
 no n-gram table ever meets one task or the driver, and texts are read once.
 Words are told apart by 64 bits, so the counts of the base score are exact.  Longer
-n-grams are told apart by 24 bits more than the corpus' token count has: at any
-size, an n-gram shares its counts with another one by a chance of at most 2^-24.
+n-grams are told apart by 20 bits more than the corpus' token count has: at any
+size, an n-gram shares its counts with another one by a chance of at most one in a million (2^-20).
 
 The driver gets N, V and the held-out histogram.  That has at most
 buckets x 122^order cells, of which some hundred thousand occur: log probabilities
@@ -44,7 +44,7 @@ from shelfsort.llm.hashing import U64, combine, mix64, words
 END, START = (U64(x) for x in mix64([0xE0D, 0x57A97]))
 BLOCK_TOKENS = 500_000
 RANGE_TOKENS = 1_000_000
-SPARE_BITS = 24
+SPARE_BITS = 20
 BUCKETS = 64
 GRID, FLOOR = 0.1, -12.0
 CELLS = 2 + round(-FLOOR / GRID)  # of a probability: none, then FLOOR to 0 by GRID
