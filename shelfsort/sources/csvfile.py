@@ -28,12 +28,15 @@ _OPENS = rf'(?s)\A(?:{_FIELD},)*+"{_BODY}\z'
 _STAYS = rf'(?s)\A{_BODY}\z'
 _REOPENS = rf'(?s)\A{_BODY}"[^,]*+(?:,{_FIELD})*+,"{_BODY}\z'
 
-PLACE = ["file", "block", "line"]
+PLACE = ["file", "block", "line", "position"]
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, block, line, record, first)``: the records of all files under
-    ``path`` with the place where each starts; ``first`` marks a file's first."""
+    """``(file, block, line, record, first, position)``: the records of all files
+    under ``path`` with the place where each starts; ``first`` marks a file's first,
+    ``position`` numbers the others in the order of their places, from 0.
+
+    Lines move once, to the other lines of their split."""
     raw = (spark.read.option("lineSep", "\n").text(path)
            .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                    F.monotonically_increasing_id().alias("line"), "value"))
@@ -65,27 +68,38 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     lines = lines.withColumn("after", after.cast("int"))
     lines = lines.withColumn("starts", F.coalesce(F.lag("after").over(here), F.col("begin")) == 0)
     lines = lines.withColumn("own", F.last(F.when(F.col("starts"), F.col("line")), ignorenulls=True).over(upto))
-    # a record may go on in the next splits: the last start before a split, a row a split
-    last = lines.groupBy("file", "block").agg(F.max("own").alias("start"))
+    head = (F.col("block") == 0) & (F.row_number().over(here) == 1)
+    lines = lines.withColumn("first", head)
+    # the place of a record among its split's rows; blank lines and the header are none
+    row = F.col("starts") & ~F.col("first") & (F.regexp_replace("value", r"\r\z", "") != "")
+    lines = lines.withColumn("place", F.sum(row.cast("long")).over(upto))
+    # a record may go on in the next splits: the last start before a split, the
+    # state at its end and the rows of earlier splits, a row a split
+    last = lines.groupBy("file", "block").agg(F.max("own").alias("start"), F.max_by("after", "line").alias("open"), F.max("place").alias("rows"))
     last = last.withColumn("carried", F.last(F.when(F.col("start").isNotNull(), F.struct("block", "start")), ignorenulls=True).over(along))
-    lines = lines.join(last.select("file", "block", "carried"), ["file", "block"])
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.withColumn("offset", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    lines = lines.join(last.select("file", "block", "carried", "start", "open", "offset"), ["file", "block"])
     key = F.when(F.col("own").isNotNull(), F.struct(F.col("block"), F.col("own").alias("start"))).otherwise(F.col("carried"))
     lines = lines.withColumn("key", F.coalesce(key, F.struct("block", F.col("line").alias("start"))))
-    head = (F.col("block") == 0) & (F.row_number().over(here) == 1)
-    lines = lines.withColumn("first", head)
-    alone = F.col("starts") & (F.col("after") == 0)
-    single = lines.where(alone).select("file", "block", "line", F.col("value").alias("record"), "first")
-    joined = (lines.where(~alone).groupBy("file", "key")
-              .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "line", "value"))), lambda x: x["value"]), "\n").alias("record"),
-                   F.max("first").alias("first"))
-              .select("file", F.col("key.block").alias("block"), F.col("key.start").alias("line"), "record", "first"))
-    every = single.unionByName(joined)
+    lines = lines.withColumn("position", F.col("offset") + F.col("place") - 1)
+    # only records that go on in another split move again
+    crosses = F.col("own").isNull() | ((F.col("own") == F.col("start")) & (F.col("open") == 1))
+
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "line", "value"))), lambda x: x["value"]), "\n")
+
+    def put_together(some: DataFrame, keys: list) -> DataFrame:
+        return (some.groupBy(*keys).agg(text.alias("record"), F.max("first").alias("first"), F.min_by("position", F.struct("block", "line")).alias("position"))
+                .select("file", F.col("key.block").alias("block"), F.col("key.start").alias("line"), "record", "first", "position"))
+
+    every = (put_together(lines.where(~crosses), ["file", "block", "key"])
+             .unionByName(put_together(lines.where(crosses), ["file", "key"])))
     return every.withColumn("record", F.regexp_replace("record", r"\r\z", "")).where(F.col("record") != "")
 
 
 def read_ordered(spark: SparkSession, path: str) -> DataFrame:
     """The rows of the CSV files under ``path`` (header, all strings) with
-    ``file, block, line`` in a struct ``_place`` that orders them as the files do."""
+    ``file, block, line, position`` in a struct ``_place`` that orders them as the files do."""
     columns = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"').columns
     if not columns:
         raise ValueError(f"no header in {path}")

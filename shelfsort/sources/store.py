@@ -120,7 +120,7 @@ def read_batch_csv(spark: SparkSession, path: str, pandas_na: bool = False) -> D
         if pandas_na:
             v = F.when(v.isin(*PANDAS_NA), F.lit(None)).otherwise(v)
         cols.append(F.coalesce(v, F.lit("")).alias(c))
-    return dense_positions(df.select("_place", *cols), ["_place"], "row_id").drop("_place")
+    return df.select(*cols, F.col("_place.position").alias("row_id"))
 
 
 def write_batch_csv(out: DataFrame, path: str, id_col: str = "row_id") -> None:

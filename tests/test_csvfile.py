@@ -73,3 +73,21 @@ def test_written_batches_come_back_in_order(spark, tmp_path):
     write_batch_csv(spark.createDataFrame(rows, "row_id long, product_name string").repartition(7), str(tmp_path / "o"))
     got = read_batch_csv(spark, str(tmp_path / "o")).orderBy("row_id").collect()
     assert [(r.row_id, r.product_name) for r in got] == rows
+
+
+def test_rows_are_numbered_where_they_lie(spark, tmp_path):
+    """Blank lines and headers have no number, records over splits have one; no
+    row is sorted or written again for it."""
+    rows = [("a", "x" * 30), ("b", "two\nlines\n\nand more"), ("c", ""), ("d", 'say "hi"\n' * 9), ("e", "end")]
+    for name, some in (("p1.csv", rows), ("p2.csv", rows[::-1])):
+        quoted = "".join('%s,"%s"\n' % (k, v.replace('"', '""')) for k, v in some)
+        (tmp_path / name).write_text("k,v\n\n" + quoted.replace("e,", "\r\ne,"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16")
+    try:
+        df = read_batch_csv(spark, str(tmp_path))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        got = [(r.k, r.v, r.row_id) for r in df.orderBy("row_id").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [(k, v, i) for i, (k, v) in enumerate(rows + rows[::-1])]
+    assert "ExistingRDD" not in plan and "rangepartitioning" not in plan
