@@ -1,3 +1,5 @@
+import threading
+
 from shelfsort.operators import model as M
 
 ROWS = [(i, t, y, i) for i, (t, y) in enumerate([("red lager beer", "Beer"), ("pale ale beer", "Beer"), ("hard seltzer lime", "Hard"), ("hard cider", "Hard")] * 3)]
@@ -45,3 +47,57 @@ def test_vectors_of_copies_and_rows_without_an_id(spark):
     one = [f for i, f in got if i == 1]
     assert len(got) == 5 and len(one) == 2 and one[0] == one[1] and abs(one[0].norm(2) - 1.0) < 1e-12
     assert all(f.numNonzeros() == 0 and f.size == n for i, f in got if i != 1)
+
+
+def test_passes_over_a_small_table_run_in_few_tasks(spark, monkeypatch):
+    """Every pass of the optimiser ran in a task a core, each with sums of all features and classes."""
+    tasks = []
+
+    class Watched(M.LogisticRegression):
+        def fit(self, data):
+            tasks.append(data.rdd.getNumPartitions())
+            return super().fit(data)
+    monkeypatch.setattr(M, "LogisticRegression", Watched)
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    few = M.predict(M.fit(df, max_iter=20), df.select("rid", "text")).orderBy("rid").collect()
+    monkeypatch.setattr(M, "PASS_BYTES", 100)      # the texts have 162 bytes
+    M.fit(df, max_iter=20)
+    monkeypatch.setattr(M, "PASS_BYTES", 1)
+    many = M.predict(M.fit(df, max_iter=20), df.select("rid", "text")).orderBy("rid").collect()
+    cores = spark.sparkContext.defaultParallelism
+    assert tasks[0] == 1 and 1 < tasks[1] < cores and tasks[2] == cores
+    assert len(few) == len(ROWS) and all(a.ml_category == b.ml_category and abs(a.ml_confidence - b.ml_confidence) < 1e-6 for a, b in zip(few, many))
+
+
+def test_the_model_of_a_small_table_is_trained_beside_the_folds(spark, monkeypatch):
+    """The model was trained before the folds, each waiting between iterations."""
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    alone = M.cross_validate(df, max_iter=20)
+    both = threading.Barrier(2, timeout=60)
+    fit, folds = M.fit, M.cross_validate
+    monkeypatch.setattr(M, "fit", lambda *a: both.wait() + 1 and fit(*a))
+    monkeypatch.setattr(M, "cross_validate", lambda *a: both.wait() + 1 and folds(*a))
+    model, metrics = M.train_metrics(spark, df, max_iter=20)
+    assert model.classes == ["Beer", "Hard"] and metrics.first().cv_accuracy == alone
+
+
+def test_large_models_are_trained_one_by_one(spark, monkeypatch):
+    """The optimisers of all folds were held by the driver at once, whatever the number of classes."""
+    assert M._at_once(5, 1, 11, 10_000, "linear") == 5 and M._at_once(5, 2, 11, 10_000, "linear") == 1
+    assert 1 < M._at_once(5, 1, 100, 10_000, "linear") < 5 and M._at_once(5, 1, 1000, 10_000, "linear") == 1
+    assert M._at_once(5, 1, 1000, 10_000, "boosted") == 5
+    order = []
+    monkeypatch.setattr(M, "FITS_BYTES", 0)
+    fit, folds = M.fit, M.cross_validate
+
+    def noted(name, f):
+        def run(*a):
+            order.append(name)
+            out = f(*a)
+            order.append(name)
+            return out
+        return run
+    monkeypatch.setattr(M, "fit", noted("fit", fit))
+    monkeypatch.setattr(M, "cross_validate", noted("folds", folds))
+    _, metrics = M.train_metrics(spark, spark.createDataFrame(ROWS, SCHEMA), max_iter=20)
+    assert order == ["fit", "fit", "folds", "folds"] and metrics.first().cv_accuracy >= 0.5
