@@ -136,3 +136,30 @@ def test_decontamination_tells_texts_of_one_id_apart(spark):
     want = [(i, *H.contamination([(0, t)], [(1, " ".join(item))])[0]) for i, t in texts]
     key = lambda x: (x[0] or 0, x[1:])
     assert sorted(((r.doc_id, *(r[n] for n in names)) for r in got), key=key) == sorted(want, key=key)
+
+
+def estimate(df):
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def test_rounds_of_joins_do_not_swell_the_planners_estimate(spark):
+    """A checkpoint that kept the product of its sides' sizes doubled that number's
+    digits every round, until it filled the driver."""
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a bigint, b bigint")
+    label = components(path)
+    assert estimate(label) < 1 << 64
+    again = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")))
+    assert estimate(again) < 1 << 64
+    assert {(r.node, r.label) for r in again.collect()} == {(i, 0) for i in range(41)}
+
+
+def test_a_checkpoint_without_its_estimate_keeps_rows_and_columns(spark):
+    from shelfsort.session import cut_lineage
+    wide = spark.range(50).withColumn("k", F.col("id") % 7)
+    for _ in range(4):
+        wide = cut_lineage(wide.join(wide.select("id", F.col("k").alias("k2")), "id").select("id", F.greatest("k", "k2").alias("k")))
+    assert estimate(wide) < 1 << 64
+    assert [f.simpleString() for f in wide.schema.fields] == ["id:bigint", "k:bigint"]
+    assert sorted((r.id, r.k) for r in wide.collect()) == [(i, i % 7) for i in range(50)]
+    assert sorted((r.id, r.n) for r in wide.join(wide.groupBy("k").count().toDF("k", "n"), "k").collect()) == [
+        (i, 8 if i % 7 == 0 else 7) for i in range(50)]
