@@ -95,3 +95,24 @@ def test_near_and_decontamination_stages_decide_by_row(spark, tmp_path):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     got = sorted((r.doc_id or 0, r.text) for r in S.decontamination_stage(spark, df, str(tmp_path)).collect())
     assert got == sorted([(0, clean[0]), (0, clean[2]), (4, clean[3]), (6, clean[4])])
+
+
+def test_near_dedup_of_split_blocks_keeps_estimates_plain(spark, monkeypatch):
+    """Blocks searched in pieces: every table written on the way has an estimate
+    that a plan can carry, and one row of each component of copies is left."""
+    from shelfsort.llm import components as C, ngram_join as J, stages as S
+    seen = []
+
+    def watched(df, write=C.materialise):
+        out = write(df)
+        seen.append(int(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return out
+    for module in (C, J, S):
+        monkeypatch.setattr(module, "materialise", watched)
+    monkeypatch.setattr(J.jaccard_components, "__defaults__", ("doc_id", "text", 5, 3))
+    words = [f"w{i}" for i in range(60)]
+    rows = [(10 + i, " ".join(words[:58] + [f"x{i}"])) for i in range(12)] + [(50, "another text of its own with words"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    left = S.near_dedup_stage(spark, docs, "").collect()
+    assert sorted(r.doc_id or 0 for r in left) == [0, 10, 50]
+    assert max(seen) < 1 << 64
