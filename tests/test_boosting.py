@@ -74,6 +74,39 @@ def test_equals_a_plain_booster(spark, partitions, monkeypatch):
     assert max(abs(a - b) for i in got for a, b in zip(got[i], want[i])) < 1e-9
 
 
+@pytest.mark.parametrize("classes,depth,least", [(2, 3, 0.0), (11, 2, 0.2)])
+def test_columns_grow_the_trees_of_blocks(spark, classes, depth, least, monkeypatch):
+    """Dealt by feature, a level is one job without a shuffle: the same trees, node by node."""
+    monkeypatch.setattr(boosting, "COLUMN_ENTRIES", 300)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 64)
+    r = random.Random(classes)
+    rows = []
+    for i in range(400):
+        y = r.randrange(classes)
+        kv = {f: r.randrange(6) for f in range(30) if r.random() < 0.2}
+        if r.random() < 0.7:
+            kv[30 + y] = r.randrange(6)
+        rows.append((i // 2, y, sorted(kv.items())))      # ids repeat
+    params = BoostParams(rounds=3, depth=depth, rate=0.3, bins=6, min_hessian=least)
+    df = spark.createDataFrame(rows + [(None, 0, []), (900, 1, [])], ROW).repartition(7)
+    blocks = boosting.cut_lineage(boosting.pack_blocks(df, classes))
+    tasks = boosting._column_tasks(blocks, classes)
+    assert tasks > 1
+    group = f"columns-{classes}"
+    spark.sparkContext.setJobGroup(group, group)
+    by_columns = boosting.train_by_columns(blocks, classes, params, tasks)
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(group)]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 3 * depth + 2
+    assert by_columns == boosting.train_by_rows(blocks, classes, params)
+    # tables that a task or the driver would not hold are grown by rows
+    for name in ("COLUMN_BYTES", "ROW_CELLS"):
+        with monkeypatch.context() as m:
+            m.setattr(boosting, name, 100)
+            assert boosting._column_tasks(blocks, classes) == 0
+
+
 def test_walk_sends_missing_rows_to_the_learned_side():
     tree = boosting.Tree()
     a, b = tree.split(0, 4, 1, True)
